@@ -37,9 +37,9 @@ def nearest(
     q_blocks = q.select(*keys, "_qbs").distinct()
     t_blocks = t.select(*keys, "_tbs").distinct()
     # each block is copied once per partner block
-    left = q.join(t_blocks, keys).withColumn("_tb", F.explode(F.expr("sequence(0L, _tbs - 1)")))
-    right = t.join(q_blocks, keys).withColumn("_qb", F.explode(F.expr("sequence(0L, _qbs - 1)")))
     group = [*keys, "_qb", "_tb"]
+    left = q.join(t_blocks, keys).withColumn("_tb", F.explode(F.expr("sequence(0L, _tbs - 1)"))).select(*group, entity, vector)
+    right = t.join(q_blocks, keys).withColumn("_qb", F.explode(F.expr("sequence(0L, _qbs - 1)"))).select(*group, "neighbor", "_tv")
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
     schema += f", {entity} {types[entity]}, dimension int, neighbor {types[entity]}, squared double"
 

@@ -11,6 +11,7 @@ from dosewise.operators import ranking
 MIN_MEAN = 0.1
 MIN_VARIANCE = 1e-10
 MIN_GROUP = 2
+TIE_DIGITS = 9
 
 
 def to_long(vectors: DataFrame, keys: list[str], vector: str, index: str = "feature", value: str = "value") -> DataFrame:
@@ -58,11 +59,15 @@ def variable_features(
     stats: DataFrame, keys: list[str], feature: str, n: int, min_mean: float = MIN_MEAN,
     candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """Top n features by variance after the mean and variance floors; ties by feature."""
+    """Top n features by variance after the mean and variance floors; ties by feature.
+
+    Variances are compared at TIE_DIGITS, so equal features stay tied whatever
+    order their rows were summed in.
+    """
     kept = stats.where((F.col("mean") >= min_mean) & (F.col("variance") > MIN_VARIANCE))
     if candidates is not None:
         kept = kept.join(candidates, feature, "left_semi")
-    return ranking.top_rows(kept, keys, [F.desc("variance"), F.asc(feature)], n, out="rank")
+    return ranking.top_rows(kept, keys, [F.desc(F.round("variance", TIE_DIGITS)), F.asc(feature)], n, out="rank")
 
 
 def global_mean(values: DataFrame, keys: list[str], feature: str, value: str) -> DataFrame:
