@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dosewise.functions.draws import draw_below
 from dosewise.operators import ranking
 from dosewise.operators.linear import stack
-from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, limit
+from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit
 
 SIDES = ("x", "y")
 
@@ -68,7 +68,7 @@ def energy_distance(rows: DataFrame, keys: list[str], side: str, entity: str, ve
         weight = 2.0 if ls == rs and lb != rb else 1.0
         return pd.DataFrame([[*key[: len(keys)], ls, rs, weight * total]], columns=[*keys, "ls", "rs", "total"])
 
-    sums = lhs.groupBy(*pair).cogroup(rhs.groupBy(*pair)).applyInPandas(block_sum, schema)
+    sums = lhs.groupBy(*pair).cogroup(fresh(rhs).groupBy(*pair)).applyInPandas(block_sum, schema)
     part = lambda a, b: F.sum(F.when((F.col("ls") == a) & (F.col("rs") == b), F.col("total")).otherwise(0.0))
     wide = sums.groupBy(*keys).agg(part("x", "x").alias("_xx"), part("x", "y").alias("_xy"), part("y", "y").alias("_yy"))
     nx, ny = F.col("n_x").cast("double"), F.col("n_y").cast("double")
@@ -94,7 +94,8 @@ def project_directions(rows: DataFrame, dirs: DataFrame, count: int, vector: str
     spread = rows.withColumn("direction", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
     joined = spread.join(F.broadcast(dirs), "direction")
     products = F.zip_with(F.col(vector).cast("array<double>"), "weights", lambda a, b: a * b)
-    return joined.withColumn(out, F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)).drop("weights", vector)
+    placed = joined.withColumn("_dot", F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)).drop("weights", vector)
+    return placed.withColumnRenamed("_dot", out)
 
 
 def wasserstein_1d(rows: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:

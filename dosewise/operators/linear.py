@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.operators.vectors import MIN_VARIANCE
-from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, limit, pinned
+from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, fresh, limit
 
 TILE = 128
 TARGET_BLOCK = 4096
@@ -234,7 +234,7 @@ def apply_models(
         parts = list(apply({key[0]: load(right)}, left))
         return pd.concat(parts) if parts else pd.DataFrame()
 
-    return spread.groupBy("model_fold", "_salt").cogroup(copies.groupBy("model_fold", "_salt")).applyInPandas(meet, schema)
+    return spread.groupBy("model_fold", "_salt").cogroup(fresh(copies).groupBy("model_fold", "_salt")).applyInPandas(meet, schema)
 
 
 def scores(rows: DataFrame, pca: DataFrame, column: str, folds: list[str], whiten: bool, out: str = "z") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.operators.linear import stack
-from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, limit
+from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit
 
 
 def blocked(rows: DataFrame, keys: list[str], entity: str, out: str) -> DataFrame:
@@ -63,7 +63,7 @@ def nearest(
             }))
         return pd.concat(out) if out else pd.DataFrame()
 
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, schema)
+    found = left.groupBy(*group).cogroup(fresh(right).groupBy(*group)).applyInPandas(best, schema)
     winner: Column = F.min_by(F.struct("neighbor", "squared"), F.struct("squared", "neighbor"))
     return found.groupBy(*keys, entity, "dimension").agg(winner.alias("_w")).select(
         *keys, entity, "dimension", F.col("_w.neighbor").alias("neighbor"), F.sqrt("_w.squared").alias("distance")

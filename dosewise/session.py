@@ -39,6 +39,11 @@ def limit(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """Same columns under new attribute ids, so two sides of a cogroup never share one."""
+    return df.select(*[df[c].alias(c) for c in df.columns])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; only a local session gets its own."""
     context = spark.sparkContext
