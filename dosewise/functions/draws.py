@@ -16,3 +16,8 @@ def draw_below(n: Column, seed: int | str, *parts: Column | str) -> Column:
     """Integer in [0, n) from the first 32 bits of the hash."""
     word = F.conv(F.substring(order_hash(seed, *parts), 1, 8), 16, 10).cast("bigint")
     return word % n.cast("bigint")
+
+
+def order_number(seed: int | str, *parts: Column | str) -> Column:
+    """First 60 bits of the order hash: sorts like the hex text, as a number."""
+    return F.conv(F.substring(order_hash(seed, *parts), 1, 15), 16, 10).cast("bigint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosewise.functions import scalar as S
 from dosewise.operators import ranking
+from dosewise.session import pinned
 
 # Cohort and QC thresholds.
 MIN_CELLS = 20
@@ -141,24 +142,27 @@ def cell_qc(counts: DataFrame, cells: DataFrame, marked: Column, cell_keys: list
         F.count(F.lit(1)).alias("detected"),
         F.sum(F.when(marked, F.col("x")).otherwise(0)).alias("marked"),
     )
+    measures = ["library", "detected", "marked_fraction"]
     filled = cells.join(per_cell, cell_keys, "left").select(
         source,
         F.coalesce("library", F.lit(0)).cast("double").alias("library"),
         F.coalesce("detected", F.lit(0)).cast("double").alias("detected"),
         S.ratio("marked", "library", empty=0.0).alias("marked_fraction"),
     )
-    measures = ("library", "detected", "marked_fraction")
-    wanted = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    # one row per cell; three spreads are read from it
+    filled = pinned(filled)
     base = filled.groupBy(source).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("library") == 0).alias("zero_library")
     )
     largest = base.agg(F.max("n_cells")).first()[0] or 0
-    for m in measures:
-        spread = ranking.quantiles(
-            filled, [source], m, {f"{m}_{n}": p for n, p in wanted.items()}, largest=largest
-        )
-        base = base.join(spread, source)
-    return base
+    wanted = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    spread = ranking.quantiles(
+        filled.unpivot([source], measures, "measure", "value"), [source, "measure"], "value", wanted, largest=largest
+    )
+    wide = spread.groupBy(source).agg(*[
+        F.max(F.when(F.col("measure") == m, F.col(n))).alias(f"{m}_{n}") for m in measures for n in wanted
+    ])
+    return base.join(wide, source)
 
 
 def control_feature_mask(

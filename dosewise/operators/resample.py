@@ -7,19 +7,25 @@ positions spread hot tests over all tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosewise.functions import scalar as S
-from dosewise.functions.draws import draw_below, order_hash
+from dosewise.functions.draws import draw_below, order_hash, order_number
 from dosewise.operators import ranking
-from dosewise.session import pinned
+from dosewise.session import DEFAULT_WINDOW_ROWS, WINDOW_ROWS_KEY, limit, pinned
 
 # Default replicates and interval bounds.
 BOOTSTRAPS = 2000
 PERMUTATIONS = 10_000
 LOW, HIGH = 0.025, 0.975
 MIN_PAIRS = 5
+# Replicated rows per task.
+ROWS_PER_TASK = 2_000_000
+# Counted rows up to which base values are broadcast to the draws.
+BROADCAST_ROWS = 500_000
 # Decimals kept when a permuted statistic is compared with the observed one.
 TIE_DIGITS = 9
 
@@ -53,17 +59,36 @@ def split_halves(cells: DataFrame, keys: list[str], cell: list[str], seed: int |
     )
 
 
+def extent(base: DataFrame) -> tuple[int, int]:
+    """(rows, largest group) of a positioned table; one cheap pass over a checkpoint."""
+    row = base.agg(F.count(F.lit(1)), F.max("n")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def spread(base: DataFrame, keys: list[str], copies: int, rows: int) -> DataFrame:
+    """Partition by position so that `copies` replicates of every row fill all cores."""
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    return base.repartition(max(cores, math.ceil(rows * copies / ROWS_PER_TASK)), *keys, "pos")
+
+
+def lookup(base: DataFrame, rows: int) -> DataFrame:
+    """Base values as a join side: broadcast only when the counted rows are few."""
+    return F.broadcast(base) if rows <= BROADCAST_ROWS else base
+
+
 def positioned(df: DataFrame, keys: list[str], ids: list[str], seed: int | str) -> DataFrame:
     """Rows with a position 1..n per key in a reproducible random order, checkpointed."""
     return pinned(ranking.hash_rank(df, keys, order_hash(seed, *ids), ids, "pos", "n"))
 
 
-def bootstrap_rows(base: DataFrame, keys: list[str], values: list[str], count: int, seed: int | str) -> DataFrame:
+def bootstrap_rows(
+    base: DataFrame, keys: list[str], values: list[str], count: int, seed: int | str, rows: int
+) -> DataFrame:
     """count replicates of n draws with replacement; one row per draw."""
-    drawn = replicates(base.select(*keys, "pos", "n"), count).select(
+    drawn = replicates(spread(base.select(*keys, "pos", "n"), keys, count, rows), count).select(
         *keys, "rep", (draw_below(F.col("n"), seed, "rep", "pos") + 1).alias("pos")
     )
-    return drawn.join(base.select(*keys, "pos", *values), [*keys, "pos"])
+    return drawn.join(lookup(base.select(*keys, "pos", *values), rows), [*keys, "pos"])
 
 
 def interval(replicated: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -78,7 +103,8 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Mean with a percentile bootstrap interval per key; undefined values are left out."""
     base = positioned(df.where(S.is_finite(value)).select(*keys, *ids, value), keys, ids, seed)
-    means = bootstrap_rows(base, keys, [value], count, seed).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
+    rows, _ = extent(base)
+    means = bootstrap_rows(base, keys, [value], count, seed, rows).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
     centre = base.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return centre.join(interval(means, keys, "_m"), keys)
 
@@ -90,20 +116,20 @@ def paired_difference(
     return bootstrap_mean(gains, keys, "gain", ids, seed, count)
 
 
-def size_bound(base: DataFrame) -> int:
-    return base.agg(F.max("n")).first()[0] or 0
-
-
 def p_value(hits: Column, count: int) -> Column:
     return (hits + 1.0) / (count + 1.0)
 
 
-def permuted(base: DataFrame, keys: list[str], keep: list[str], count: int, seed: int | str, largest: int) -> DataFrame:
+def permuted(
+    base: DataFrame, keys: list[str], keep: list[str], count: int, seed: int | str, rows: int, largest: int
+) -> DataFrame:
     """count random orders: each row gets its place `rn` in every replicate."""
-    return ranking.hash_rank(
-        replicates(base.select(*keys, "pos", "n", *keep), count), [*keys, "rep"],
-        order_hash(seed, "rep", "pos"), ["pos"], "rn", largest=largest,
-    )
+    copies = replicates(spread(base.select(*keys, "pos", "n", *keep), keys, count, rows), count)
+    if largest <= limit(base.sparkSession, WINDOW_ROWS_KEY, DEFAULT_WINDOW_ROWS):
+        shuffled = copies.withColumn("_h", order_number(seed, "rep", "pos"))
+        place = Window.partitionBy(*keys, "rep").orderBy("_h", "pos")
+        return shuffled.withColumn("rn", F.row_number().over(place).cast("bigint")).drop("_h")
+    return ranking.hash_rank(copies, [*keys, "rep"], order_hash(seed, "rep", "pos"), ["pos"], "rn")
 
 
 def spearman_inference(
@@ -118,16 +144,16 @@ def spearman_inference(
     rows = df.where(S.is_finite(x, y)).select(*keys, *ids, x, y)
     ranked = ranking.average_rank(ranking.average_rank(rows, keys, x, "rx"), keys, y, "ry")
     base = positioned(ranked, keys, ids, seed)
-    largest = size_bound(base)
+    total, largest = extent(base)
     observed = base.groupBy(*keys).agg(
         S.pearson("rx", "ry").alias("effect"), F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("_s")
     )
-    draws = bootstrap_rows(base, keys, [x, y], bootstraps, seed)
+    draws = bootstrap_rows(base, keys, [x, y], bootstraps, seed, total)
     rkeys = [*keys, "rep"]
     reranked = ranking.average_rank(ranking.average_rank(draws, rkeys, x, "bx", largest), rkeys, y, "by", largest)
     spread = interval(reranked.groupBy(*rkeys).agg(S.pearson("bx", "by").alias("_r")), keys, "_r")
-    shuffled = permuted(base, keys, ["rx"], permutations, f"{seed}p", largest)
-    partner = base.select(*keys, F.col("pos").alias("rn"), "ry")
+    shuffled = permuted(base, keys, ["rx"], permutations, f"{seed}p", total, largest)
+    partner = lookup(base.select(*keys, F.col("pos").alias("rn"), "ry"), total)
     sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("_sp"))
     centre = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4.0
     hits = (
@@ -156,21 +182,21 @@ def partial_spearman_inference(
     for source, name in ((x, "rx"), (y, "ry"), (covariate, "rz")):
         rows = ranking.average_rank(rows, keys, source, name)
     base = positioned(rows, keys, ids, seed)
-    largest = size_bound(base)
+    total, largest = extent(base)
     fits = base.groupBy(*keys).agg(
         F.avg("rx").alias("_mx"), F.avg("ry").alias("_my"), F.avg("rz").alias("_mz"),
         F.coalesce(F.try_divide(F.covar_pop("rx", "rz"), F.var_pop("rz")), F.lit(0.0)).alias("_bx"),
         F.coalesce(F.try_divide(F.covar_pop("ry", "rz"), F.var_pop("rz")), F.lit(0.0)).alias("_by"),
     )
-    residual = base.join(fits, keys).select(
+    residual = pinned(base.join(fits, keys).select(
         *keys, "pos", "n",
         (F.col("rx") - F.col("_mx") - F.col("_bx") * (F.col("rz") - F.col("_mz"))).alias("ex"),
         (F.col("ry") - F.col("_my") - F.col("_by") * (F.col("rz") - F.col("_mz"))).alias("ey"),
-    )
+    ))
     observed = residual.groupBy(*keys).agg(
         S.pearson("ex", "ey").alias("effect"), F.count(F.lit(1)).alias("n"), F.sum(F.col("ex") * F.col("ey")).alias("_s")
     )
-    rkeys, draws = [*keys, "rep"], bootstrap_rows(base, keys, [x, y, covariate], bootstraps, seed)
+    rkeys, draws = [*keys, "rep"], bootstrap_rows(base, keys, [x, y, covariate], bootstraps, seed, total)
     for source, name in ((x, "bx"), (y, "by"), (covariate, "bz")):
         draws = ranking.average_rank(draws, rkeys, source, name, largest)
     correlated = draws.groupBy(*rkeys).agg(
@@ -179,8 +205,8 @@ def partial_spearman_inference(
     spread = interval(
         correlated.select(*rkeys, partial_correlation(F.col("xy"), F.col("xz"), F.col("yz")).alias("_r")), keys, "_r"
     )
-    shuffled = permuted(residual, keys, ["ex"], permutations, f"{seed}p", largest)
-    partner = residual.select(*keys, F.col("pos").alias("rn"), "ey")
+    shuffled = permuted(residual, keys, ["ex"], permutations, f"{seed}p", total, largest)
+    partner = lookup(residual.select(*keys, F.col("pos").alias("rn"), "ey"), total)
     sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("ex") * F.col("ey")).alias("_sp"))
     # residuals have mean zero, so the product sum orders like the correlation
     scaled = lambda c: F.round(F.abs(F.col(c)) / F.col("n"), TIE_DIGITS)
@@ -217,18 +243,18 @@ def cliffs_delta_inference(
     base = pinned(
         ranking.hash_rank(strata.drop("pos", "n"), keys, order_hash(seed, *ids), ids, "pos", "n")
     )
-    largest = size_bound(base)
+    total, largest = extent(base)
     observed = base.groupBy(*keys).agg(
         delta_from_ranks("r", "f").alias("effect"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("f")).alias("n_flagged"), F.sum("v").alias("_t"),
         F.sum(F.when(F.col("f"), F.col("v"))).alias("_s"),
     )
-    draws = bootstrap_rows(strata, [*keys, "f"], ["v"], bootstraps, seed)
+    draws = bootstrap_rows(strata, [*keys, "f"], ["v"], bootstraps, seed, total)
     rkeys = [*keys, "rep"]
     reranked = ranking.average_rank(draws, rkeys, "v", "br", largest)
     spread = interval(reranked.groupBy(*rkeys).agg(delta_from_ranks("br", "f").alias("_d")), keys, "_d")
     sizes = observed.select(*keys, "n_flagged")
-    shuffled = permuted(base, keys, ["v"], permutations, f"{seed}p", largest).join(sizes, keys)
+    shuffled = permuted(base, keys, ["v"], permutations, f"{seed}p", total, largest).join(sizes, keys)
     sums = shuffled.where(F.col("rn") <= F.col("n_flagged")).groupBy(*rkeys).agg(F.sum("v").alias("_sp"))
     gap = lambda c: F.round(
         F.abs(F.try_divide(F.col(c), F.col("n_flagged")) - F.try_divide(F.col("_t") - F.col(c), F.col("n") - F.col("n_flagged"))),
@@ -252,11 +278,13 @@ def eta_squared_inference(
         *keys, *ids, F.col(value).cast("double").alias("v"), F.col(group).alias("g")
     )
     base = positioned(rows, keys, ids, seed)
-    largest = size_bound(base)
+    total, largest = extent(base)
     totals = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("v").alias("_m"), (F.var_pop("v") * F.count("v")).alias("_total")
     )
-    centred = base.join(totals.select(*keys, "_m"), keys).select(*keys, "pos", "n", "g", (F.col("v") - F.col("_m")).alias("d"))
+    centred = pinned(
+        base.join(totals.select(*keys, "_m"), keys).select(*keys, "pos", "n", "g", (F.col("v") - F.col("_m")).alias("d"))
+    )
 
     def between(frame: DataFrame, by: list[str]) -> DataFrame:
         per_group = frame.groupBy(*by, "g").agg(F.sum("d").alias("_s"), F.count(F.lit(1)).alias("_c"))
@@ -265,8 +293,8 @@ def eta_squared_inference(
     observed = totals.join(between(centred, keys), keys).withColumn(
         "effect", F.try_divide(F.col("_between"), F.col("_total"))
     )
-    shuffled = permuted(centred, keys, ["d"], permutations, f"{seed}p", largest)
-    labels = centred.select(*keys, F.col("pos").alias("rn"), "g")
+    shuffled = permuted(centred, keys, ["d"], permutations, f"{seed}p", total, largest)
+    labels = lookup(centred.select(*keys, F.col("pos").alias("rn"), "g"), total)
     null = between(shuffled.join(labels, [*keys, "rn"]), [*keys, "rep"]).withColumnRenamed("_between", "_null")
     eta = lambda c: F.round(F.try_divide(F.col(c), F.col("_total")), TIE_DIGITS)
     hits = null.join(observed, keys).groupBy(*keys).agg(F.count_if(eta("_null") >= eta("_between")).alias("_hits"))

@@ -56,20 +56,34 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(
+def count_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Count rows before their features are looked up."""
+    return table(spark, sf, "lineitem").select(
         "l_partkey", F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("cell"),
         S.literal_map("l_returnflag", CONDITIONS).alias("condition"),
         F.col("l_quantity").cast("bigint").alias("x"),
     )
+
+
+def counts(spark: SparkSession, sf: str) -> DataFrame:
     parts = part_genes(spark, sf).select("p_partkey", "gene_id")
+    lines = count_lines(spark, sf)
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+def good_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return K.normal_cells(cells(spark, sf)).select("cell", "hour")
+
+
+def entity_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (entity, cell, condition, hour) of good cells; needs no feature lookup."""
+    lines = count_lines(spark, sf).select("entity", "cell", "condition").distinct()
+    return lines.join(good_cells(spark, sf), "cell")
+
+
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of good cells with their hour."""
-    good = K.normal_cells(cells(spark, sf)).select("cell", "hour")
-    return counts(spark, sf).join(good, "cell")
+    return counts(spark, sf).join(good_cells(spark, sf), "cell")
 
 
 def profiles(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity", "condition")) -> DataFrame:

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewise.functions import scalar as S
-from dosewise.operators import composition, ranking, resample, summaries
+from dosewise.operators import resample, summaries
 from dosewise.operators import counts as K
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
+from dosewise.session import pinned
 
 LABELS = {("control", 6): "control_early", ("control", 24): "control_late", ("treated", 24): "treated_late"}
 
 
-def entity_cells(spark, sf):
-    """Distinct (entity, cell, condition) of good cells."""
-    return B.observed(spark, sf).select("entity", "cell", "condition", "hour").distinct()
-
-
 @query(f"""
 WITH {B.OBS}, {B.SUPPLIERS.strip()},
 u AS (SELECT DISTINCT entity, cell, condition, hour FROM obs),
@@ -33,7 +29,7 @@ FROM c JOIN suppliers USING (entity)""")
 def cell_count_matrix(spark, sf):
     """Cells per entity and condition, pooled control, two eligibility flags."""
     period = S.period("hour")
-    labelled = entity_cells(spark, sf).withColumn(
+    labelled = B.entity_cells(spark, sf).withColumn(
         "label", F.when(F.col("condition").isin("control", "treated"), F.concat_ws("_", "condition", period))
     )
     wide = K.condition_counts(labelled, "entity", "label", ["control_early", "control_late", "treated_late"])
@@ -66,7 +62,7 @@ WITH {B.OBS}
 SELECT entity, condition, hour, count(DISTINCT cell) AS n_cells FROM obs GROUP BY ALL""")
 def cells_per_group(spark, sf):
     """Distinct cells per (entity, condition, hour)."""
-    return K.cells_per_group(B.observed(spark, sf), ["entity", "condition", "hour"])
+    return K.cells_per_group(B.entity_cells(spark, sf), ["entity", "condition", "hour"])
 
 
 @query(f"""
@@ -95,7 +91,7 @@ FROM response GROUP BY gene_id, gene_symbol""")
 def marker_summary(spark, sf):
     """Per feature: n, mean, median, fraction of negative responses."""
     named = B.response(spark, sf).join(B.genes(spark, sf).select("gene_idx", "gene_id", "gene_symbol"), "gene_idx")
-    return B.rounded(summaries.marker_summary(named, ["gene_id", "gene_symbol"], "delta"))
+    return B.rounded(summaries.marker_summary(pinned(named), ["gene_id", "gene_symbol"], "delta"))
 
 
 @query(f"""
@@ -115,7 +111,8 @@ def cell_qc(spark, sf):
     rows = B.counts(spark, sf)
     keys = ["entity", "cell", "condition"]
     marked = F.upper("gene_id").startswith("BRAND#1/")
-    return B.rounded(K.cell_qc(rows, rows.select(*keys).distinct(), marked, keys, "condition"))
+    listed = B.count_lines(spark, sf).select(*keys).distinct()
+    return B.rounded(K.cell_qc(rows, listed, marked, keys, "condition"))
 
 
 @query(f"""
@@ -237,7 +234,7 @@ SELECT entity, n_groups, min_cells, n_groups = 10 AND min_cells >= 10 AS eligibl
   n_groups = 10 AND min_cells >= 30 AS eligible_t30 FROM m""")
 def group_eligibility(spark, sf):
     """All ten matched (condition, hour) groups present with at least t cells."""
-    groups = K.cells_per_group(B.observed(spark, sf), ["entity", "condition", "hour"])
+    groups = K.cells_per_group(B.entity_cells(spark, sf), ["entity", "condition", "hour"])
     return K.group_eligibility(groups, "entity")
 
 
@@ -250,8 +247,8 @@ SELECT repeat, entity, condition, gene_id, CAST(total AS BIGINT) AS total,
   round(ln(1 + total * 1e6 / sum(total) OVER (PARTITION BY repeat, entity, condition)), 6) AS log1p_cpm FROM b""")
 def equal_n_subsample(spark, sf):
     """Twenty cells per (entity, condition) and repeat, re-aggregated and normalised."""
-    obs = B.observed(spark, sf)
-    cells = obs.select("entity", "cell", "condition").distinct()
+    obs = B.counts(spark, sf)
+    cells = B.entity_cells(spark, sf).select("entity", "cell", "condition")
     chosen = resample.sample_cells(cells, ["entity", "condition"], ["cell"], 20, B.SEED, 5)
     keys = ["repeat", "entity", "condition"]
     sums = K.pseudobulk(obs.join(chosen, ["entity", "cell", "condition"]), keys, "gene_id")
@@ -274,8 +271,8 @@ SELECT repeat, entity, round(sqrt(avg(pow(a - b, 2))), 6) AS rmse, round(sqrt(av
   round({B.pearson_sql('a', 'b')}, 6) AS pearson, round({B.pearson_sql('ra', 'rb')}, 6) AS spearman FROM k GROUP BY ALL""")
 def split_half_noise(spark, sf):
     """Response from one half of the cells against the other half."""
-    obs = B.observed(spark, sf).where(F.col("condition").isin("control", "treated"))
-    cells = obs.select("entity", "cell", "condition").distinct()
+    obs = B.counts(spark, sf)
+    cells = B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition")
     halves = resample.split_halves(cells, ["entity", "condition"], ["cell"], B.SEED, 5)
     keys = ["repeat", "entity", "condition", "half"]
     sums = K.pseudobulk(obs.join(halves, ["entity", "cell", "condition"]), keys, "gene_id")

@@ -31,7 +31,7 @@ def entity_features(spark, sf):
         F.sqrt(F.avg(F.col("delta") * F.col("delta"))).alias("response_rms"), F.avg("delta").alias("response_mean")
     )
     side = lambda c: F.count_distinct(F.when(F.col("condition") == c, F.col("cell")))
-    support = B.observed(spark, sf).groupBy("entity").agg(
+    support = B.entity_cells(spark, sf).groupBy("entity").agg(
         F.least(side("control"), side("treated")).cast("double").alias("min_cells")
     )
     return pinned(

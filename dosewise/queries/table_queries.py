@@ -80,7 +80,7 @@ def final_line_table(spark, sf):
     revenue = B.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")
     )
-    cells = B.observed(spark, sf).groupBy("entity").agg(F.count_distinct("cell").alias("n_cells"))
+    cells = B.entity_cells(spark, sf).groupBy("entity").agg(F.count_distinct("cell").alias("n_cells"))
     joined = composition.join_chain(feats, [(regions, ["n_regionkey"]), (revenue, ["entity"]), (cells, ["entity"])])
     return B.rounded(joined.select(
         "entity", "lineage", "region", "response_rms", "response_mean", (F.col("response_rms") - F.abs("response_mean")).alias("gain"),
@@ -101,7 +101,7 @@ SELECT cohort, count(DISTINCT entity) AS n_entities, CAST(sum(n) AS BIGINT) AS n
   UNION ALL SELECT 'early', * FROM g WHERE hour IN (3, 6) UNION ALL SELECT 'large', * FROM g WHERE n >= 30) GROUP BY cohort""")
 def cohort_summary(spark, sf):
     """Entities and cells of five overlapping cohorts in one pass."""
-    groups = K.cells_per_group(B.observed(spark, sf), ["entity", "condition", "hour"])
+    groups = K.cells_per_group(B.entity_cells(spark, sf), ["entity", "condition", "hour"])
     tests = {
         "all": F.lit(True), "control": F.col("condition") == "control", "treated": F.col("condition") == "treated",
         "early": F.col("hour").isin(3, 6), "large": F.col("n_cells") >= 30,
