@@ -24,9 +24,14 @@ TILE = 128
 TARGET_BLOCK = 4096
 FLUSH_BYTES = 256 * 1024 * 1024
 MIN_SD = 1e-12
-# Widest feature selection a dense fold solve accepts (see README).
-MAX_GRAM_FEATURES = 10_000
-TOTAL = ""
+# Widest table solved from the feature Gram matrix, and most rows solved from the row one.
+MAX_GRAM_FEATURES = 8_000
+MAX_DUAL_ROWS = 5_000
+GRAM_KEY = "spark.dosewise.gramFeatures"
+DUAL_KEY = "spark.dosewise.dualRows"
+DUAL_BLOCK = 512
+# Prefix of the key that sums all rows of a variant.
+TOTAL = "*"
 
 BLOCK_SCHEMA = "model_fold string, ti int, tj int, stat array<double>"
 PCA_SCHEMA = (
@@ -44,6 +49,26 @@ def mask_of(column: pd.Series, fold: str) -> np.ndarray:
     return np.fromiter((fold in v for v in column), dtype=bool, count=len(column))
 
 
+def scope_of(fold: str) -> str:
+    """Variant part of a fold name ("variant|fold"), empty when there is none."""
+    return fold.split("|", 1)[0] if "|" in fold else ""
+
+
+def fold_columns(rows: DataFrame) -> list[str]:
+    return [c for c in ("test_of", "held_of", "variant") if c in rows.columns]
+
+
+def in_scope(pdf: pd.DataFrame, fold: str) -> np.ndarray:
+    """Rows of the fold's variant; rows without variants belong to every fold."""
+    if "variant" not in pdf:
+        return np.ones(len(pdf), dtype=bool)
+    return (pdf["variant"] == scope_of(fold)).to_numpy()
+
+
+def train_mask(pdf: pd.DataFrame, fold: str) -> np.ndarray:
+    return in_scope(pdf, fold) & ~mask_of(pdf["held_of"], fold)
+
+
 class BlockSums:
     """Keyed running sums of small arrays with a memory ceiling."""
 
@@ -78,11 +103,33 @@ def sum_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys).applyInPandas(merge, schema)
 
 
-def moment_blocks(rows: DataFrame, column: str, folds: list[str]) -> DataFrame:
-    """Training count, sums and cross products per fold and feature tile.
+def held_and_total(pdf: pd.DataFrame) -> list[tuple[str, np.ndarray]]:
+    """(key, mask) of every sum a batch contributes to: one total per variant, one per fold left out."""
+    scopes = sorted(set(pdf["variant"])) if "variant" in pdf else [""]
+    out = [(TOTAL + s, (pdf["variant"] == s).to_numpy() if "variant" in pdf else np.ones(len(pdf), dtype=bool)) for s in scopes]
+    held = {f for fs in pdf["held_of"] for f in fs}
+    return out + [(f, mask_of(pdf["held_of"], f)) for f in sorted(held)]
+
 
-    Every row is summed once overall and once per fold that leaves it out; the
-    training moments are the difference, so folds do not multiply the work.
+def per_fold(blocks: DataFrame, folds: list[str], keys: list[str]) -> DataFrame:
+    """Variant totals copied to their folds (+) next to the held-out sums (-)."""
+    names = F.array(*[F.struct(F.lit(TOTAL + scope_of(f)).alias("t"), F.lit(f).alias("f")) for f in folds])
+    total = F.col("model_fold").startswith(TOTAL)
+    targets = F.when(
+        total, F.transform(F.filter(names, lambda n: n["t"] == F.col("model_fold")), lambda n: n["f"])
+    ).otherwise(F.array("model_fold"))
+    return blocks.select(
+        F.explode(targets).alias("model_fold"), *keys,
+        F.when(total, F.col("stat")).otherwise(F.transform("stat", lambda v: -v)).alias("stat"),
+    ).where(F.col("model_fold").isin(*folds))
+
+
+def moment_blocks(rows: DataFrame, column: str, folds: list[str], subset: np.ndarray | None = None) -> DataFrame:
+    """Signed training moments (count, sums, cross products) per fold and feature tile.
+
+    Every row is summed once overall and once per fold that leaves it out; a
+    fold's training moments are the sum of its signed blocks, so folds do not
+    multiply the work. `subset` limits the columns.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,37 +138,32 @@ def moment_blocks(rows: DataFrame, column: str, folds: list[str]) -> DataFrame:
             if not len(pdf):
                 continue
             data = stack(pdf[column])
-            held = {f for fs in pdf["held_of"] for f in fs}
-            for fold in [TOTAL, *sorted(held)]:
-                part = data if fold == TOTAL else data[mask_of(pdf["held_of"], fold)]
+            if subset is not None:
+                data = data[:, subset]
+            for key, mask in held_and_total(pdf):
+                part = data[mask]
                 for i in range(0, data.shape[1], TILE):
                     for j in range(i, data.shape[1], TILE):
                         a, b = part[:, i:i + TILE], part[:, j:j + TILE]
                         stat = np.concatenate([[len(part)], a.sum(axis=0), b.sum(axis=0), (a.T @ b).ravel()])
-                        sums.add((fold, i // TILE, j // TILE), stat)
+                        sums.add((key, i // TILE, j // TILE), stat)
             if sums.full():
                 yield from sums.drain()
         yield from sums.drain()
 
-    blocks = rows.select(column, "held_of").mapInPandas(partial, BLOCK_SCHEMA)
-    merged = sum_blocks(blocks, ["model_fold", "ti", "tj"])
-    signed = merged.select(
-        F.when(F.col("model_fold") == TOTAL, F.array(*[F.lit(f) for f in folds]))
-        .otherwise(F.array("model_fold")).alias("model_folds"),
-        "ti", "tj",
-        F.when(F.col("model_fold") == TOTAL, F.col("stat"))
-        .otherwise(F.transform("stat", lambda v: -v)).alias("stat"),
-    ).select(F.explode("model_folds").alias("model_fold"), "ti", "tj", "stat")
-    return sum_blocks(signed, ["model_fold", "ti", "tj"])
+    needed = [c for c in fold_columns(rows) if c != "test_of"]
+    blocks = rows.select(column, *needed).mapInPandas(partial, BLOCK_SCHEMA)
+    return per_fold(sum_blocks(blocks, ["model_fold", "ti", "tj"]), folds, ["ti", "tj"])
 
 
 def unpack_moments(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, centred cross products) from the tiles of one fold."""
-    tiles = {(int(i), int(j)): np.asarray(s) for i, j, s in zip(pdf["ti"], pdf["tj"], pdf["stat"], strict=True)}
+    """(n, mean, centred cross products) from the signed tiles of one fold."""
+    tiles: dict[tuple[int, int], np.ndarray] = {}
+    for i, j, s in zip(pdf["ti"], pdf["tj"], pdf["stat"], strict=True):
+        tiles[int(i), int(j)] = tiles.get((int(i), int(j)), 0.0) + np.asarray(s)
     count = 1 + max(i for i, _ in tiles)
-    width = [int(round(np.sqrt(len(tiles[t, t])))) for t in range(count)]
     # a diagonal tile stores 1 + 2w + w*w numbers
-    width = [w - 1 for w in width]
+    width = [int(round(np.sqrt(len(tiles[t, t])))) - 1 for t in range(count)]
     starts = np.concatenate([[0], np.cumsum(width)])
     n = int(round(tiles[0, 0][0]))
     total = np.zeros(starts[-1])
@@ -139,46 +181,264 @@ def unpack_moments(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, gram - n * np.outer(mean, mean)
 
 
+def feature_moments(rows: DataFrame, column: str, folds: list[str]) -> DataFrame:
+    """(fold, stat): training count, sums and sums of squares of every feature."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = BlockSums(["model_fold"])
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            data = stack(pdf[column])
+            for key, mask in held_and_total(pdf):
+                part = data[mask]
+                sums.add((key,), np.concatenate([[len(part)], part.sum(axis=0), (part * part).sum(axis=0)]))
+            if sums.full():
+                yield from sums.drain()
+        yield from sums.drain()
+
+    needed = [c for c in fold_columns(rows) if c != "test_of"]
+    blocks = rows.select(column, *needed).mapInPandas(partial, "model_fold string, stat array<double>")
+    return sum_blocks(per_fold(sum_blocks(blocks, ["model_fold"]), folds, []), ["model_fold"])
+
+
+def select_features(
+    rows: DataFrame, column: str, folds: list[str], max_features: int, min_mean: float | None, panel: list[int] | None
+) -> dict[str, np.ndarray]:
+    """Most variable features of each fold's training rows: at most max_features indices per fold."""
+
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        stat = np.asarray(pdf["stat"].iloc[0])
+        n, width = stat[0], (len(stat) - 1) // 2
+        mean = stat[1:1 + width] / n
+        variance = np.maximum(stat[1 + width:] / n - mean * mean, 0.0)
+        chosen = np.arange(width) if panel is None else np.asarray(sorted(set(panel)))
+        keep = variance[chosen] > MIN_VARIANCE
+        if min_mean is not None:
+            keep &= mean[chosen] >= min_mean
+        chosen = chosen[keep]
+        chosen = chosen[np.argsort(-variance[chosen], kind="stable")][:max_features]
+        return pd.DataFrame({"model_fold": [key[0]], "chosen": [chosen.astype(np.int32)]})
+
+    table = feature_moments(rows, column, folds).groupBy("model_fold").applyInPandas(
+        choose, "model_fold string, chosen array<int>"
+    )
+    return {r["model_fold"]: np.asarray(r["chosen"], dtype=int) for r in table.collect()}
+
+
+PCA_COLUMNS = [
+    "model_fold", "component", "eigenvalue", "explained_ratio", "n_train", "n_selected", "loading", "mean",
+]
+
+
+def component_rows(fold: str, values, vectors, spread: float, n: int, selected: int, mean) -> pd.DataFrame:
+    """Model rows with the largest loading of each component positive; the mean is stored once."""
+    peaks = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])]
+    vectors = vectors * np.where(peaks < 0, -1.0, 1.0)
+    out = []
+    for c in range(vectors.shape[1]):
+        value = max(float(values[c]), 0.0)
+        out.append([
+            fold, c + 1, value, value / spread if spread > 0 else 0.0, n, selected, vectors[:, c], mean if c == 0 else None,
+        ])
+    return pd.DataFrame(out, columns=PCA_COLUMNS)
+
+
 def fit_pca(
     rows: DataFrame, column: str, folds: list[str], components: int,
     max_features: int | None = None, min_mean: float | None = None, panel: list[int] | None = None,
 ) -> DataFrame:
-    """Exact PCA per fold over training rows; loadings outside the selection are 0.
+    """PCA per fold over training rows; loadings outside the selection are 0.
 
     With `max_features` the most variable features of each fold's training rows
-    are used (mean and variance floors, ties by lower index).
+    are used (mean and variance floors, ties by lower index). Up to
+    MAX_GRAM_FEATURES columns the solve is exact from the feature Gram matrix;
+    wider tables use the row Gram matrix while rows are few (exact), and
+    subspace iteration beyond that.
     """
+    first = rows.select(F.size(column)).first()
+    if first is None:
+        raise ValueError("no rows to fit")
+    width = first[0]
+    chosen: dict[str, np.ndarray] = {}
+    if max_features is not None or panel is not None:
+        chosen = select_features(rows, column, folds, max_features or width, min_mean, panel)
+    subset = np.unique(np.concatenate(list(chosen.values()))) if chosen else np.arange(width)
+    spark = rows.sparkSession
+    if len(subset) > limit(spark, GRAM_KEY, MAX_GRAM_FEATURES):
+        if rows.count() <= limit(spark, DUAL_KEY, MAX_DUAL_ROWS):
+            return dual_pca(rows, column, folds, components, chosen)
+        return subspace_pca(rows, column, folds, components, chosen)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, mean, cross = unpack_moments(pdf)
-        size = len(mean)
-        chosen = np.arange(size) if panel is None else np.asarray(sorted(set(panel)))
-        if max_features is not None:
-            variance = np.diag(cross) / n
-            keep = variance[chosen] > MIN_VARIANCE
-            if min_mean is not None:
-                keep &= mean[chosen] >= min_mean
-            chosen = chosen[keep]
-            chosen = chosen[np.argsort(-variance[chosen], kind="stable")][:max_features]
-        if n < 3 or len(chosen) > MAX_GRAM_FEATURES:
-            raise ValueError(f"fold {key[0]}: {n} training rows, {len(chosen)} features")
-        kept = min(components, n - 1, len(chosen))
-        values, vectors = np.linalg.eigh(cross[np.ix_(chosen, chosen)] / (n - 1))
+        own = np.searchsorted(subset, chosen[key[0]]) if chosen else np.arange(len(subset))
+        if n < 3 or not len(own):
+            raise ValueError(f"fold {key[0]}: {n} training rows, {len(own)} features")
+        kept = min(components, n - 1, len(own))
+        scaled = cross[np.ix_(own, own)] / (n - 1)
+        values, vectors = np.linalg.eigh(scaled)
         values, vectors = values[::-1][:kept], vectors[:, ::-1][:, :kept]
-        peaks = vectors[np.abs(vectors).argmax(axis=0), np.arange(kept)]
-        vectors = vectors * np.where(peaks < 0, -1.0, 1.0)
-        spread = np.trace(cross[np.ix_(chosen, chosen)]) / (n - 1)
-        out = []
-        for c in range(kept):
-            loading = np.zeros(size)
-            loading[chosen] = vectors[:, c]
-            value = max(float(values[c]), 0.0)
-            out.append([key[0], c + 1, value, value / spread if spread > 0 else 0.0, n, len(chosen), loading, mean])
-        return pd.DataFrame(out, columns=[
-            "model_fold", "component", "eigenvalue", "explained_ratio", "n_train", "n_selected", "loading", "mean",
-        ])
+        full = np.zeros((width, kept))
+        full[subset[own]] = vectors
+        centre = np.zeros(width)
+        centre[subset] = mean
+        return component_rows(key[0], values, full, np.trace(scaled), n, len(own), centre)
+
+    blocks = moment_blocks(rows, column, folds, None if len(subset) == width else subset)
+    return blocks.groupBy("model_fold").applyInPandas(solve, PCA_SCHEMA)
+
+
+def fold_features(chosen: dict[str, np.ndarray], fold: str, width: int) -> np.ndarray:
+    return chosen[fold] if chosen else np.arange(width)
 
-    return moment_blocks(rows, column, folds).groupBy("model_fold").applyInPandas(solve, PCA_SCHEMA)
+
+def project_back(
+    rows: DataFrame, column: str, folds: list[str], weights: dict[str, tuple], chosen: dict[str, np.ndarray], kind: str
+) -> DataFrame:
+    """Sum over training rows of row x weight: (fold, stat) with features x components.
+
+    `weights[fold]` is either a row-keyed table ("rows": entity -> k numbers) or
+    feature directions ("features": features x k) with the fold mean.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = BlockSums(["model_fold"])
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            data = stack(pdf[column])
+            for fold in folds:
+                train = train_mask(pdf, fold)
+                own = fold_features(chosen, fold, data.shape[1])
+                mean, table = shared.value[fold]
+                part = data[train][:, own] - mean[own]
+                if kind == "rows":
+                    k = len(next(iter(table.values())))
+                    w = np.array([table[e] for e in pdf["entity"][train]]).reshape(-1, k)
+                else:
+                    w = part @ table
+                sums.add((fold,), np.concatenate([(part.T @ w).ravel(), [np.sum(part * part)]]))
+            if sums.full():
+                yield from sums.drain()
+        yield from sums.drain()
+
+    needed = [c for c in fold_columns(rows) if c != "test_of"]
+    blocks = rows.select("entity", column, *needed).mapInPandas(partial, "model_fold string, stat array<double>")
+    return sum_blocks(blocks, ["model_fold"])
+
+
+def fold_means(rows: DataFrame, column: str, folds: list[str]) -> dict[str, tuple[int, np.ndarray]]:
+    """Training count and mean vector per fold (folds x features numbers)."""
+    out = {}
+    for r in feature_moments(rows, column, folds).collect():
+        stat = np.asarray(r["stat"])
+        width = (len(stat) - 1) // 2
+        out[r["model_fold"]] = (int(round(stat[0])), stat[1:1 + width] / max(stat[0], 1.0))
+    return out
+
+
+def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, chosen: dict[str, np.ndarray]) -> DataFrame:
+    """Exact PCA of few, very wide rows from the row Gram matrix.
+
+    Feature blocks are spread over tasks (each holds every row's slice of one
+    block); only n x n sums, at most MAX_DUAL_ROWS squared, reach a fold solve.
+    """
+    means = fold_means(rows, column, folds)
+    width = len(next(iter(means.values()))[1])
+    wanted = {f: np.isin(np.arange(width), fold_features(chosen, f, width)) for f in folds}
+    needed = [c for c in fold_columns(rows) if c != "test_of"]
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.lit((width - 1) // DUAL_BLOCK)),
+        lambda b: F.struct(b.alias("b"), F.slice(F.col(column), b * DUAL_BLOCK + 1, DUAL_BLOCK).alias("part")),
+    )
+    sliced = rows.select("entity", *needed, F.explode(pieces).alias("_s")).select("entity", *needed, "_s.b", "_s.part")
+    kind = dict(rows.dtypes)["entity"]
+
+    def gram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("entity")
+        start, data, out = key[0] * DUAL_BLOCK, stack(pdf["part"]), []
+        for fold in folds:
+            train = train_mask(pdf, fold)
+            span = slice(start, start + data.shape[1])
+            part = (data[train] - means[fold][1][span])[:, wanted[fold][span]]
+            out.append([fold, pdf["entity"][train].to_numpy(), (part @ part.T).ravel()])
+        return pd.DataFrame(out, columns=["model_fold", "entities", "stat"])
+
+    blocks = sliced.groupBy("b").applyInPandas(gram, f"model_fold string, entities array<{kind}>, stat array<double>")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k = stack(pdf["stat"]).sum(axis=0)
+        names = pdf["entities"].iloc[0]
+        n = len(names)
+        k = k.reshape(n, n)
+        kept = min(components, n - 1)
+        values, vectors = np.linalg.eigh(k)
+        values, vectors = values[::-1][:kept], vectors[:, ::-1][:, :kept]
+        # loadings = rows' x eigenvector / singular value
+        scaled = vectors / np.sqrt(np.maximum(values, 1e-300))
+        return pd.DataFrame([[key[0], names, scaled.ravel(), values, float(np.trace(k))]],
+                            columns=["model_fold", "entities", "weights", "eigen", "trace"])
+
+    solved = blocks.groupBy("model_fold").applyInPandas(
+        solve, f"model_fold string, entities array<{kind}>, weights array<double>, eigen array<double>, trace double"
+    ).collect()
+    weights, facts = {}, {}
+    for r in solved:
+        table = np.asarray(r["weights"]).reshape(len(r["entities"]), -1)
+        weights[r["model_fold"]] = (means[r["model_fold"]][1], dict(zip(r["entities"], table, strict=True)))
+        facts[r["model_fold"]] = (np.asarray(r["eigen"]), r["trace"])
+    sums = project_back(rows, column, folds, weights, chosen, "rows")
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold, (eigen, trace) = key[0], facts[key[0]]
+        n, mean = means[fold]
+        own = fold_features(chosen, fold, width)
+        full = np.zeros((width, len(eigen)))
+        full[own] = np.asarray(pdf["stat"].iloc[0])[:-1].reshape(len(own), len(eigen))
+        return component_rows(fold, eigen / (n - 1), full, trace / (n - 1), n, len(own), mean)
+
+    return sums.groupBy("model_fold").applyInPandas(finish, PCA_SCHEMA)
+
+
+def subspace_pca(
+    rows: DataFrame, column: str, folds: list[str], components: int, chosen: dict[str, np.ndarray],
+    passes: int = 30, extra: int = 10,
+) -> DataFrame:
+    """PCA of many very wide rows by block power iteration with oversampling.
+
+    Each pass is one distributed job over the rows; the driver only
+    orthonormalises features x (components + extra) numbers per fold.
+    """
+    means = fold_means(rows, column, folds)
+    width = len(next(iter(means.values()))[1])
+    directions, facts = {}, {}
+    for fold in folds:
+        own = fold_features(chosen, fold, width)
+        k = min(components + extra, means[fold][0] - 1, len(own))
+        start = np.random.default_rng(len(own)).standard_normal((len(own), k))
+        directions[fold] = np.linalg.qr(start)[0]
+    for _ in range(passes):
+        state = {f: (means[f][1], directions[f]) for f in folds}
+        for r in project_back(rows, column, folds, state, chosen, "features").collect():
+            fold = r["model_fold"]
+            stat = np.asarray(r["stat"])
+            image = stat[:-1].reshape(directions[fold].shape)
+            small = directions[fold].T @ image
+            values, mix = np.linalg.eigh((small + small.T) / 2)
+            facts[fold] = (values[::-1], directions[fold] @ mix[:, ::-1], stat[-1])
+            directions[fold] = np.linalg.qr(image)[0]
+    out = []
+    for fold in folds:
+        values, vectors, trace = facts[fold]
+        n, mean = means[fold]
+        kept = min(components, n - 1, vectors.shape[1])
+        own = fold_features(chosen, fold, width)
+        full = np.zeros((width, kept))
+        full[own] = vectors[:, :kept]
+        out.append(component_rows(fold, values[:kept] / (n - 1), full, trace / (n - 1), n, len(own), mean))
+    return rows.sparkSession.createDataFrame(pd.concat(out), PCA_SCHEMA)
 
 
 @dataclass
@@ -246,16 +506,19 @@ def scores(rows: DataFrame, pca: DataFrame, column: str, folds: list[str], white
     def run(models: dict, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         data = stack(pdf[column])
         for fold, model in models.items():
-            z = model.scores(data, whiten)
+            scope = in_scope(pdf, fold)
+            if not scope.any():
+                continue
+            z = model.scores(data[scope], whiten)
             test, held = mask_of(pdf["test_of"], fold), mask_of(pdf["held_of"], fold)
-            role = np.where(test, "test", np.where(held, "excluded", "train"))
-            yield pd.DataFrame({"model_fold": fold, "entity": pdf["entity"], "role": role, out: list(z)})
+            role = np.where(test, "test", np.where(held, "excluded", "train"))[scope]
+            yield pd.DataFrame({"model_fold": fold, "entity": pdf["entity"][scope], "role": role, out: list(z)})
 
     kind = dict(rows.dtypes)["entity"]
     return apply_models(
         rows, pca, "loading", folds, load_projection, run,
         f"model_fold string, entity {kind}, role string, {out} array<double>",
-        ["entity", column, "test_of", "held_of"],
+        ["entity", column, *fold_columns(rows)],
     )
 
 
@@ -278,7 +541,7 @@ def ridge_moments(
         sums = BlockSums(["model_fold", "target_block", "n_design", "n_scaled"])
         y = stack(pdf[target])
         for fold, model in models.items():
-            train = ~mask_of(pdf["held_of"], fold)
+            train = train_mask(pdf, fold)
             if not train.any():
                 continue
             d = design(model, pdf[train], column, extra)
@@ -290,7 +553,8 @@ def ridge_moments(
                 sums.add((fold, b // TARGET_BLOCK, d.shape[1], scaled), stat)
         yield from sums.drain()
 
-    columns = ["entity", column, target, "held_of"] + ([extra] if extra else [])
+    needed = [c for c in fold_columns(rows) if c != "test_of"]
+    columns = ["entity", column, target, *needed] + ([extra] if extra else [])
     blocks = apply_models(rows, pca, "loading", folds, load_projection, run, RIDGE_SCHEMA, columns)
     return sum_blocks(blocks, ["model_fold", "target_block", "n_design", "n_scaled"])
 
@@ -420,7 +684,7 @@ def fold_predictions(
 
     def run(models_by_fold: dict, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for fold, model in models_by_fold.items():
-            test = mask_of(pdf["test_of"], fold)
+            test = mask_of(pdf["test_of"], fold) & in_scope(pdf, fold)
             if not test.any():
                 continue
             part = pdf[test]
@@ -444,7 +708,8 @@ def fold_predictions(
                     out["predicted"] = list(predicted)
                 yield pd.DataFrame(out)
 
-    columns = ["entity", column, "test_of"] + ([target] if losses else []) + ([extra] if extra else [])
+    needed = [c for c in fold_columns(rows) if c != "held_of"]
+    columns = ["entity", column, *needed] + ([target] if losses else []) + ([extra] if extra else [])
     return apply_models(rows, models, model_size(), folds, load_fold_model, run, schema, columns)
 
 
@@ -453,14 +718,17 @@ def tall_loadings(pca: DataFrame) -> DataFrame:
     return pca.select("model_fold", "component", F.posexplode("loading").alias("feature", "loading"))
 
 
-def subspace_overlap(pca: DataFrame, rank: int) -> DataFrame:
-    """Squared cosines between the leading subspaces of each pair of folds.
+def subspace_overlap(pca: DataFrame, rank: int, folds: list[str]) -> DataFrame:
+    """Squared cosines between the leading subspaces of each pair of folds a < b.
 
-    The fold pairs come from an ordered self join of the small model table.
+    The later fold's rows are copied to the earlier fold names and met by key.
     """
     top = pca.where(F.col("component") <= rank).select("model_fold", "component", "loading")
     left = top.select(F.col("model_fold").alias("fold_a"), F.col("component").alias("ca"), F.col("loading").alias("la"))
-    right = top.select(F.col("model_fold").alias("fold_b"), F.col("component").alias("cb"), F.col("loading").alias("lb"))
+    earlier = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f < F.col("model_fold"))
+    right = top.select(
+        F.explode(earlier).alias("fold_a"), F.col("model_fold").alias("fold_b"), F.col("component").alias("cb"), F.col("loading").alias("lb")
+    )
     schema = "fold_a string, fold_b string, mean_squared_cosine double, min_squared_cosine double, max_squared_cosine double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -471,7 +739,4 @@ def subspace_overlap(pca: DataFrame, rank: int) -> DataFrame:
             "fold_a", "fold_b", "mean_squared_cosine", "min_squared_cosine", "max_squared_cosine",
         ])
 
-    pairs = left.join(right, F.col("fold_a") < F.col("fold_b"))
-    return pairs.groupBy("fold_a", "fold_b").applyInPandas(run, schema)
-
-
+    return left.join(right, "fold_a").groupBy("fold_a", "fold_b").applyInPandas(run, schema)

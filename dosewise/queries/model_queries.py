@@ -264,7 +264,7 @@ SELECT fold_a, fold_b, round(sum(s) / 2, 5) AS mean_squared_cosine FROM pr GROUP
 def subspace_overlap(spark, sf):
     """Mean squared cosine between the control subspaces of each fold pair."""
     fitted = outer_fit(spark, sf, ranks=0)
-    return B.rounded(linear.subspace_overlap(fitted.control, 2).select("fold_a", "fold_b", "mean_squared_cosine"), 5)
+    return B.rounded(linear.subspace_overlap(fitted.control, 2, fitted.folds).select("fold_a", "fold_b", "mean_squared_cosine"), 5)
 
 
 @query()
