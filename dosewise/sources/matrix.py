@@ -17,20 +17,30 @@ def matrix_shape(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return g, c, n
 
 
-def read_matrix(spark: SparkSession, path: str, source: str, check: bool = True) -> DataFrame:
+def read_matrix(
+    spark: SparkSession, path: str, source: str, check: bool = True, header: str | None = None
+) -> DataFrame:
     """Coordinate file -> (source, gene_idx, cell_idx, x), 1-based indices.
 
     The dimension line comes back from the CSV reader as a data row; it is the
     only row whose indices equal the shape and whose value equals the count.
+    A matrix split over many files keeps its comment and dimension lines in a
+    file of their own, named by `header`.
     """
-    shape = matrix_shape(spark, path)
+    shape = matrix_shape(spark, header or path)
     raw = spark.read.csv(path, sep=" ", comment="%", schema=COUNT_SCHEMA)
+    if header is not None:
+        return checked_counts(raw, shape, source, check)
     size_line = (F.col("gene_idx") == shape[0]) & (F.col("cell_idx") == shape[1]) & (F.col("x") == shape[2])
     # a real entry could carry the same three numbers, so one match is the header and any other is data
     repeats = raw.where(size_line).count()
     rows = raw.where(~size_line)
     if repeats > 1:
         rows = rows.unionByName(raw.where(size_line).limit(repeats - 1))
+    return checked_counts(rows, shape, source, check)
+
+
+def checked_counts(rows: DataFrame, shape: tuple[int, int, int], source: str, check: bool) -> DataFrame:
     if check:
         C.require(C.report([
             C.expected_count(rows, shape[2], "nonzero_count"),
