@@ -51,7 +51,15 @@ def with_library(profile: DataFrame, keys: list[str]) -> DataFrame:
     return profile.withColumn("library_size", F.sum("total").over(Window.partitionBy(*keys)))
 
 
-def normalised(profile: DataFrame, keys: list[str]) -> DataFrame:
+def normalised(profile: DataFrame, keys: list[str], together: list[str] | None = None) -> DataFrame:
+    """log1p CPM per profile.
+
+    `together` names a subset of the keys to partition by: the library window
+    and every later aggregation that keeps those keys then share one shuffle.
+    Rows are sums by now, so a partition key holds a few dictionaries at most.
+    """
+    if together:
+        profile = profile.repartition(*together)
     sized = with_library(profile, keys)
     return sized.withColumn("log1p_cpm", S.log1p_cpm("total", "library_size"))
 

@@ -56,6 +56,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """(features, their number); marked for broadcast once the count is within its bound."""
+    table_ = genes(spark, sf)
+    n = table_.count()
+    return (F.broadcast(table_) if n <= DICTIONARY_BOUND else table_), n
+
+
 def count_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Count rows before their features are looked up."""
     return table(spark, sf, "lineitem").select(
@@ -65,8 +72,11 @@ def count_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, sf: str) -> DataFrame:
+def counts(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
+    """Count rows with their gene_id, or with the gene_idx of a dictionary."""
     parts = part_genes(spark, sf).select("p_partkey", "gene_id")
+    if features is not None:
+        parts = parts.join(features.select("gene_id", "gene_idx"), "gene_id").select("p_partkey", "gene_idx")
     lines = count_lines(spark, sf)
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
@@ -81,22 +91,25 @@ def entity_cells(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(good_cells(spark, sf), "cell")
 
 
-def observed(spark: SparkSession, sf: str) -> DataFrame:
+def observed(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
     """Counts of good cells with their hour."""
-    return counts(spark, sf).join(good_cells(spark, sf), "cell")
+    return counts(spark, sf, features).join(good_cells(spark, sf), "cell")
 
 
-def profiles(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity", "condition")) -> DataFrame:
+def profiles(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity", "condition"),
+             features: DataFrame | None = None) -> DataFrame:
     """Normalised sparse profiles per key."""
-    return K.normalised(K.pseudobulk(observed(spark, sf), list(keys), "gene_id"), list(keys))
+    feature = "gene_id" if features is None else "gene_idx"
+    together = [k for k in keys if k != "condition"] if features is not None else None
+    return K.normalised(K.pseudobulk(observed(spark, sf, features), list(keys), feature), list(keys), together)
 
 
 def response(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Dense control / treated / delta values per key and gene_idx."""
-    dictionary = genes(spark, sf)
-    sparse = K.condition_delta(profiles(spark, sf, (*keys, "condition")), [*keys, "gene_id"], "log1p_cpm")
-    indexed = sparse.join(dictionary.select("gene_id", "gene_idx"), "gene_id")
-    return K.densify(indexed, list(keys), "gene_idx", dictionary.count(), ["control", "treated", "delta"])
+    features, n = dictionary(spark, sf)
+    paired = profiles(spark, sf, (*keys, "condition"), features)
+    sparse = K.condition_delta(paired, [*keys, "gene_idx"], "log1p_cpm")
+    return K.densify(sparse, list(keys), "gene_idx", n, ["control", "treated", "delta"])
 
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:

@@ -132,13 +132,14 @@ def _pairs_by_entity(spark, sf, left, right):
     for (condition, hour), name in sides.items():
         test = (F.col("condition") == condition) & (F.col("hour") == hour)
         label = F.when(test, name) if label is None else label.when(test, name)
-    rows = B.profiles(spark, sf, ("entity", "condition", "hour")).withColumn("side", label).where(F.col("side").isNotNull())
-    owned = rows.groupBy("entity").agg(F.count_distinct("side").alias("n")).where("n = 2").select("entity")
+    features, n = B.dictionary(spark, sf)
+    wanted = B.observed(spark, sf, features).withColumn("side", label).where(F.col("side").isNotNull())
+    keys = ["entity", "side"]
+    rows = K.normalised(K.pseudobulk(wanted, keys, "gene_idx"), keys, together=["entity"])
     pick = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("log1p_cpm"))), F.lit(0.0)).alias(s)
-    wide = rows.groupBy("entity", "gene_id").agg(pick("left"), pick("right")).join(owned, "entity", "left_semi")
-    dictionary = B.genes(spark, sf)
-    indexed = wide.join(dictionary.select("gene_id", "gene_idx"), "gene_id")
-    return K.densify(indexed, ["entity"], "gene_idx", dictionary.count(), ["left", "right"]), dictionary
+    owned = rows.groupBy("entity").agg(F.count_distinct("side").alias("n")).where("n = 2").select("entity")
+    wide = rows.groupBy("entity", "gene_idx").agg(pick("left"), pick("right")).join(owned, "entity", "left_semi")
+    return K.densify(wide, ["entity"], "gene_idx", n, ["left", "right"]), features
 
 
 def _pairs_sql(left, right):
@@ -165,7 +166,7 @@ FROM k GROUP BY entity""")
 def control_qc(spark, sf):
     """Control at 6 h against control at 24 h on the masked features, per entity."""
     pairs, dictionary = _pairs_by_entity(spark, sf, ("control", 6), ("control", 24))
-    mask = control_feature_mask(spark, sf).join(dictionary, "gene_id").select("gene_idx")
+    mask = F.broadcast(control_feature_mask(spark, sf).join(dictionary, "gene_id").select("gene_idx"))  # within the dictionary
     masked = pairs.join(mask, "gene_idx", "left_semi")
     return B.rounded(K.compare_vectors(masked, ["entity"], "left", "right", ranks=True, largest=B.DICTIONARY_BOUND))
 
@@ -198,20 +199,22 @@ def direction_compare(spark, sf):
 
     Absent features add zero to every sum, so only the feature count is needed.
     """
-    rows = B.profiles(spark, sf, ("entity", "condition", "hour"))
     tests = {
         "c6": (F.col("condition") == "control") & (F.col("hour") == 6),
         "c24": (F.col("condition") == "control") & (F.col("hour") == 24),
         "t24": (F.col("condition") == "treated") & (F.col("hour") == 24),
     }
     label = S.first_match([(t, n) for n, t in tests.items()], "")
-    rows = rows.withColumn("side", label).where(F.col("side") != "")
+    features, size = B.dictionary(spark, sf)
+    wanted = B.observed(spark, sf, features).withColumn("side", label).where(F.col("side") != "")
+    keys = ["entity", "side"]
+    rows = K.normalised(K.pseudobulk(wanted, keys, "gene_idx"), keys, together=["entity"])
     owned = rows.groupBy("entity").agg(F.count_distinct("side").alias("n")).where("n = 3").select("entity")
     value = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("log1p_cpm"))), F.lit(0.0))
-    diffs = rows.join(owned, "entity", "left_semi").groupBy("entity", "gene_id").agg(
+    diffs = rows.join(owned, "entity", "left_semi").groupBy("entity", "gene_idx").agg(
         (value("c24") - value("c6")).alias("a"), (value("t24") - value("c24")).alias("b")
     )
-    n = F.lit(float(B.genes(spark, sf).count()))
+    n = F.lit(float(size))
     total = lambda e: F.sum(e)
     a, b = F.col("a"), F.col("b")
     sums = diffs.groupBy("entity").agg(
@@ -271,16 +274,18 @@ SELECT repeat, entity, round(sqrt(avg(pow(a - b, 2))), 6) AS rmse, round(sqrt(av
   round({B.pearson_sql('a', 'b')}, 6) AS pearson, round({B.pearson_sql('ra', 'rb')}, 6) AS spearman FROM k GROUP BY ALL""")
 def split_half_noise(spark, sf):
     """Response from one half of the cells against the other half."""
-    obs = B.counts(spark, sf)
+    features, n = B.dictionary(spark, sf)
+    obs = B.counts(spark, sf, features)
     cells = B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition")
     halves = resample.split_halves(cells, ["entity", "condition"], ["cell"], B.SEED, 5)
     keys = ["repeat", "entity", "condition", "half"]
-    sums = K.pseudobulk(obs.join(halves, ["entity", "cell", "condition"]), keys, "gene_id")
-    deltas = K.condition_delta(K.normalised(sums, keys), ["repeat", "entity", "half", "gene_id"], "log1p_cpm")
-    side = lambda h: F.coalesce(F.sum(F.when(F.col("half") == h, F.col("delta"))), F.lit(0.0)).alias(h)
-    wide = deltas.groupBy("repeat", "entity", "gene_id").agg(side("a"), side("b"))
-    dictionary = B.genes(spark, sf)
-    indexed = wide.join(dictionary.select("gene_id", "gene_idx"), "gene_id")
-    dense = K.densify(indexed, ["repeat", "entity"], "gene_idx", dictionary.count(), ["a", "b"])
+    sums = K.pseudobulk(obs.join(halves, ["entity", "cell", "condition"]), keys, "gene_idx")
+    signed = K.normalised(sums, keys, together=["repeat", "entity"]).withColumn(
+        "signed", F.when(F.col("condition") == "treated", F.col("log1p_cpm")).otherwise(-F.col("log1p_cpm"))
+    )
+    # treated - control of both halves in one aggregation
+    side = lambda h: F.coalesce(F.sum(F.when(F.col("half") == h, F.col("signed"))), F.lit(0.0)).alias(h)
+    wide = signed.groupBy("repeat", "entity", "gene_idx").agg(side("a"), side("b"))
+    dense = K.densify(wide, ["repeat", "entity"], "gene_idx", n, ["a", "b"])
     result = K.compare_vectors(dense, ["repeat", "entity"], "a", "b", ranks=True, largest=B.DICTIONARY_BOUND)
     return B.rounded(result.select("repeat", "entity", "rmse", (F.col("rmse") / 2).alias("noise_floor"), "pearson", "spearman"))

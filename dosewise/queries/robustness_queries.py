@@ -25,13 +25,11 @@ def vectors_of(rows, keys, index="gene_idx"):
     )
 
 
-def dense_vectors(sums, keys, dictionary, feature="gene_id"):
-    """Summed counts (keys + condition, feature, total) -> x / y vectors per key."""
-    normal = K.normalised(sums, [*keys, "condition"])
-    sparse = K.condition_delta(normal, [*keys, feature], "log1p_cpm")
-    indexed = sparse.join(dictionary.select(feature, "gene_idx"), feature)
-    dense = K.densify(indexed, keys, "gene_idx", dictionary.count(), ["control", "delta"])
-    return vectors_of(dense, keys)
+def dense_vectors(sums, keys, size):
+    """Summed counts (keys + condition, gene_idx, total) -> x / y vectors of `size` features per key."""
+    normal = K.normalised(sums, [*keys, "condition"], together=keys)
+    sparse = K.condition_delta(normal, [*keys, "gene_idx"], "log1p_cpm")
+    return vectors_of(K.densify(sparse, keys, "gene_idx", size, ["control", "delta"]), keys)
 
 
 @query()
@@ -40,9 +38,10 @@ def subsample_refit(spark, sf):
     cells = B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition")
     chosen = resample.sample_cells(cells, ["entity", "condition"], ["cell"], 20, B.SEED, 5)
     keys = ["repeat", "entity"]
-    picked = B.counts(spark, sf).join(chosen, ["entity", "cell", "condition"])
-    rows = dense_vectors(K.pseudobulk(picked, [*keys, "condition"], "gene_id"), keys, B.genes(spark, sf))
-    tagged = rows.join(B.suppliers(spark, sf).select("entity", "lineage"), "entity").withColumn("variant", F.col("repeat").cast("string"))
+    features, n = B.dictionary(spark, sf)
+    picked = B.counts(spark, sf, features).join(chosen, ["entity", "cell", "condition"])
+    rows = dense_vectors(K.pseudobulk(picked, [*keys, "condition"], "gene_idx"), keys, n)
+    tagged = pinned(rows.join(B.suppliers(spark, sf).select("entity", "lineage"), "entity").withColumn("variant", F.col("repeat").cast("string")))
     keyed = pinned(robustness.keyed_variants(tagged, "lineage", K_FOLDS, B.SEED, shared_folds=True))
     losses = robustness.fixed_outer_losses(keyed, [str(r) for r in range(5)], K_FOLDS, dimension=5, max_features=100, min_mean=0.1)
     return B.rounded(robustness.variant_gains(losses, B.SEED, REPS))
@@ -51,12 +50,13 @@ def subsample_refit(spark, sf):
 @query()
 def threshold_sweep(spark, sf):
     """Gain of the fixed model at inclusion thresholds 10 / 20 / 30 with folds dealt again."""
-    sums = K.pseudobulk(B.observed(spark, sf), ["entity", "condition"], "gene_id")
-    rows = dense_vectors(sums, ["entity"], B.genes(spark, sf))
+    features, n = B.dictionary(spark, sf)
+    sums = K.pseudobulk(B.observed(spark, sf, features), ["entity", "condition"], "gene_idx")
+    rows = dense_vectors(sums, ["entity"], n)
     side = lambda c: F.count_if((F.col("condition") == c) & (F.col("hour") == 24))
     support = B.entity_cells(spark, sf).groupBy("entity").agg(F.least(side("control"), side("treated")).alias("support"))
     tagged = rows.join(support, "entity").join(B.suppliers(spark, sf).select("entity", "lineage"), "entity")
-    variants = robustness.inclusion_variants(tagged, "support", (10, 20, 30))
+    variants = pinned(robustness.inclusion_variants(tagged, "support", (10, 20, 30)))
     keyed = pinned(robustness.keyed_variants(variants, "lineage", K_FOLDS, B.SEED))
     present = sorted(r[0] for r in keyed.select("variant").distinct().limit(100).collect())  # the threshold list
     losses = robustness.fixed_outer_losses(keyed, present, K_FOLDS, dimension=5, max_features=100, min_mean=0.1)
@@ -88,13 +88,16 @@ SELECT entity, hour, round(sqrt(avg(pow(my - y[target], 2))), 5) AS rmse_mean, r
 def transfer_by_hour(spark, sf):
     """Fit on pooled profiles of four regions, predict the fifth region's entities at every hour."""
     brands = B.table(spark, sf, "part").select(F.col("p_brand").alias("gene_symbol")).distinct()
-    dictionary = pinned(ranking.row_index(brands, [], [F.asc("gene_symbol")], "gene_idx", largest=B.DICTIONARY_BOUND))
-    parts = B.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene_symbol"))
+    indexed = pinned(ranking.row_index(brands, [], [F.asc("gene_symbol")], "gene_idx", largest=B.DICTIONARY_BOUND))
+    size = indexed.count()
+    parts = B.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene_symbol")).join(
+        F.broadcast(indexed) if size <= B.DICTIONARY_BOUND else indexed, "gene_symbol"
+    ).select("p_partkey", "gene_idx")
     lines = B.count_lines(spark, sf).where(F.col("condition").isin("control", "treated"))
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(B.good_cells(spark, sf), "cell")
-    hourly = pinned(K.pseudobulk(joined, ["entity", "condition", "hour"], "gene_symbol"))
-    pooled = hourly.groupBy("entity", "condition", "gene_symbol").agg(F.sum("total").alias("total")).withColumn("hour", F.lit(0))
-    rows = dense_vectors(hourly.unionByName(pooled), ["entity", "hour"], dictionary, "gene_symbol")
+    hourly = pinned(K.pseudobulk(joined, ["entity", "condition", "hour"], "gene_idx"))
+    pooled = hourly.groupBy("entity", "condition", "gene_idx").agg(F.sum("total").alias("total")).withColumn("hour", F.lit(0))
+    rows = dense_vectors(hourly.unionByName(pooled), ["entity", "hour"], size)
     regions = B.suppliers(spark, sf).select("entity", "n_regionkey")
     rows = pinned(rows.join(regions, "entity"))
     training = rows.where("n_regionkey > 0 and hour = 0").select("entity", "x", "y")
