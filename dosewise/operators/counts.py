@@ -67,17 +67,23 @@ def normalised(profile: DataFrame, keys: list[str], together: list[str] | None =
 def densify(sparse: DataFrame, keys: list[str], index: str, size: int | Column, values: list[str]) -> DataFrame:
     """Add the implicit zeros: every key gets indices 1..size.
 
-    Zero rows are generated from the distinct keys and merged by a partial
-    aggregation, so no key is joined to the whole dictionary.
+    The first row of each key emits the zeros, so the table is read once and no
+    key is joined to the dictionary; the sums that merge them reuse the
+    partitioning of the keys. A key holds at most one dictionary of rows.
     """
-    bound = F.lit(size) if isinstance(size, int) else size
-    zeros = sparse.select(*keys).distinct().select(
+    types = dict(sparse.dtypes)
+    bound = (F.lit(size) if isinstance(size, int) else size).cast("int")
+    own = F.array(F.lit(0))
+    lead = F.row_number().over(Window.partitionBy(*keys).orderBy(index)) == 1
+    slots = F.explode(F.when(F.col("_lead"), F.concat(own, F.sequence(F.lit(1), bound))).otherwise(own))
+    rows = sparse.select(*keys, index, *values, lead.alias("_lead")).withColumn("_slot", slots)
+    kept = F.col("_slot") == 0
+    filled = rows.select(
         *keys,
-        F.explode(F.sequence(F.lit(1), bound.cast("int"))).alias(index),
-        *[F.lit(0).cast(dict(sparse.dtypes)[v]).alias(v) for v in values],
+        F.when(kept, F.col(index).cast("int")).otherwise(F.col("_slot")).alias(index),
+        *[F.when(kept, F.col(v)).otherwise(F.lit(0).cast(types[v])).alias(v) for v in values],
     )
-    rows = sparse.select(*keys, F.col(index).cast("int").alias(index), *values).unionByName(zeros)
-    return rows.groupBy(*keys, index).agg(*[F.sum(v).alias(v) for v in values])
+    return filled.groupBy(*keys, index).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def condition_delta(

@@ -4,8 +4,8 @@ A plain window sorts each group inside one task. That is right for groups with
 a fixed bound (features of a dictionary, replicates of a bootstrap) and wrong
 for a group that may hold a third of all rows. Two exact ways are used instead:
 
-* `hash_rank`: the order is a uniform hash, so its leading hex digits split any
-  group evenly; local row numbers plus per-bucket offsets give the rank.
+* `hash_rank`: the order is a uniform hash, so its leading hex digits split a
+  large group evenly; local row numbers plus per-bucket offsets give the rank.
 * `running`: the order is a value. Group sizes are checked first; when the
   largest exceeds the window limit the rows are range-partitioned on
   (keys, order), checkpointed so block borders cannot move, and block totals
@@ -34,9 +34,12 @@ def hash_rank(
 ) -> DataFrame:
     """1-based rank by (hash, ties) within keys; optionally the group size too.
 
-    With a known bound `largest` under the window limit a plain window is used.
+    `largest` is a known bound on the group size; without it the sizes are
+    counted. Groups under the window limit take a plain window.
     """
-    if largest is not None and largest <= limit(df.sparkSession, WINDOW_ROWS_KEY, DEFAULT_WINDOW_ROWS):
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= limit(df.sparkSession, WINDOW_ROWS_KEY, DEFAULT_WINDOW_ROWS):
         part = Window.partitionBy(*keys)
         ranked = df.withColumn("_h", hash_col).withColumn(
             out, F.row_number().over(part.orderBy("_h", *ties)).cast("bigint")

@@ -49,8 +49,10 @@ def undersized(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def split_halves(cells: DataFrame, keys: list[str], cell: list[str], seed: int | str, repeats: int) -> DataFrame:
     """Two random halves of equal size per key and repeat; an odd cell is dropped."""
+    largest = ranking.largest_group(cells, keys)
     ranked = ranking.hash_rank(
-        replicates(cells, repeats, "repeat"), ["repeat", *keys], order_hash(seed, "repeat", *cell), cell, "rn", "_n"
+        replicates(cells, repeats, "repeat"), ["repeat", *keys], order_hash(seed, "repeat", *cell), cell, "rn", "_n",
+        largest=largest,
     )
     half = F.floor(F.col("_n") / 2)
     return (
@@ -129,7 +131,7 @@ def permuted(
         shuffled = copies.withColumn("_h", order_number(seed, "rep", "pos"))
         place = Window.partitionBy(*keys, "rep").orderBy("_h", "pos")
         return shuffled.withColumn("rn", F.row_number().over(place).cast("bigint")).drop("_h")
-    return ranking.hash_rank(copies, [*keys, "rep"], order_hash(seed, "rep", "pos"), ["pos"], "rn")
+    return ranking.hash_rank(copies, [*keys, "rep"], order_hash(seed, "rep", "pos"), ["pos"], "rn", largest=largest)
 
 
 def spearman_inference(

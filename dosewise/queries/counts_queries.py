@@ -276,7 +276,7 @@ def split_half_noise(spark, sf):
     """Response from one half of the cells against the other half."""
     features, n = B.dictionary(spark, sf)
     obs = B.counts(spark, sf, features)
-    cells = B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition")
+    cells = pinned(B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition"))
     halves = resample.split_halves(cells, ["entity", "condition"], ["cell"], B.SEED, 5)
     keys = ["repeat", "entity", "condition", "half"]
     sums = K.pseudobulk(obs.join(halves, ["entity", "cell", "condition"]), keys, "gene_idx")
