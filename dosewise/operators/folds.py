@@ -11,21 +11,22 @@ from dosewise.operators import ranking
 
 def deal_folds(
     entities: DataFrame, entity: str, group: str, k: int, seed: int | str,
-    parents: list[str] | None = None, out: str = "fold",
+    parents: list[str] | None = None, out: str = "fold", largest: int | None = None,
 ) -> DataFrame:
     """Deal entities to k folds like cards, group after group, larger groups first.
 
     Fold sizes differ by at most one, and so do the counts of each group across
-    folds. Each group starts where the previous one stopped.
+    folds. Each group starts where the previous one stopped. `largest` is a
+    known bound on the entities per parent; without it group sizes are counted.
     """
     parents = parents or []
     if k < 2:
         raise ValueError("at least two folds are needed")
     sizes = entities.groupBy(*parents, group).agg(F.count(F.lit(1)).alias("_n"))
-    upto = ranking.running(sizes, parents, [F.desc("_n"), F.asc(group)], sums={"_upto": "_n"})
+    upto = ranking.running(sizes, parents, [F.desc("_n"), F.asc(group)], sums={"_upto": "_n"}, largest=largest)
     starts = upto.select(*parents, group, (F.col("_upto") - F.col("_n")).alias("_start"))
     shuffled = ranking.hash_rank(
-        entities, [*parents, group], draws.order_hash(seed, *parents, entity), [entity]
+        entities, [*parents, group], draws.order_hash(seed, *parents, entity), [entity], largest=largest
     )
     return (
         shuffled.join(starts, [*parents, group])
@@ -34,14 +35,16 @@ def deal_folds(
     )
 
 
-def inner_folds(outer: DataFrame, entity: str, group: str, k_outer: int, k_inner: int, seed: int | str) -> DataFrame:
+def inner_folds(
+    outer: DataFrame, entity: str, group: str, k_outer: int, k_inner: int, seed: int | str, largest: int | None = None
+) -> DataFrame:
     """Folds of every outer training set: one row per (outer_fold, training entity)."""
     training = (
         outer.withColumnRenamed("fold", "own_fold")
         .withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))))
         .where(F.col("outer_fold") != F.col("own_fold"))
     )
-    return deal_folds(training, entity, group, k_inner, seed, parents=["outer_fold"], out="inner_fold").drop("own_fold")
+    return deal_folds(training, entity, group, k_inner, seed, parents=["outer_fold"], out="inner_fold", largest=largest).drop("own_fold")
 
 
 def membership(outer: DataFrame, entity: str, fold: str, k: int) -> DataFrame:

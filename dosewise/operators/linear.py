@@ -21,7 +21,9 @@ from dosewise.operators.vectors import MIN_VARIANCE
 from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, fresh, limit
 
 TILE = 128
-TARGET_BLOCK = 4096
+TARGET_BLOCK = 1024
+# Tasks that emit partial sums: a merge group then holds at most this many blocks.
+MAX_PARTIALS = 512
 FLUSH_BYTES = 256 * 1024 * 1024
 MIN_SD = 1e-12
 # Widest table solved from the feature Gram matrix, and most rows solved from the row one.
@@ -93,7 +95,7 @@ class BlockSums:
 
 
 def sum_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Elementwise sum of `stat` per key. A group holds one small block per map task."""
+    """Elementwise sum of `stat` per key. A group holds one small block per emitting task."""
     types = dict(blocks.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", stat array<double>"
 
@@ -152,7 +154,7 @@ def moment_blocks(rows: DataFrame, column: str, folds: list[str], subset: np.nda
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
-    blocks = rows.select(column, *needed).mapInPandas(partial, BLOCK_SCHEMA)
+    blocks = rows.select(column, *needed).coalesce(MAX_PARTIALS).mapInPandas(partial, BLOCK_SCHEMA)
     return per_fold(sum_blocks(blocks, ["model_fold", "ti", "tj"]), folds, ["ti", "tj"])
 
 
@@ -198,14 +200,20 @@ def feature_moments(rows: DataFrame, column: str, folds: list[str]) -> DataFrame
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
-    blocks = rows.select(column, *needed).mapInPandas(partial, "model_fold string, stat array<double>")
+    blocks = rows.select(column, *needed).coalesce(MAX_PARTIALS).mapInPandas(
+        partial, "model_fold string, stat array<double>"
+    )
     return sum_blocks(per_fold(sum_blocks(blocks, ["model_fold"]), folds, []), ["model_fold"])
 
 
 def select_features(
-    rows: DataFrame, column: str, folds: list[str], max_features: int, min_mean: float | None, panel: list[int] | None
+    rows: DataFrame, column: str, folds: list[str], max_features: int | dict[str, int], min_mean: float | None,
+    panel: list[int] | None,
 ) -> dict[str, np.ndarray]:
-    """Most variable features of each fold's training rows: at most max_features indices per fold."""
+    """Most variable features of each fold's training rows: at most max_features indices per fold.
+
+    A dict gives each variant its own limit.
+    """
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         stat = np.asarray(pdf["stat"].iloc[0])
@@ -217,7 +225,8 @@ def select_features(
         if min_mean is not None:
             keep &= mean[chosen] >= min_mean
         chosen = chosen[keep]
-        chosen = chosen[np.argsort(-variance[chosen], kind="stable")][:max_features]
+        most = max_features[scope_of(key[0])] if isinstance(max_features, dict) else max_features
+        chosen = chosen[np.argsort(-variance[chosen], kind="stable")][:most]
         return pd.DataFrame({"model_fold": [key[0]], "chosen": [chosen.astype(np.int32)]})
 
     table = feature_moments(rows, column, folds).groupBy("model_fold").applyInPandas(
@@ -246,7 +255,7 @@ def component_rows(fold: str, values, vectors, spread: float, n: int, selected:
 
 def fit_pca(
     rows: DataFrame, column: str, folds: list[str], components: int,
-    max_features: int | None = None, min_mean: float | None = None, panel: list[int] | None = None,
+    max_features: int | dict[str, int] | None = None, min_mean: float | None = None, panel: list[int] | None = None,
 ) -> DataFrame:
     """PCA per fold over training rows; loadings outside the selection are 0.
 
@@ -325,7 +334,9 @@ def project_back(
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
-    blocks = rows.select("entity", column, *needed).mapInPandas(partial, "model_fold string, stat array<double>")
+    blocks = rows.select("entity", column, *needed).coalesce(MAX_PARTIALS).mapInPandas(
+        partial, "model_fold string, stat array<double>"
+    )
     return sum_blocks(blocks, ["model_fold"])
 
 
@@ -555,7 +566,7 @@ def ridge_moments(
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
     columns = ["entity", column, target, *needed] + ([extra] if extra else [])
-    blocks = apply_models(rows, pca, "loading", folds, load_projection, run, RIDGE_SCHEMA, columns)
+    blocks = apply_models(rows.coalesce(MAX_PARTIALS), pca, "loading", folds, load_projection, run, RIDGE_SCHEMA, columns)
     return sum_blocks(blocks, ["model_fold", "target_block", "n_design", "n_scaled"])
 
 

@@ -78,9 +78,11 @@ def lookup(base: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(base) if rows <= BROADCAST_ROWS else base
 
 
-def positioned(df: DataFrame, keys: list[str], ids: list[str], seed: int | str) -> DataFrame:
+def positioned(
+    df: DataFrame, keys: list[str], ids: list[str], seed: int | str, largest: int | None = None
+) -> DataFrame:
     """Rows with a position 1..n per key in a reproducible random order, checkpointed."""
-    return pinned(ranking.hash_rank(df, keys, order_hash(seed, *ids), ids, "pos", "n"))
+    return pinned(ranking.hash_rank(df, keys, order_hash(seed, *ids), ids, "pos", "n", largest=largest))
 
 
 def bootstrap_rows(
@@ -144,8 +146,9 @@ def spearman_inference(
     count does not depend on summation order.
     """
     rows = df.where(S.is_finite(x, y)).select(*keys, *ids, x, y)
-    ranked = ranking.average_rank(ranking.average_rank(rows, keys, x, "rx"), keys, y, "ry")
-    base = positioned(ranked, keys, ids, seed)
+    most = ranking.largest_group(rows, keys)
+    ranked = ranking.average_rank(ranking.average_rank(rows, keys, x, "rx", most), keys, y, "ry", most)
+    base = positioned(ranked, keys, ids, seed, most)
     total, largest = extent(base)
     observed = base.groupBy(*keys).agg(
         S.pearson("rx", "ry").alias("effect"), F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("_s")
@@ -181,9 +184,10 @@ def partial_spearman_inference(
 ) -> DataFrame:
     """Spearman of x and y after removing the ranked covariate; p permutes the residuals of y."""
     rows = df.where(S.is_finite(x, y, covariate)).select(*keys, *ids, x, y, covariate)
+    most = ranking.largest_group(rows, keys)
     for source, name in ((x, "rx"), (y, "ry"), (covariate, "rz")):
-        rows = ranking.average_rank(rows, keys, source, name)
-    base = positioned(rows, keys, ids, seed)
+        rows = ranking.average_rank(rows, keys, source, name, most)
+    base = positioned(rows, keys, ids, seed, most)
     total, largest = extent(base)
     fits = base.groupBy(*keys).agg(
         F.avg("rx").alias("_mx"), F.avg("ry").alias("_my"), F.avg("rz").alias("_mz"),
@@ -240,11 +244,10 @@ def cliffs_delta_inference(
     rows = df.where(S.is_finite(value) & F.col(flag).isNotNull()).select(
         *keys, *ids, F.col(value).cast("double").alias("v"), F.col(flag).cast("boolean").alias("f")
     )
-    ranked = ranking.average_rank(rows, keys, "v", "r")
-    strata = positioned(ranked, [*keys, "f"], ids, seed)
-    base = pinned(
-        ranking.hash_rank(strata.drop("pos", "n"), keys, order_hash(seed, *ids), ids, "pos", "n")
-    )
+    most = ranking.largest_group(rows, keys)
+    ranked = ranking.average_rank(rows, keys, "v", "r", most)
+    strata = positioned(ranked, [*keys, "f"], ids, seed, most)
+    base = positioned(strata.drop("pos", "n"), keys, ids, seed, most)
     total, largest = extent(base)
     observed = base.groupBy(*keys).agg(
         delta_from_ranks("r", "f").alias("effect"), F.count(F.lit(1)).alias("n"),

@@ -51,15 +51,25 @@ def feasible(candidates: tuple[int, ...], available: int) -> tuple[int, ...]:
 def nested_rows(vectors_table: DataFrame, entity: str, group: str, k_outer: int, k_inner: int, seed: int | str):
     """Attach outer and inner fold keys; returns (rows, fold names, outer table, inner table)."""
     ids = vectors_table.select(entity, group)
-    outer = pinned(folds.deal_folds(ids, entity, group, k_outer, seed))
-    inner = pinned(folds.inner_folds(outer, entity, group, k_outer, k_inner, seed))
+    n = ids.count()
+    # md5 dealing gives the same folds however often it is evaluated
+    outer = folds.deal_folds(ids, entity, group, k_outer, seed, largest=n)
+    inner = folds.inner_folds(outer, entity, group, k_outer, k_inner, seed, largest=n)
     keyed = vectors_table.join(folds.held_out_keys(outer, inner, entity, k_inner), entity)
     names = [str(o) for o in range(k_outer)] + [f"{o}/{i}" for o in range(k_outer) for i in range(k_inner)]
     return pinned(keyed), names, outer, inner
 
 
+def outer_rows(vectors_table: DataFrame, entity: str, group: str, k: int, seed: int | str):
+    """The same without inner folds; returns (rows, fold names)."""
+    ids = vectors_table.select(entity, group)
+    outer = folds.deal_folds(ids, entity, group, k, seed, largest=ids.count())
+    keyed = vectors_table.join(folds.held_out_keys(outer, None, entity), entity)
+    return pinned(keyed), [str(o) for o in range(k)]
+
+
 def fit(
-    rows: DataFrame, names: list[str], components: int, ranks: int = 0, max_features: int | None = None,
+    rows: DataFrame, names: list[str], components: int, ranks: int = 0, max_features: int | dict[str, int] | None = None,
     min_mean: float | None = None, extra: str | None = None, scaled: int = 0, panel: list[int] | None = None,
 ) -> Fitted:
     """Control PCA, ridge moments and (optionally) response PCA of every fold."""
@@ -167,7 +177,7 @@ def held_out_scores(fitted: Fitted, predictions: DataFrame) -> DataFrame:
 
 def external_transfer(
     training: DataFrame, external: DataFrame, setting: linear.Setting, components: int, ranks: int = 0,
-    max_features: int | None = None, min_mean: float | None = None,
+    max_features: int | dict[str, int] | None = None, min_mean: float | None = None,
 ) -> DataFrame:
     """Fit once on all training rows, predict rows of entities absent from training."""
     name = ["all"]

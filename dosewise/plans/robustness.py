@@ -25,11 +25,12 @@ def keyed_variants(rows: DataFrame, group: str, k: int, seed: int | str, shared_
     they must stay the same.
     """
     ids = rows.select("variant", "entity", group)
+    n = ids.count()
     if shared_folds:
-        dealt = folds.deal_folds(ids.select("entity", group).distinct(), "entity", group, k, seed).select("entity", "fold")
+        dealt = folds.deal_folds(ids.select("entity", group).distinct(), "entity", group, k, seed, largest=n).select("entity", "fold")
         keyed = rows.join(dealt, "entity")
     else:
-        dealt = folds.deal_folds(ids, "entity", group, k, seed, parents=["variant"]).select("variant", "entity", "fold")
+        dealt = folds.deal_folds(ids, "entity", group, k, seed, parents=["variant"], largest=n).select("variant", "entity", "fold")
         keyed = rows.join(dealt, ["variant", "entity"])
     name = F.concat_ws("|", "variant", "fold")
     return keyed.withColumn("test_of", F.array(name)).withColumn("held_of", F.array(name))
@@ -37,7 +38,7 @@ def keyed_variants(rows: DataFrame, group: str, k: int, seed: int | str, shared_
 
 def fixed_outer_losses(
     rows: DataFrame, variants: list[str], k: int, dimension: int = DIMENSION, alpha: float = ALPHA,
-    max_features: int | None = None, min_mean: float | None = None,
+    max_features: int | dict[str, int] | None = None, min_mean: float | None = None,
 ) -> DataFrame:
     """Held-out RMSE of the mean and the direct model per (variant, entity)."""
     names = [f"{v}|{f}" for v in variants for f in range(k)]

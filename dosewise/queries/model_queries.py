@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dosewise.operators import enrichment, linear, metrics, vectors
 from dosewise.operators.linear import Setting
-from dosewise.plans import ablation, benchmark
+from dosewise.plans import ablation, benchmark, robustness
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.queries.vector_queries import EMB
@@ -106,12 +106,8 @@ def nested(spark, sf):
 
 
 def outer_fit(spark, sf, components: int = 2, ranks: int = 2) -> benchmark.Fitted:
-    from dosewise.operators import folds
-
-    vectors_table = B.embedded(spark, sf)
-    outer = pinned(folds.deal_folds(vectors_table.select("entity", "lineage"), "entity", "lineage", K_OUTER, B.SEED))
-    keyed = pinned(vectors_table.join(folds.held_out_keys(outer, None, "entity"), "entity"))
-    return benchmark.fit(keyed, [str(o) for o in range(K_OUTER)], components, ranks)
+    rows, names = benchmark.outer_rows(B.embedded(spark, sf), "entity", "lineage", K_OUTER, B.SEED)
+    return benchmark.fit(rows, names, components, ranks)
 
 
 @query(f"""WITH RECURSIVE {MEMBERS}, xr AS (SELECT model_fold, entity, list_slice(e, 1, 32) AS e FROM outer_m JOIN efold USING (entity) WHERE role = 'train'),
@@ -270,14 +266,11 @@ def subspace_overlap(spark, sf):
 @query()
 def variant_grid(spark, sf):
     """Fixed variants (dimension, rank, lineage indicators, covariates) on every outer fold."""
-    from dosewise.operators import folds
-
     lineages = [F.when(F.col("lineage") == i, 1.0).otherwise(0.0) for i in range(10)]
     sign = (F.col("x")[0] > 0).cast("double")
     table = B.embedded(spark, sf).withColumn("extra", F.array(*lineages, sign))
-    outer = pinned(folds.deal_folds(table.select("entity", "lineage"), "entity", "lineage", K_OUTER, B.SEED))
-    rows = pinned(table.join(folds.held_out_keys(outer, None, "entity"), "entity"))
-    fitted = benchmark.fit(rows, [str(o) for o in range(K_OUTER)], 30, 30, extra="extra", scaled=1)
+    rows, names = benchmark.outer_rows(table, "entity", "lineage", K_OUTER, B.SEED)
+    fitted = benchmark.fit(rows, names, 30, 30, extra="extra", scaled=1)
     variants = ablation.fixed_variants(groups=10, covariates=1, widest=30)
     losses = ablation.variant_losses(fitted, variants, extra="extra")
     return B.rounded(losses.groupBy("setting", "dimension", "rank").agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n")))
@@ -329,19 +322,12 @@ def group_out_benchmark(spark, sf):
 
 @query()
 def feature_count_sweep(spark, sf):
-    """Direct model at several variable-feature counts, fold and count together as the key."""
-    from dosewise.operators import folds
-
-    table = B.embedded(spark, sf)
-    outer = pinned(folds.deal_folds(table.select("entity", "lineage"), "entity", "lineage", K_OUTER, B.SEED))
-    rows = pinned(table.join(folds.held_out_keys(outer, None, "entity"), "entity"))
-    names = [str(o) for o in range(K_OUTER)]
-    sweeps = []
-    for count in (8, 16, 32):
-        fitted = benchmark.fit(rows, names, 5, max_features=count)
-        losses = benchmark.grid_losses(fitted, [Setting(f"FEATURES_{count:05d}", 5, 100.0)])
-        sweeps.append(losses)
-    return B.rounded(metrics.union_all(sweeps).groupBy("setting", "model_fold").agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n")))
+    """Gain of the direct model at several variable-feature counts; the count is part of the fold key."""
+    counts = {f"FEATURES_{n:05d}": n for n in (8, 16, 32)}
+    rows = B.embedded(spark, sf).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in counts])))
+    keyed = pinned(robustness.keyed_variants(rows, "lineage", K_OUTER, B.SEED, shared_folds=True))
+    losses = robustness.fixed_outer_losses(keyed, list(counts), K_OUTER, dimension=5, max_features=counts)
+    return B.rounded(robustness.variant_gains(losses, B.SEED, 200))
 
 
 @query()
