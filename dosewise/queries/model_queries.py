@@ -68,9 +68,14 @@ inner_m AS (SELECT outer_fold || '/' || i AS model_fold, entity, CASE WHEN inner
 
 def _fitted_sql(members: str, response: bool = True) -> str:
     """CTEs: z scores, ridge cross products and both PCAs for every fold in `members`."""
-    text = f"""{MEMBERS}, mf AS MATERIALIZED ({members}),
+    return f"""{MEMBERS}, mf AS MATERIALIZED ({members}),
 vec AS MATERIALIZED (SELECT entity, lineage, list_slice(e, 1, 32) AS x, list_slice(e, 33, 64) AS y FROM efold),
-xr AS MATERIALIZED (SELECT model_fold, entity, x AS e FROM mf JOIN vec USING (entity) WHERE role = 'train'),
+{fit_body_sql(response)}"""
+
+
+def fit_body_sql(response: bool = True) -> str:
+    """The fits given mf(model_fold, entity, role) and vec(entity, x, y)."""
+    text = f"""xr AS MATERIALIZED (SELECT model_fold, entity, x AS e FROM mf JOIN vec USING (entity) WHERE role = 'train'),
 {_pair('px', 'xr')},
 xmean AS (SELECT model_fold, list(m ORDER BY i) AS mean FROM (SELECT model_fold, i, avg(e[i]) AS m FROM xr, range(1, 33) t(i) GROUP BY ALL) GROUP BY model_fold),
 z AS MATERIALIZED (SELECT model_fold, entity, role, component, (list_dot_product(x, v) - list_dot_product(mean, v)) / sqrt(lam) AS z FROM mf JOIN vec USING (entity) JOIN px USING (model_fold) JOIN xmean USING (model_fold)),

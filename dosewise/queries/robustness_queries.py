@@ -9,7 +9,7 @@ from dosewise.operators import linear, ranking, resample
 from dosewise.operators.linear import Setting
 from dosewise.plans import benchmark, robustness
 from dosewise.queries import base as B
-from dosewise.queries.model_queries import _pair
+from dosewise.queries.model_queries import PARTS, _pair, fit_body_sql
 from dosewise.queries.registry import query
 from dosewise.session import pinned
 
@@ -32,35 +32,87 @@ def dense_vectors(sums, keys, size):
     return vectors_of(K.densify(sparse, keys, "gene_idx", size, ["control", "delta"]), keys)
 
 
-@query()
+def brand_features(spark, sf):
+    """Brand dictionary: (part key -> gene_idx lookup, number of brands)."""
+    brands = B.table(spark, sf, "part").select(F.col("p_brand").alias("gene_symbol")).distinct()
+    indexed = pinned(ranking.row_index(brands, [], [F.asc("gene_symbol")], "gene_idx", largest=B.DICTIONARY_BOUND))
+    size = indexed.count()
+    small = F.broadcast(indexed) if size <= B.DICTIONARY_BOUND else indexed
+    parts = B.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene_symbol"))
+    return parts.join(small, "gene_symbol").select("p_partkey", "gene_idx"), size
+
+
+def brand_counts(spark, sf, parts):
+    lines = B.count_lines(spark, sf).where(F.col("condition").isin("control", "treated"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+
+
+def gains_sql(sums: str, folds: str) -> str:
+    """Gain intervals from CTEs sums(variant, entity, condition, brand, total) and fo(variant, entity, fold)."""
+    text = f"""WITH RECURSIVE {B.CELLS.strip()}, {B.SUPPLIERS.strip()},
+br AS (SELECT p_brand AS brand, row_number() OVER (ORDER BY p_brand) AS b FROM (SELECT DISTINCT p_brand FROM part)),
+cnt AS (SELECT l_suppkey AS entity, l_orderkey AS cell, CASE l_returnflag WHEN 'A' THEN 'control' ELSE 'treated' END AS condition, CAST(l_quantity AS BIGINT) AS x, p_brand AS brand, hour
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN cells ON l_orderkey = cell WHERE quality = 'normal' AND l_returnflag IN ('A', 'R')),
+{sums},
+nm AS (SELECT *, ln(1 + total * 1e6 / sum(total) OVER (PARTITION BY variant, entity, condition)) AS v FROM sums),
+dl AS (SELECT variant, entity, brand, coalesce(sum(v) FILTER (condition = 'control'), 0) AS c, coalesce(sum(v) FILTER (condition = 'treated'), 0) AS t FROM nm GROUP BY ALL),
+dn AS (SELECT variant, entity, b, coalesce(c, 0) AS c, coalesce(t, 0) - coalesce(c, 0) AS d FROM (SELECT DISTINCT variant, entity FROM dl) CROSS JOIN br LEFT JOIN dl USING (variant, entity, brand)),
+{folds},
+vec AS MATERIALIZED (SELECT variant || '/' || entity AS entity, any_value(entity) AS ent, variant, list(c ORDER BY b) AS x, list(d ORDER BY b) AS y FROM dn GROUP BY variant, dn.entity),
+mf AS MATERIALIZED (SELECT variant || '|' || f AS model_fold, variant || '/' || entity AS entity, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM fo, range({K_FOLDS}) t(f)),
+{fit_body_sql(False)}{PARTS},
+er AS (SELECT variant, ent AS entity, sqrt(avg(pow(my - y[target], 2))) - sqrt(avg(pow(my + dev - y[target], 2))) AS gain
+  FROM dev JOIN ym USING (model_fold, target) JOIN vec USING (entity) WHERE d = 2 AND a = 100.0 GROUP BY ALL),
+ps AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY md5(concat_ws('|', '{B.SEED}', entity)), entity) AS pos, count(*) OVER (PARTITION BY variant) AS n FROM er),
+dr AS (SELECT variant, rep, {B.draw_sql('n', B.SEED, 'rep', 'pos')} + 1 AS pos FROM ps, range({REPS}) t(rep)),
+mm AS (SELECT variant, rep, avg(gain) AS m FROM dr JOIN ps USING (variant, pos) GROUP BY ALL),
+ci AS (SELECT variant, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM mm GROUP BY variant)
+SELECT variant, round(avg(gain), 5) + 0.0 AS mean, count(*) AS n, round(any_value(ci_low), 5) + 0.0 AS ci_low, round(any_value(ci_high), 5) + 0.0 AS ci_high FROM er JOIN ci USING (variant) GROUP BY variant"""
+    return text.replace("range(1, 33)", "range(1, 26)")
+
+
+@query(gains_sql(
+    f"""pick AS (SELECT CAST(r AS VARCHAR) AS variant, u.*, row_number() OVER (PARTITION BY r, entity, condition ORDER BY md5(concat_ws('|', '{B.SEED}', r, cell)), cell) AS rn
+  FROM (SELECT DISTINCT entity, cell, condition FROM cnt) u, range(5) t(r)),
+sums AS (SELECT variant, entity, condition, brand, sum(x) AS total FROM (SELECT * FROM pick WHERE rn <= 20) JOIN cnt USING (entity, cell, condition) GROUP BY ALL)""",
+    f"""ss AS (SELECT lineage, count(*) AS n FROM suppliers GROUP BY lineage), st AS (SELECT lineage, sum(n) OVER (ORDER BY n DESC, lineage) - n AS start FROM ss),
+fd AS (SELECT entity, (start + row_number() OVER (PARTITION BY lineage ORDER BY md5(concat_ws('|', '{B.SEED}', entity)), entity) - 1) % {K_FOLDS} AS fold FROM suppliers JOIN st USING (lineage)),
+fo AS (SELECT variant, entity, fold FROM (SELECT DISTINCT variant, entity FROM dn) JOIN fd USING (entity))""",
+))
 def subsample_refit(spark, sf):
-    """Twenty cells per entity and condition, five repeats, each re-aggregated and refitted."""
+    """Twenty cells per entity and condition, five repeats, each re-aggregated and refitted on the same folds."""
     cells = B.entity_cells(spark, sf).where(F.col("condition").isin("control", "treated")).select("entity", "cell", "condition")
     chosen = resample.sample_cells(cells, ["entity", "condition"], ["cell"], 20, B.SEED, 5)
     keys = ["repeat", "entity"]
-    features, n = B.dictionary(spark, sf)
-    picked = B.counts(spark, sf, features).join(chosen, ["entity", "cell", "condition"])
+    parts, n = brand_features(spark, sf)
+    picked = brand_counts(spark, sf, parts).join(chosen, ["entity", "cell", "condition"])
     rows = dense_vectors(K.pseudobulk(picked, [*keys, "condition"], "gene_idx"), keys, n)
     tagged = pinned(rows.join(B.suppliers(spark, sf).select("entity", "lineage"), "entity").withColumn("variant", F.col("repeat").cast("string")))
     keyed = pinned(robustness.keyed_variants(tagged, "lineage", K_FOLDS, B.SEED, shared_folds=True))
-    losses = robustness.fixed_outer_losses(keyed, [str(r) for r in range(5)], K_FOLDS, dimension=5, max_features=100, min_mean=0.1)
-    return B.rounded(robustness.variant_gains(losses, B.SEED, REPS))
+    losses = robustness.fixed_outer_losses(keyed, [str(r) for r in range(5)], K_FOLDS, dimension=2)
+    return B.rounded(robustness.variant_gains(losses, B.SEED, REPS), 5)
 
 
-@query()
+@query(gains_sql(
+    """su AS (SELECT entity, least(count(DISTINCT cell) FILTER (condition = 'control' AND hour = 24), count(DISTINCT cell) FILTER (condition = 'treated' AND hour = 24)) AS support FROM cnt GROUP BY entity),
+sums AS (SELECT CAST(t AS VARCHAR) AS variant, entity, condition, brand, sum(x) AS total FROM cnt JOIN su USING (entity), (SELECT unnest([10, 20, 30]) AS t) WHERE support >= t GROUP BY ALL)""",
+    f"""ve AS (SELECT DISTINCT variant, entity, lineage FROM dn JOIN suppliers USING (entity)), ss AS (SELECT variant, lineage, count(*) AS n FROM ve GROUP BY ALL),
+st AS (SELECT variant, lineage, sum(n) OVER (PARTITION BY variant ORDER BY n DESC, lineage) - n AS start FROM ss),
+fo AS (SELECT variant, entity, (start + row_number() OVER (PARTITION BY variant, lineage ORDER BY md5(concat_ws('|', '{B.SEED}', variant, entity)), entity) - 1) % {K_FOLDS} AS fold FROM ve JOIN st USING (variant, lineage))""",
+))
 def threshold_sweep(spark, sf):
     """Gain of the fixed model at inclusion thresholds 10 / 20 / 30 with folds dealt again."""
-    features, n = B.dictionary(spark, sf)
-    sums = K.pseudobulk(B.observed(spark, sf, features), ["entity", "condition"], "gene_idx")
-    rows = dense_vectors(sums, ["entity"], n)
+    parts, n = brand_features(spark, sf)
+    counted = brand_counts(spark, sf, parts).join(B.good_cells(spark, sf), "cell")
+    rows = dense_vectors(K.pseudobulk(counted, ["entity", "condition"], "gene_idx"), ["entity"], n)
     side = lambda c: F.count_if((F.col("condition") == c) & (F.col("hour") == 24))
     support = B.entity_cells(spark, sf).groupBy("entity").agg(F.least(side("control"), side("treated")).alias("support"))
     tagged = rows.join(support, "entity").join(B.suppliers(spark, sf).select("entity", "lineage"), "entity")
     variants = pinned(robustness.inclusion_variants(tagged, "support", (10, 20, 30)))
     keyed = pinned(robustness.keyed_variants(variants, "lineage", K_FOLDS, B.SEED))
     present = sorted(r[0] for r in keyed.select("variant").distinct().limit(100).collect())  # the threshold list
-    losses = robustness.fixed_outer_losses(keyed, present, K_FOLDS, dimension=5, max_features=100, min_mean=0.1)
-    return B.rounded(robustness.variant_gains(losses, B.SEED, REPS))
+    losses = robustness.fixed_outer_losses(keyed, present, K_FOLDS, dimension=2)
+    return B.rounded(robustness.variant_gains(losses, B.SEED, REPS), 5)
 
 
 def _transfer_sql() -> str:
@@ -87,14 +139,8 @@ SELECT entity, hour, round(sqrt(avg(pow(my - y[target], 2))), 5) AS rmse_mean, r
 @query(_transfer_sql())
 def transfer_by_hour(spark, sf):
     """Fit on pooled profiles of four regions, predict the fifth region's entities at every hour."""
-    brands = B.table(spark, sf, "part").select(F.col("p_brand").alias("gene_symbol")).distinct()
-    indexed = pinned(ranking.row_index(brands, [], [F.asc("gene_symbol")], "gene_idx", largest=B.DICTIONARY_BOUND))
-    size = indexed.count()
-    parts = B.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene_symbol")).join(
-        F.broadcast(indexed) if size <= B.DICTIONARY_BOUND else indexed, "gene_symbol"
-    ).select("p_partkey", "gene_idx")
-    lines = B.count_lines(spark, sf).where(F.col("condition").isin("control", "treated"))
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(B.good_cells(spark, sf), "cell")
+    parts, size = brand_features(spark, sf)
+    joined = brand_counts(spark, sf, parts).join(B.good_cells(spark, sf), "cell")
     hourly = pinned(K.pseudobulk(joined, ["entity", "condition", "hour"], "gene_idx"))
     pooled = hourly.groupBy("entity", "condition", "gene_idx").agg(F.sum("total").alias("total")).withColumn("hour", F.lit(0))
     rows = dense_vectors(hourly.unionByName(pooled), ["entity", "hour"], size)

@@ -255,7 +255,7 @@ def report_sql(spark, sf):
 
 
 @query("""
-SELECT o_orderstatus AS status, to_json(struct_pack(n := count(*), largest := max(o_orderkey))) AS report, sha256(o_orderstatus || ':' || count(*)) AS digest, CAST(count(*) AS BIGINT) AS parsed_n FROM orders GROUP BY o_orderstatus""")
+SELECT o_orderstatus AS status, CAST(to_json(struct_pack(n := count(*), largest := max(o_orderkey))) AS VARCHAR) AS report, sha256(o_orderstatus || ':' || count(*)) AS digest, CAST(count(*) AS BIGINT) AS parsed_n FROM orders GROUP BY o_orderstatus""")
 def json_report(spark, sf):
     """Nested JSON record, its digest, and the value read back from it."""
     sums = B.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(
