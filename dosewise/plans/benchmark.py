@@ -135,17 +135,12 @@ def chosen_predictions(fitted: Fitted, settings: list[linear.Setting], chosen: D
 def mean_predictions(rows: DataFrame, names: list[str], group: str) -> DataFrame:
     """Zero, global-mean and group-mean predictors of every fold's test rows, long form."""
     long = vectors.to_long(rows, ["entity", group, "held_of"], "y")
-    # training sums = all rows - held-out rows, per fold
-    per_row = long.select(
-        "entity", group, "feature", "value",
-        F.explode(F.concat(
-            F.transform(F.array(*[F.lit(n) for n in names]), lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("s"))),
-            F.transform("held_of", lambda f: F.struct(f.alias("f"), F.lit(-1.0).alias("s"))),
-        )).alias("_m"),
-    )
-    grouped = per_row.groupBy(F.col("_m.f").alias("model_fold"), group, "feature").agg(
-        F.sum(F.col("value") * F.col("_m.s")).alias("_s"), F.sum("_m.s").alias("_n")
-    )
+    sums = [F.sum("value").alias("_s"), F.count("value").alias("_n")]
+    # training sums = all rows - held-out rows; totals are copied to the folds after aggregation
+    totals = long.groupBy(group, "feature").agg(*sums).withColumn("model_fold", F.explode(F.array(*[F.lit(n) for n in names])))
+    held = long.withColumn("model_fold", F.explode("held_of")).groupBy("model_fold", group, "feature").agg(*sums)
+    signed = totals.unionByName(held.withColumn("_s", -F.col("_s")).withColumn("_n", -F.col("_n")))
+    grouped = signed.groupBy("model_fold", group, "feature").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     whole = grouped.groupBy("model_fold", "feature").agg((F.sum("_s") / F.sum("_n")).alias("global_mean"))
     test = rows.select("entity", group, F.explode("test_of").alias("model_fold"))
     joined = test.join(whole, "model_fold").join(grouped, ["model_fold", group, "feature"], "left")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from dosewise.functions import scalar as S
 from dosewise.operators import composition, metrics, resample, summaries, vectors
+from dosewise.plans import benchmark
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
-from dosewise.queries.vector_queries import EMB, embedded_folds, members
+from dosewise.queries.vector_queries import EMB
 from dosewise.session import pinned
 
 MODELS = ["B0", "B1", "B2"]
@@ -47,17 +48,12 @@ lm AS (SELECT model, model_fold, entity, rmse_delta, nrmse_delta, pcc_delta, spe
 
 def predictions(spark, sf):
     """Long table (model, fold, entity, feature, observed, baseline, predicted)."""
-    rows = pinned(embedded_folds(spark, sf))
-    long = vectors.to_long(rows, ["entity", "lineage"], "y")
-    train = vectors.train_rows(long, members(rows))
-    base = vectors.global_mean(train, ["model_fold"], "feature", "value")
-    test = rows.select(F.col("fold").alias("model_fold"), "entity", "lineage")
-    grouped = vectors.group_mean_with_fallback(train, test, ["model_fold"], "lineage", "feature", "value")
-    seen = long.join(test.select("model_fold", "entity"), "entity").withColumnRenamed("value", "observed")
-    wide = (
-        seen.join(base.withColumnRenamed("global_mean", "baseline"), ["model_fold", "feature"])
-        .join(grouped.select("model_fold", "entity", "feature", "predicted"), ["model_fold", "entity", "feature"])
-        .select("model_fold", "entity", "feature", "observed", "baseline", F.lit(0.0).alias("B0"), F.col("baseline").alias("B1"), F.col("predicted").alias("B2"))
+    rows, names = benchmark.outer_rows(B.embedded(spark, sf), "entity", "lineage", 5, B.SEED)
+    means = benchmark.mean_predictions(rows, names, "lineage")
+    seen = vectors.to_long(rows, ["entity"], "y").withColumnRenamed("value", "observed")
+    wide = seen.join(means, ["entity", "feature"]).select(
+        F.col("model_fold").cast("int").alias("model_fold"), "entity", "feature", "observed", F.col("global_mean").alias("baseline"),
+        F.col("zero").alias("B0"), F.col("global_mean").alias("B1"), F.col("group_mean").alias("B2"),
     )
     keys = ["model_fold", "entity", "feature", "observed", "baseline"]
     return wide.unpivot(keys, MODELS, "model", "predicted")

@@ -47,10 +47,17 @@ def _deflated(name: str, matrix: str, leading: str) -> str:
 {name} AS (SELECT model_fold, list_transform(range(1, 33), lambda i: list_transform(range(1, 33), lambda j: m[i][j] - lam * v[i] * v[j])) AS m FROM {matrix} JOIN {leading} USING (model_fold))"""
 
 
-def _pair(prefix: str, rows: str) -> str:
-    """CTE prefix(model_fold, component, v, lam) with two components."""
+def _pair(prefix: str, rows: str, mask: str | None = None) -> str:
+    """CTE prefix(model_fold, component, v, lam) with two components.
+
+    `mask(model_fold, s)` holds 0/1 per feature and limits the matrix.
+    """
+    whole = _matrix(f"{prefix}m1", rows)
+    if mask:
+        whole = _matrix(f"{prefix}m0", rows) + f""",
+{prefix}m1 AS (SELECT model_fold, list_transform(range(1, 33), lambda i: list_transform(range(1, 33), lambda j: m[i][j] * s[i] * s[j])) AS m FROM {prefix}m0 JOIN {mask} USING (model_fold))"""
     return (
-        _matrix(f"{prefix}m1", rows) + "," + _leading(f"{prefix}e1", f"{prefix}m1") + ","
+        whole + "," + _leading(f"{prefix}e1", f"{prefix}m1") + ","
         + _deflated(f"{prefix}m2", f"{prefix}m1", f"{prefix}e1") + "," + _leading(f"{prefix}e2", f"{prefix}m2")
         + f", {prefix} AS MATERIALIZED (SELECT model_fold, 1 AS component, v, lam FROM {prefix}e1 UNION ALL SELECT model_fold, 2, v, lam FROM {prefix}e2)"
     )
@@ -73,10 +80,10 @@ vec AS MATERIALIZED (SELECT entity, lineage, list_slice(e, 1, 32) AS x, list_sli
 {fit_body_sql(response)}"""
 
 
-def fit_body_sql(response: bool = True) -> str:
+def fit_body_sql(response: bool = True, mask: str | None = None, mask_ctes: str = "") -> str:
     """The fits given mf(model_fold, entity, role) and vec(entity, x, y)."""
     text = f"""xr AS MATERIALIZED (SELECT model_fold, entity, x AS e FROM mf JOIN vec USING (entity) WHERE role = 'train'),
-{_pair('px', 'xr')},
+{mask_ctes}{_pair('px', 'xr', mask)},
 xmean AS (SELECT model_fold, list(m ORDER BY i) AS mean FROM (SELECT model_fold, i, avg(e[i]) AS m FROM xr, range(1, 33) t(i) GROUP BY ALL) GROUP BY model_fold),
 z AS MATERIALIZED (SELECT model_fold, entity, role, component, (list_dot_product(x, v) - list_dot_product(mean, v)) / sqrt(lam) AS z FROM mf JOIN vec USING (entity) JOIN px USING (model_fold) JOIN xmean USING (model_fold)),
 ntr AS (SELECT model_fold, count(*) AS n FROM mf WHERE role = 'train' GROUP BY 1),
@@ -325,13 +332,30 @@ def group_out_benchmark(spark, sf):
     return B.rounded(losses.groupBy("model_fold").agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n")), 5)
 
 
-@query()
+SWEEP = f"""WITH RECURSIVE {EMB},
+counts AS (SELECT * FROM (VALUES ('FEATURES_00008', 8), ('FEATURES_00016', 16), ('FEATURES_00032', 32)) c(variant, most)),
+mf AS MATERIALIZED (SELECT variant || '|' || f AS model_fold, entity, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM efold, counts, range({K_OUTER}) t(f)),
+vec AS MATERIALIZED (SELECT entity, list_slice(e, 1, 32) AS x, list_slice(e, 33, 64) AS y FROM efold),
+""" + fit_body_sql(False, "sel", """fv AS (SELECT model_fold, i, var_pop(e[i]) AS v FROM xr, range(1, 33) t(i) GROUP BY ALL),
+fr AS (SELECT model_fold, i, row_number() OVER (PARTITION BY model_fold ORDER BY v DESC, i) AS rn FROM fv),
+sel AS (SELECT model_fold, list(CASE WHEN rn <= most THEN 1.0 ELSE 0.0 END ORDER BY i) AS s FROM fr JOIN counts ON variant = split_part(model_fold, '|', 1) GROUP BY model_fold),
+""") + PARTS + f""",
+er AS (SELECT split_part(model_fold, '|', 1) AS variant, entity, sqrt(avg(pow(my - y[target], 2))) - sqrt(avg(pow(my + dev - y[target], 2))) AS gain
+  FROM dev JOIN ym USING (model_fold, target) JOIN vec USING (entity) WHERE d = 2 AND a = 100.0 GROUP BY ALL),
+ps AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY md5(concat_ws('|', '{B.SEED}', entity)), entity) AS pos, count(*) OVER (PARTITION BY variant) AS n FROM er),
+dr AS (SELECT variant, rep, {B.draw_sql('n', B.SEED, 'rep', 'pos')} + 1 AS pos FROM ps, range(200) t(rep)),
+mm AS (SELECT variant, rep, avg(gain) AS m FROM dr JOIN ps USING (variant, pos) GROUP BY ALL),
+ci AS (SELECT variant, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM mm GROUP BY variant)
+SELECT variant, round(avg(gain), 6) + 0.0 AS mean, count(*) AS n, round(any_value(ci_low), 6) + 0.0 AS ci_low, round(any_value(ci_high), 6) + 0.0 AS ci_high FROM er JOIN ci USING (variant) GROUP BY variant"""
+
+
+@query(SWEEP)
 def feature_count_sweep(spark, sf):
     """Gain of the direct model at several variable-feature counts; the count is part of the fold key."""
     counts = {f"FEATURES_{n:05d}": n for n in (8, 16, 32)}
     rows = B.embedded(spark, sf).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in counts])))
     keyed = pinned(robustness.keyed_variants(rows, "lineage", K_OUTER, B.SEED, shared_folds=True))
-    losses = robustness.fixed_outer_losses(keyed, list(counts), K_OUTER, dimension=5, max_features=counts)
+    losses = robustness.fixed_outer_losses(keyed, list(counts), K_OUTER, dimension=2, max_features=counts)
     return B.rounded(robustness.variant_gains(losses, B.SEED, 200))
 
 
