@@ -21,7 +21,7 @@ from dosewise.operators.vectors import MIN_VARIANCE
 from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, fresh, limit
 
 TILE = 128
-TARGET_BLOCK = 1024
+TARGET_BLOCK = 2048
 # Tasks that emit partial sums: a merge group then holds at most this many blocks.
 MAX_PARTIALS = 512
 FLUSH_BYTES = 256 * 1024 * 1024
@@ -593,9 +593,20 @@ class RidgeStats:
         full[columns] = weights
         return full, self.z_mean
 
+    def mixing(self, z: np.ndarray, columns: np.ndarray, alpha: float) -> np.ndarray:
+        """Rows w with prediction = y_mean + w @ zy, so a solve never touches the targets."""
+        sd = np.ones(len(columns))
+        if self.n_scaled:
+            inside = columns >= len(self.z_mean) - self.n_scaled
+            sd[inside] = np.sqrt(np.diag(self.zz)[columns[inside]] / self.n)
+            columns, sd = columns[sd > MIN_SD], sd[sd > MIN_SD]
+        a = self.zz[np.ix_(columns, columns)] / np.outer(sd, sd) + alpha * np.eye(len(columns))
+        w = np.zeros((len(z), len(self.z_mean)))
+        w[:, columns] = np.linalg.solve(a, ((z - self.z_mean)[:, columns] / sd).T).T / sd
+        return w
+
     def predict(self, z: np.ndarray, columns: np.ndarray, alpha: float) -> np.ndarray:
-        weights, mean = self.solve(columns, alpha)
-        return self.y_mean + (z - mean) @ weights
+        return self.y_mean + self.mixing(z, columns, alpha) @ self.zy
 
 
 def load_ridge(pdf: pd.DataFrame) -> RidgeStats:
@@ -649,6 +660,33 @@ class FoldModel:
         return self.ridge.y_mean + ((prediction - self.ridge.y_mean) @ v) @ v.T
 
 
+class SquaredErrors:
+    """Errors of many settings from products computed once per row.
+
+    With r = y - mean and prediction w @ zy the squared error is
+    |r|^2 - 2 w.(zy r) + w (zy zy') w'; through a response space V it is the same
+    with zy V and V'r. No setting needs a pass over the targets.
+    """
+
+    def __init__(self, model: FoldModel, observed: np.ndarray):
+        ridge, residual = model.ridge, observed - model.ridge.y_mean
+        self.targets = observed.shape[1]
+        self.size = np.sum(residual * residual, axis=1)
+        self.cross = residual @ ridge.zy.T
+        self.gram = ridge.zy @ ridge.zy.T
+        if model.response is not None:
+            self.spanned = residual @ model.response.loadings
+            self.mixed = ridge.zy @ model.response.loadings
+
+    def rmse(self, w: np.ndarray, rank: int) -> np.ndarray:
+        if rank:
+            scores = w @ self.mixed[:, :rank]
+            error = self.size - 2 * np.sum(scores * self.spanned[:, :rank], axis=1) + np.sum(scores * scores, axis=1)
+        else:
+            error = self.size - 2 * np.sum(w * self.cross, axis=1) + np.sum((w @ self.gram) * w, axis=1)
+        return np.sqrt(np.maximum(error, 0.0) / self.targets)
+
+
 def fold_models(pca: DataFrame, moments: DataFrame, response: DataFrame | None = None) -> DataFrame:
     """All parts of the fitted fold models in one tall table (`part` tells them apart)."""
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -701,22 +739,20 @@ def fold_predictions(
             part = pdf[test]
             z = design(model.control, part, column, extra)
             width = model.control.loadings.shape[1]
-            observed = stack(part[target]) if losses else None
+            error = SquaredErrors(model, stack(part[target])) if losses else None
             for s in settings:
                 if s.dimension > width or (s.rank and s.rank > model.response.loadings.shape[1]):
                     continue
                 columns = np.array([*range(s.dimension), *[width + e for e in s.extras]], dtype=int)
-                predicted = model.ridge.predict(z, columns, s.alpha)
-                if s.rank:
-                    predicted = model.low_rank(predicted, s.rank)
                 out = {
                     "model_fold": fold, "entity": part["entity"], "setting": s.name,
                     "dimension": s.dimension, "rank": s.rank, "alpha": s.alpha,
                 }
                 if losses:
-                    out["rmse"] = np.sqrt(np.mean((predicted - observed) ** 2, axis=1))
+                    out["rmse"] = error.rmse(model.ridge.mixing(z, columns, s.alpha), s.rank)
                 else:
-                    out["predicted"] = list(predicted)
+                    predicted = model.ridge.predict(z, columns, s.alpha)
+                    out["predicted"] = list(model.low_rank(predicted, s.rank) if s.rank else predicted)
                 yield pd.DataFrame(out)
 
     needed = [c for c in fold_columns(rows) if c != "held_of"]
