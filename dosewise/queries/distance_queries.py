@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from dosewise.operators import distances, enrichment, linear, metrics
+from dosewise.operators import distances, metrics
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.session import pinned

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewise.operators import enrichment, resample, summaries, vectors
-from dosewise.operators import ranking
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.session import pinned

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dosewise.functions import scalar as S
 from dosewise.operators import composition, metrics, resample, summaries, vectors
 from dosewise.plans import benchmark
 from dosewise.queries import base as B

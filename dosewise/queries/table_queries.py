@@ -13,7 +13,7 @@ from dosewise.queries import base as B
 from dosewise.queries.inference_queries import FEATURES, entity_features
 from dosewise.queries.registry import query
 from dosewise.session import pinned
-from dosewise.sources import manifest, profile, tables
+from dosewise.sources import manifest, profile
 
 
 # --- tags and annotations ----------------------------------------------------

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewise.functions import arrays as A
-from dosewise.functions import scalar as S
-from dosewise.operators import encoders, enrichment, folds, neighbors, ranking, summaries, vectors
+from dosewise.operators import encoders, enrichment, folds, neighbors, summaries, vectors
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.session import pinned
