@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import quality, simhash, stream_dedup
+from dosewise.llm import mixing, nbest, quality, simhash, stream_dedup
 from dosewise.llm.common import table
 from dosewise.queries.registry import query
 
@@ -37,3 +37,15 @@ def op10_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf, "labels"))
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query()
+def op7_mix_to_target_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf, "documents")).counts()
+
+
+@query()
+def op3_nbest_segmentation(spark: SparkSession, sf: str) -> DataFrame:
+    """The best segmentation of every document by its length and the hash of its ids, the next ones as edits of it."""
+    found = nbest.encode(table(spark, sf, "documents"))
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_xxh64"), "others", "decoded")

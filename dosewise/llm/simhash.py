@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import locator, without
+from dosewise.llm.common import filed, locator, without
 from dosewise.llm.components import components
 from dosewise.session import pinned
 
@@ -77,14 +77,14 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, fp, component_id, kept) of every row; `at` locates the row, component_id is the smallest id of its group.
+    """(doc_id, at, fp, component_id, kept) of every row of a filed table; `at` locates the row, component_id is the smallest id of its group.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Rows with a null id belong to their
     group but name it only (with null) if it has no other rows. Of each group the row with the smallest (id, at) is
     kept, null ids last. Repeated rows are all returned. Other columns are ignored, whatever their names. An empty
     table gives an empty result.
     """
-    rows = pinned(docs.select(F.col(id_col).alias("doc_id"), locator(docs, id_col, text_col).alias("at"), fingerprint(F.col(text_col), width).alias("fp")))
+    rows = pinned(docs.select(F.col(id_col).alias("doc_id"), locator().alias("at"), fingerprint(F.col(text_col), width).alias("fp")))
     first = pinned(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")))
     linked = components(links(first.select("fp"), radius)).join(first.withColumnRenamed("fp", "node"), "node")
     named = linked.groupBy("root").agg(F.min("first").alias("low")).join(linked.select("node", "root"), "root")
@@ -98,9 +98,10 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row, the fingerprint as 16 hexadecimal digits. Cases as in `groups`."""
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return groups(docs, width, radius, id_col, text_col).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return groups(filed(docs), width, radius, id_col, text_col).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates, all columns as they are. Cases as in `groups`."""
-    return without(docs, groups(docs, width, radius, id_col, text_col).where("not kept").select("at"), id_col, text_col)
+    docs = filed(docs)
+    return without(docs, groups(docs, width, radius, id_col, text_col).where("not kept"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import SPACES, checked, locator, shared_folder, without
+from dosewise.llm.common import SPACES, checked, filed, locator, shared_folder, without
 from dosewise.session import pinned
 
 # Session settings of the stateful query; put back afterwards.
@@ -39,7 +39,7 @@ def write_ledger(docs: DataFrame, path: str, id_col: str, text_col: str, digest:
     text = F.col(text_col)
     docs.select(
         F.col(id_col).alias("doc_id"), digest(normalised(text)).alias("digest"),
-        F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), locator(docs, id_col, text_col).alias("at"),
+        F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), locator().alias("at"),
     ).write.mode("append").parquet(path)
 
 
@@ -71,7 +71,7 @@ def unequal(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, diges
     """(at, text) of rows whose normalised bytes differ from the content at their digest's locator."""
     hit = pinned(state.where("n > 1").select("digest", "claim"))
     text = normalised(F.col(text_col))
-    rows = docs.select(locator(docs, id_col, text_col).alias("at"), digest(text).alias("digest"), text.alias("text")).join(checked(hit), "digest")
+    rows = docs.select(locator().alias("at"), digest(text).alias("digest"), text.alias("text")).join(checked(hit), "digest")
     claimed = rows.where("at = claim").select("digest", F.col("text").alias("content")).dropDuplicates(["digest"])
     return rows.where("at != claim").join(claimed, "digest").where("text != content").select("at", "text")
 
@@ -82,11 +82,10 @@ def deduplicate(
     """(doc_id, at, digest, keep_id, group_size, kept) of every row.
 
     Rows are equal when their texts are, white space left out. The row with the most code points stays, then the
-    smallest id (a null id last), then the last locator, so that exactly one row of repeated rows stays when they
-    come from files. `folder` holds ledger and state; give the same folder again to add rows to an earlier run's
+    smallest id (a null id last), then the last locator, so that exactly one row of repeated rows stays. `folder` holds ledger and state; give the same folder again to add rows to an earlier run's
     (rows of both runs are returned). An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    docs, spark = filed(docs), docs.sparkSession
     folder = folder or shared_folder(spark, "dedup")
     write_ledger(docs, f"{folder}/ledger", id_col, text_col, digest)
     state = ingest(spark, f"{folder}/ledger", f"{folder}/state")
@@ -94,10 +93,10 @@ def deduplicate(
     odd = pinned(unequal(docs, state, id_col, text_col, digest))
     if not odd.isEmpty():  # digests that different texts share: these are told apart by the text itself
         rows = rows.join(odd, "at", "left")
-        best = rows.groupBy("digest", "text").agg(
+        best = rows.groupBy(F.col("digest").alias("of_digest"), F.col("text").alias("of_text")).agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("chars", F.bitwise_not("doc_id").alias("back"), "at")).alias("best"))
-        on = rows["digest"].eqNullSafe(best["digest"]) & rows["text"].eqNullSafe(best["text"])
-        joined = rows.join(best, on).select(rows["doc_id"], rows["at"], rows["digest"], "n", "best")
+        on = (F.col("digest") == F.col("of_digest")) & F.col("text").eqNullSafe(F.col("of_text"))
+        joined = rows.join(best, on).select("doc_id", "at", "digest", "n", "best")
     else:
         joined = rows.join(state.select("digest", "n", "best"), "digest").select("doc_id", "at", "digest", "n", "best")
     return joined.select(
@@ -107,4 +106,5 @@ def deduplicate(
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they are. Cases as in `deduplicate`."""
-    return without(docs, deduplicate(docs, id_col, text_col).where("not kept").select("at"), id_col, text_col)
+    docs = filed(docs)
+    return without(docs, deduplicate(docs, id_col, text_col).where("not kept"))
