@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import filed, locator, without
+from dosewise.llm.common import filed, join_hot, locator, without
 from dosewise.llm.components import components
 from dosewise.session import pinned
 
@@ -85,11 +85,11 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_
     table gives an empty result.
     """
     rows = pinned(docs.select(F.col(id_col).alias("doc_id"), locator().alias("at"), fingerprint(F.col(text_col), width).alias("fp")))
-    first = pinned(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")))
+    first = pinned(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")))
     linked = components(links(first.select("fp"), radius)).join(first.withColumnRenamed("fp", "node"), "node")
     named = linked.groupBy("root").agg(F.min("first").alias("low")).join(linked.select("node", "root"), "root")
-    names = first.join(named.select(F.col("node").alias("fp"), "low"), "fp", "left").select("fp", F.coalesce("low", "first").alias("low"))
-    return rows.join(names, "fp").select(
+    names = first.join(named.select(F.col("node").alias("fp"), "low"), "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("low"))
+    return join_hot(rows, pinned(names), "fp", "n").select(
         "doc_id", "at", "fp", F.col("low.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("at") == F.col("low.at"))).alias("kept"),
     )

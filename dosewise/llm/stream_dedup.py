@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import SPACES, checked, filed, locator, shared_folder, without
+from dosewise.llm.common import SPACES, checked, filed, join_hot, locator, shared_folder, without
 from dosewise.session import pinned
 
 # Session settings of the stateful query; put back afterwards.
@@ -100,7 +100,7 @@ def deduplicate(
         on = (F.col("digest") == F.col("of_digest")) & F.col("text").eqNullSafe(F.col("of_text"))
         joined = rows.join(best, on).select("doc_id", "at", "digest", "n", "best")
     else:
-        joined = rows.join(state.select("digest", "n", "best"), "digest").select("doc_id", "at", "digest", "n", "best")
+        joined = join_hot(rows, state.select("digest", "n", "best"), "digest", "n").select("doc_id", "at", "digest", "n", "best")
     return joined.select(
         "doc_id", "at", "digest", F.bitwise_not("best.back").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("best.at")).alias("kept"),
     )
