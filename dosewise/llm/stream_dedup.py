@@ -26,6 +26,8 @@ STATE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 FILES_PER_BATCH = 10_000
+# Rows of one digest that are compared with their content in one task.
+ROWS_PER_PART = 256
 
 
 def normalised(text: Column) -> Column:
@@ -71,11 +73,13 @@ def ingest(spark: SparkSession, ledger: str, state: str) -> DataFrame:
 
 def unequal(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """(at, text) of rows whose normalised bytes differ from the content at their digest's locator."""
-    hit = pinned(state.where("n > 1").select("digest", "claim"))
+    hit = pinned(state.where("n > 1").select("digest", "claim", F.ceil(F.col("n") / ROWS_PER_PART).alias("parts")))
     text = normalised(F.col(text_col))
     rows = docs.select(locator().alias("at"), digest(text).alias("digest"), text.alias("text")).join(checked(hit), "digest")
-    claimed = rows.where("at = claim").select("digest", F.col("text").alias("content")).dropDuplicates(["digest"])
-    return rows.where("at != claim").join(claimed, "digest").where("text != content").select("at", "text")
+    # the content of a large group is copied, so that its rows are compared in many tasks
+    claimed = rows.where("at = claim").select("digest", F.col("text").alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    others = rows.where("at != claim").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
+    return others.join(claimed, ["digest", "part"]).where("text != content").select("at", "text")
 
 
 def deduplicate(
