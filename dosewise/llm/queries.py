@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import mixing, nbest, quality, simhash, stream_dedup
+from dosewise.llm import crosspolytope, fixity, mixing, nbest, quality, simhash, splitters, stream_dedup, template, toolcalls
 from dosewise.llm.common import table
 from dosewise.queries.registry import query
 
@@ -49,3 +49,91 @@ def op3_nbest_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     """The best segmentation of every document by its length and the hash of its ids, the next ones as edits of it."""
     found = nbest.encode(table(spark, sf, "documents"))
     return found.select("doc_id", F.size("ids").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_xxh64"), "others", "decoded")
+
+
+@query()
+def op4_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
+    return splitters.shard_documents(table(spark, sf, "documents"))
+
+
+@query()
+def op6_cross_polytope_search(spark: SparkSession, sf: str) -> DataFrame:
+    return crosspolytope.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op8_site_template_removal(spark: SparkSession, sf: str) -> DataFrame:
+    return template.extract(table(spark, sf, "pages"))
+
+
+# Records of the second replica in the audit: some are altered in one character, some are lost.
+ALTERED, LOST = "page_id % 97 = 5", "page_id % 211 = 7"
+
+
+@query(f"""
+WITH p AS (
+  SELECT 'part-' || CAST(page_id // 512 AS VARCHAR) AS file, page_id AS record, coalesce(url, '') || chr(10) || coalesce(html, '') AS body,
+    coalesce(url, '') || chr(10) || CASE WHEN {ALTERED} THEN coalesce(html, '') || '.' ELSE coalesce(html, '') END AS copy, {LOST} AS lost
+  FROM pages),
+r AS (
+  SELECT file, record, CAST(coalesce(sum(strlen(body)) OVER (PARTITION BY file ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "at",
+    sha256(body) AS hash, CASE WHEN NOT lost THEN sha256(copy) END AS other
+  FROM p),
+n0 AS (
+  SELECT file, "at" // 65536 AS node, count(*) AS records, count(other) AS records_b,
+    sha256(string_agg("at" || ':' || hash, ',' ORDER BY "at")) AS hash, sha256(string_agg("at" || ':' || other, ',' ORDER BY "at") FILTER (other IS NOT NULL)) AS other
+  FROM r GROUP BY ALL),
+""" + "".join(f"""n{k} AS (
+  SELECT file, node // 16 AS node, sum(records) AS records, sum(records_b) AS records_b,
+    sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash, sha256(string_agg(node || ':' || other, ',' ORDER BY node) FILTER (other IS NOT NULL)) AS other
+  FROM n{k - 1} GROUP BY file, node // 16),
+""" for k in (1, 2, 3)) + """
+roots AS (
+  SELECT 'root' AS kind, file, CAST(node * 65536 * 4096 AS BIGINT) AS "at", CAST(NULL AS VARCHAR) AS record,
+    CASE WHEN other IS NULL THEN 'missing' WHEN hash <> other THEN 'altered' ELSE 'equal' END AS verdict, hash, other, CAST(records AS BIGINT) AS records
+  FROM n3)
+SELECT * FROM roots UNION ALL
+SELECT 'record', file, "at", CAST(record AS VARCHAR), CASE WHEN other IS NULL THEN 'missing' ELSE 'altered' END, hash, other, 1
+FROM r WHERE hash IS DISTINCT FROM other
+""")
+def op1_merkle_fixity_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit of the pages, packed into archives, against a replica in which some records are altered and some lost."""
+    pages = table(spark, sf, "pages")
+    html = F.coalesce("html", F.lit(""))
+    altered = F.when(F.expr(ALTERED), F.concat(html, F.lit("."))).otherwise(html)
+    replica = fixity.page_records(pages, change=altered).where(f"record is null or not ({LOST.replace('page_id', 'record')})")
+    return fixity.audit(fixity.page_records(pages), replica)
+
+
+@query("""
+WITH RECURSIVE c AS (
+  SELECT 'call-' || conv_id || '-' || turn AS call_id, conv_id, turn, CASE role WHEN 'system' THEN 'configure' ELSE 'ask' END AS name, text,
+    CASE WHEN role = 'user' AND turn // 2 > 0 THEN 'call-' || conv_id || '-' || (turn - 2 * (turn // 2 - (turn // 2 - 1) // 2))
+      WHEN role = 'user' AND turn = 1 THEN 'call-' || conv_id || '-0' END AS needs_id
+  FROM conversations WHERE role IN ('system', 'user')),
+r AS (SELECT 'call-' || conv_id || '-' || (turn - 1) AS r_id, text AS content FROM conversations WHERE role = 'assistant'),
+e AS (SELECT call_id, needs_id, needs_id IN (SELECT call_id FROM c) AS known FROM c WHERE needs_id IS NOT NULL),
+l AS (
+  SELECT call_id, 0 AS level FROM c WHERE call_id NOT IN (SELECT call_id FROM e WHERE known)
+  UNION ALL SELECT e.call_id, l.level + 1 FROM e JOIN l ON e.needs_id = l.call_id),
+j AS (
+  SELECT coalesce(c.call_id, r.r_id) AS call_id, conv_id, turn, name, level, CASE WHEN r_id IS NULL THEN 0 ELSE 1 END AS n_results,
+    c.call_id IS NOT NULL AS called, text, content, c.needs_id, known
+  FROM c FULL JOIN r ON c.call_id = r.r_id LEFT JOIN l ON c.call_id = l.call_id LEFT JOIN e ON c.call_id = e.call_id)
+SELECT call_id, conv_id, turn, name, level, CAST(n_results AS BIGINT) AS n_results,
+  concat_ws('; ',
+    CASE WHEN called AND length(text) NOT BETWEEN 1 AND 400 THEN 'out of range chars' WHEN called AND text IS NULL THEN 'wrong type chars' END,
+    CASE WHEN called AND length(text) NOT BETWEEN 1 AND 400 THEN 'out of range text' WHEN called AND text IS NULL THEN 'wrong type text' END,
+    CASE WHEN NOT called THEN 'result without call' END, CASE WHEN called AND n_results = 0 THEN 'no result' END,
+    CASE WHEN NOT known THEN 'unknown need' END) AS problems,
+  '{"arguments":' || CASE WHEN called THEN '{"chars":' || coalesce(CAST(length(text) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null')
+    || ',"turn":' || turn || '}' ELSE 'null' END || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":' || coalesce('"' || name || '"', 'null')
+    || ',"needs":[' || coalesce('"' || needs_id || '"', '') || '],"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS canonical,
+  row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, call_id) - 1 AS position
+FROM j
+""")
+def op2_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool use read from the conversations: linked, ordered, validated and written as canonical JSON."""
+    calls, results, needs = toolcalls.conversation_calls(table(spark, sf, "conversations"))
+    schemas = spark.createDataFrame(toolcalls.CONVERSATION_TOOLS, toolcalls.TOOL_SCHEMA)
+    return toolcalls.link(calls, results, needs, schemas).withColumn("problems", F.array_join("problems", "; "))
