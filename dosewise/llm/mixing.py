@@ -135,7 +135,7 @@ def slots(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     chunks = counts.withColumn("from", F.explode(steps)).repartition("src", "shard", "from")
     upto = F.least(F.col("from") + CHUNK, F.col("n")) - 1
     each = chunks.select("src", "blocks", "shard", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + upto)).alias("slot"))
-    each = each.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
+    each = each.withColumn("pass", F.expr("slot div blocks").cast("int"))
 
     @F.pandas_udf("long")
     def place(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
@@ -166,12 +166,13 @@ class Mix:
         blocks = F.ceil(F.col("source_size") / block_words)
         quota = F.least(F.round(blocks * F.col("target") / F.col("source_size")), blocks * most)
         quotas = goals.where("source_size > 0").select("src", blocks.cast("long").alias("blocks"), quota.cast("long").alias("quota"))
-        first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+        first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
         pieces = placed.where("size > 0").withColumn("index", F.explode(F.sequence(first, last)))
         begin = F.greatest(F.col("index") * block_words, F.col("start"))
         end = F.least((F.col("index") + 1) * block_words, F.col("start") + F.col("size"))
         pieces = pieces.select("doc_id", "at", "src", "start", "size", "index", (begin - F.col("start")).alias("word"), (end - begin).alias("n"))
-        self.taken = pieces.join(slots(quotas, shards), ["src", "index"])
+        # a shuffle in any case: slots come from few rows, by which their size would be taken for small
+        self.taken = pieces.join(slots(quotas, shards).hint("merge"), ["src", "index"])
 
     def counts(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of every document."""
