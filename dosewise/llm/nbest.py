@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 # Words handled at once and words remembered between texts, both bound memory.
-WORDS_AT_ONCE = 20_000
-REMEMBERED = 400_000
+WORDS_AT_ONCE = 8_192
+REMEMBERED = 150_000
 # Longer words are searched one by one.
 LONGEST = 48
 # A-star costs the square of a word's length; words beyond this keep n-best lists at every position instead.
@@ -193,9 +193,9 @@ def _tables(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
     n = len(words)
     forward = np.full((width + 1, n), -np.inf)
     forward[0] = 0.0
-    came = np.zeros((width + 1, n), dtype=np.int64)  # length of the piece into a position
-    with_id = np.zeros((width + 1, n), dtype=np.int64)
-    last_id = np.zeros((width + 1, n), dtype=np.int64)  # its last id, by which equal scores are told apart
+    came = np.zeros((width + 1, n), dtype=np.int32)  # length of the piece into a position
+    with_id = np.zeros((width + 1, n), dtype=np.int32)
+    last_id = np.zeros((width + 1, n), dtype=np.int32)  # its last id, by which equal scores are told apart
     for i in range(width):
         for k, rows, scores, ids in hits[i]:
             last = ids
