@@ -13,9 +13,8 @@ def order_hash(seed: int | str, *parts: Column | str) -> Column:
 
 
 def draw_below(n: Column, seed: int | str, *parts: Column | str) -> Column:
-    """Integer in [0, n) from the first 32 bits of the hash."""
-    word = F.conv(F.substring(order_hash(seed, *parts), 1, 8), 16, 10).cast("bigint")
-    return word % n.cast("bigint")
+    """Integer in [0, n) from the first 60 bits of the hash."""
+    return order_number(seed, *parts) % n.cast("bigint")
 
 
 def order_number(seed: int | str, *parts: Column | str) -> Column:

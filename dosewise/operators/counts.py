@@ -92,7 +92,7 @@ def condition_delta(
 ) -> DataFrame:
     """Treated minus control per key in one aggregation; absent features are zeros.
 
-    Keys without both conditions are the caller's error to check (`paired_keys`).
+    Keys without both conditions are the caller's error to check (`require_pairs`).
     """
     def side(name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(condition) == name, F.col(value))), F.lit(0.0))
@@ -115,6 +115,16 @@ def paired_keys(profiles: DataFrame, keys: list[str], condition: str = "conditio
     )
 
 
+def require_pairs(profiles: DataFrame, keys: list[str], condition: str = "condition", treated: str = "treated", control: str = "control") -> DataFrame:
+    """The profiles, once every key is known to have both conditions; a one-sided key is an error."""
+    sided = profiles.where(F.col(condition).isin(treated, control))
+    lone = sided.groupBy(*keys).agg(F.count_distinct(condition).alias("sides")).where("sides < 2")
+    found = lone.select(*keys).take(3)
+    if found:
+        raise ValueError(f"keys without both {treated} and {control}: {[tuple(r) for r in found]}")
+    return profiles
+
+
 def condition_counts(cells: DataFrame, key: str, label: str, names: list[str]) -> DataFrame:
     """Cells per key and condition label as columns; a missing label counts 0."""
     return cells.groupBy(key).agg(

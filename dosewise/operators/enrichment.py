@@ -10,21 +10,10 @@ from pyspark.sql import functions as F
 from dosewise.functions.scalar import ordered_join
 from dosewise.operators import ranking
 
-MAX_COLLECTIONS = 10_000
-
-
 def collection_sizes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("collection").agg(F.count_distinct("symbol").cast("bigint").alias("set_size"))
 
 
-def collection_names(sets: DataFrame) -> list[str]:
-    """Names of the configured collections; a configuration-sized list."""
-    rows = sets.select("collection").distinct().limit(MAX_COLLECTIONS + 1).collect()
-    if len(rows) > MAX_COLLECTIONS:
-        raise ValueError("too many collections for a report grid")
-    return sorted(r[0] for r in rows)
-
-
 def panel_features(genes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every feature whose symbol is in the panel."""
     return genes.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
@@ -42,8 +31,7 @@ def overlaps(top: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     sizes = collection_sizes(sets)
     grid = (
         top.groupBy(*keys).agg(F.count_distinct("symbol").cast("bigint").alias("top_size"))
-        .withColumn("collection", F.explode(F.array(*[F.lit(n) for n in collection_names(sets)])))
-        .join(sizes, "collection")
+        .withColumn("_j", F.lit(1)).join(sizes.withColumn("_j", F.lit(1)), "_j").drop("_j")
     )
     hits = top.join(sets, "symbol").groupBy(*keys, "collection").agg(
         F.count_distinct("symbol").cast("bigint").alias("overlap"), ordered_join(F.col("symbol")).alias("overlap_symbols")
@@ -87,15 +75,17 @@ def benjamini_hochberg(
 ) -> DataFrame:
     """Adjusted p-values per family; rows with NULL p keep NULL and do not count.
 
-    p must lie in [0, 1]; check with a range contract first.
+    A p outside [0, 1] is an error; a NULL family is a family.
     """
+    if not tests.where(~F.col(p).between(0, 1)).isEmpty():
+        raise ValueError("p-values must lie between 0 and 1")
     valid, skipped = tests.where(F.col(p).isNotNull()), tests.where(F.col(p).isNull())
     if largest is None:
         largest = ranking.largest_group(valid, family)
     ranked = ranking.row_index(valid, family, [F.asc(p), *[F.asc(i) for i in ids]], "_rank", largest)
     # a constant key keeps one family from becoming a cross join
     sizes = valid.groupBy(*family, F.lit(1).alias("_j")).agg(F.count(F.lit(1)).alias("_m"))
-    raw = ranked.withColumn("_j", F.lit(1)).join(sizes, [*family, "_j"]).withColumn(
+    raw = ranking.join_null_safe(ranked.withColumn("_j", F.lit(1)), sizes, [*family, "_j"]).withColumn(
         "_raw", F.col(p) * F.col("_m") / F.col("_rank")
     )
     adjusted = ranking.running(raw, family, [F.desc("_rank")], mins={"_q": "_raw"}, largest=largest)

@@ -22,6 +22,9 @@ def deal_folds(
     parents = parents or []
     if k < 2:
         raise ValueError("at least two folds are needed")
+    facts = entities.groupBy(*parents, entity).count().groupBy(*parents).agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("n"))
+    if not facts.where((F.col("most") > 1) | (F.col("n") < k)).isEmpty():
+        raise ValueError(f"entities must be distinct and at least {k}")
     sizes = entities.groupBy(*parents, group).agg(F.count(F.lit(1)).alias("_n"))
     upto = ranking.running(sizes, parents, [F.desc("_n"), F.asc(group)], sums={"_upto": "_n"}, largest=largest)
     starts = upto.select(*parents, group, (F.col("_upto") - F.col("_n")).alias("_start"))
@@ -29,7 +32,7 @@ def deal_folds(
         entities, [*parents, group], draws.order_hash(seed, *parents, entity), [entity], largest=largest
     )
     return (
-        shuffled.join(starts, [*parents, group])
+        ranking.join_null_safe(shuffled, starts, [*parents, group])
         .withColumn(out, ((F.col("_start") + F.col("rn") - 1) % k).cast("int"))
         .drop("_start", "rn")
     )

@@ -24,6 +24,8 @@ TILE = 128
 TARGET_BLOCK = 2048
 # Tasks that emit partial sums: a merge group then holds at most this many blocks.
 MAX_PARTIALS = 512
+# Second-level partial sums of one key.
+MERGE_GROUPS = 64
 FLUSH_BYTES = 256 * 1024 * 1024
 MIN_SD = 1e-12
 # Widest table solved from the feature Gram matrix, and most rows solved from the row one.
@@ -95,14 +97,18 @@ class BlockSums:
 
 
 def sum_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Elementwise sum of `stat` per key. A group holds one small block per emitting task."""
+    """Elementwise sum of `stat` per key in two levels: at most MERGE_GROUPS partial sums of a key meet in the second."""
     types = dict(blocks.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", stat array<double>"
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, stack(pdf["stat"]).sum(axis=0)]], columns=[*keys, "stat"])
 
-    return blocks.groupBy(*keys).applyInPandas(merge, schema)
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return merge(key[:-1], pdf)
+
+    salted = blocks.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+    return salted.groupBy(*keys, "_salt").applyInPandas(first, schema).groupBy(*keys).applyInPandas(merge, schema)
 
 
 def held_and_total(pdf: pd.DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -149,8 +155,8 @@ def moment_blocks(rows: DataFrame, column: str, folds: list[str], subset: np.nda
                         a, b = part[:, i:i + TILE], part[:, j:j + TILE]
                         stat = np.concatenate([[len(part)], a.sum(axis=0), b.sum(axis=0), (a.T @ b).ravel()])
                         sums.add((key, i // TILE, j // TILE), stat)
-            if sums.full():
-                yield from sums.drain()
+                        if sums.full():
+                            yield from sums.drain()
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
@@ -195,8 +201,8 @@ def feature_moments(rows: DataFrame, column: str, folds: list[str]) -> DataFrame
             for key, mask in held_and_total(pdf):
                 part = data[mask]
                 sums.add((key,), np.concatenate([[len(part)], part.sum(axis=0), (part * part).sum(axis=0)]))
-            if sums.full():
-                yield from sums.drain()
+                if sums.full():
+                    yield from sums.drain()
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
@@ -262,8 +268,8 @@ def fit_pca(
     With `max_features` the most variable features of each fold's training rows
     are used (mean and variance floors, ties by lower index). Up to
     MAX_GRAM_FEATURES columns the solve is exact from the feature Gram matrix;
-    wider tables use the row Gram matrix while rows are few (exact), and
-    subspace iteration beyond that.
+    wider tables use the row Gram matrix while rows are few (exact), and block
+    Krylov iteration to a tolerance beyond that; the results agree.
     """
     first = rows.select(F.size(column)).first()
     if first is None:
@@ -329,8 +335,8 @@ def project_back(
                 else:
                     w = part @ table
                 sums.add((fold,), np.concatenate([(part.T @ w).ravel(), [np.sum(part * part)]]))
-            if sums.full():
-                yield from sums.drain()
+                if sums.full():
+                    yield from sums.drain()
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
@@ -415,31 +421,45 @@ def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, ch
 
 def subspace_pca(
     rows: DataFrame, column: str, folds: list[str], components: int, chosen: dict[str, np.ndarray],
-    passes: int = 30, extra: int = 10,
+    passes: int = 60, extra: int = 10, tolerance: float = 1e-9,
 ) -> DataFrame:
-    """PCA of many very wide rows by block power iteration with oversampling.
+    """PCA of many very wide rows by block Krylov iteration, to a tolerance.
 
-    Each pass is one distributed job over the rows; the driver only
-    orthonormalises features x (components + extra) numbers per fold.
+    Each pass is one distributed job over the rows that multiplies one more
+    block; the driver keeps features x (components + extra) numbers per pass
+    and fold. A fold is done when every component's residual is below the
+    tolerance, relative to the largest eigenvalue, or its basis spans all
+    features; running out of passes is an error.
     """
     means = fold_means(rows, column, folds)
     width = len(next(iter(means.values()))[1])
-    directions, facts = {}, {}
+    block, basis, images, facts = {}, {}, {}, {}
     for fold in folds:
         own = fold_features(chosen, fold, width)
-        k = min(components + extra, means[fold][0] - 1, len(own))
-        start = np.random.default_rng(len(own)).standard_normal((len(own), k))
-        directions[fold] = np.linalg.qr(start)[0]
+        k = min(components + extra, len(own))
+        block[fold] = np.linalg.qr(np.random.default_rng(len(own)).standard_normal((len(own), k)))[0]
+        basis[fold] = images[fold] = np.zeros((len(own), 0))
     for _ in range(passes):
-        state = {f: (means[f][1], directions[f]) for f in folds}
-        for r in project_back(rows, column, folds, state, chosen, "features").collect():
-            fold = r["model_fold"]
-            stat = np.asarray(r["stat"])
-            image = stat[:-1].reshape(directions[fold].shape)
-            small = directions[fold].T @ image
+        state = {f: (means[f][1], block[f]) for f in block}
+        for r in project_back(rows, column, list(block), state, chosen, "features").collect():
+            fold, stat = r["model_fold"], np.asarray(r["stat"])
+            image = stat[:-1].reshape(block[fold].shape)
+            basis[fold], images[fold] = np.hstack([basis[fold], block[fold]]), np.hstack([images[fold], image])
+            small = basis[fold].T @ images[fold]
             values, mix = np.linalg.eigh((small + small.T) / 2)
-            facts[fold] = (values[::-1], directions[fold] @ mix[:, ::-1], stat[-1])
-            directions[fold] = np.linalg.qr(image)[0]
+            values, mix = values[::-1][:components], mix[:, ::-1][:, :components]
+            facts[fold] = (values, basis[fold] @ mix, stat[-1])
+            left = np.linalg.norm(images[fold] @ mix - facts[fold][1] * values, axis=0).max()
+            fresh_ = image - basis[fold] @ (basis[fold].T @ image)
+            fresh_ -= basis[fold] @ (basis[fold].T @ fresh_)
+            u, size, _ = np.linalg.svd(fresh_, full_matrices=False)
+            block[fold] = u[:, size > 1e-10 * max(values[0], 1e-300)]
+            if left <= tolerance * max(values[0], 1e-300) or not block[fold].shape[1]:
+                del block[fold]
+        if not block:
+            break
+    else:
+        raise RuntimeError(f"no convergence in {passes} passes: {sorted(block)}")
     out = []
     for fold in folds:
         values, vectors, trace = facts[fold]
@@ -471,9 +491,9 @@ def load_projection(pdf: pd.DataFrame) -> Projection:
 
 def apply_models(
     rows: DataFrame, models: DataFrame, doubles: F.Column | str, folds: list[str],
-    load: Callable, apply: Callable, schema: str, columns: list[str], entity: str = "entity",
+    load: Callable, apply: Callable, schema: str, columns: list[str], entity: str = "entity", whole: bool = False,
 ) -> DataFrame:
-    """Run `apply({fold: model}, rows)` over all rows.
+    """Run `apply({fold: model}, rows)` over all rows; with `whole`, on the iterator of a task's row batches.
 
     The model table is broadcast only when its measured size is under the limit.
     A larger one is met by (fold, salt): each group sees one fold's model and a
@@ -487,6 +507,9 @@ def apply_models(
         shared = spark.sparkContext.broadcast(loaded)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if whole:
+                yield from apply(shared.value, batches)
+                return
             for pdf in batches:
                 if len(pdf):
                     yield from apply(shared.value, pdf)
@@ -502,7 +525,7 @@ def apply_models(
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame()
-        parts = list(apply({key[0]: load(right)}, left))
+        parts = list(apply({key[0]: load(right)}, iter([left]) if whole else left))
         return pd.concat(parts) if parts else pd.DataFrame()
 
     return spread.groupBy("model_fold", "_salt").cogroup(fresh(copies).groupBy("model_fold", "_salt")).applyInPandas(meet, schema)
@@ -548,25 +571,30 @@ def ridge_moments(
     last `scaled` are standardised with training moments at solve time.
     """
 
-    def run(models: dict, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def run(models: dict, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = BlockSums(["model_fold", "target_block", "n_design", "n_scaled"])
-        y = stack(pdf[target])
-        for fold, model in models.items():
-            train = train_mask(pdf, fold)
-            if not train.any():
+        for pdf in batches:
+            if not len(pdf):
                 continue
-            d = design(model, pdf[train], column, extra)
-            yt = y[train]
-            head = np.concatenate([[len(d)], d.sum(axis=0), (d.T @ d).ravel()])
-            for b in range(0, y.shape[1], TARGET_BLOCK):
-                part = yt[:, b:b + TARGET_BLOCK]
-                stat = np.concatenate([head, part.sum(axis=0), (d.T @ part).ravel()])
-                sums.add((fold, b // TARGET_BLOCK, d.shape[1], scaled), stat)
+            y = stack(pdf[target])
+            for fold, model in models.items():
+                train = train_mask(pdf, fold)
+                if not train.any():
+                    continue
+                d = design(model, pdf[train], column, extra)
+                yt = y[train]
+                head = np.concatenate([[len(d)], d.sum(axis=0), (d.T @ d).ravel()])
+                for b in range(0, y.shape[1], TARGET_BLOCK):
+                    part = yt[:, b:b + TARGET_BLOCK]
+                    stat = np.concatenate([head, part.sum(axis=0), (d.T @ part).ravel()])
+                    sums.add((fold, b // TARGET_BLOCK, d.shape[1], scaled), stat)
+                if sums.full():
+                    yield from sums.drain()
         yield from sums.drain()
 
     needed = [c for c in fold_columns(rows) if c != "test_of"]
     columns = ["entity", column, target, *needed] + ([extra] if extra else [])
-    blocks = apply_models(rows.coalesce(MAX_PARTIALS), pca, "loading", folds, load_projection, run, RIDGE_SCHEMA, columns)
+    blocks = apply_models(rows.coalesce(MAX_PARTIALS), pca, "loading", folds, load_projection, run, RIDGE_SCHEMA, columns, whole=True)
     return sum_blocks(blocks, ["model_fold", "target_block", "n_design", "n_scaled"])
 
 

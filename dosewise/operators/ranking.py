@@ -22,6 +22,13 @@ from dosewise.session import DEFAULT_WINDOW_ROWS, WINDOW_ROWS_KEY, limit, pinned
 HASH_DIGITS = 3
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; the right side's keys are not repeated."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     if not keys:
         return df.count()
@@ -58,11 +65,8 @@ def hash_rank(
         F.sum("_n").over(whole).alias("_size"),
     )
     local = Window.partitionBy(*keys, "_b").orderBy("_h", *ties)
-    ranked = (
-        tagged.withColumn("_rn", F.row_number().over(local))
-        .join(offsets, [*keys, "_b"])
-        .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-    )
+    ranked = join_null_safe(tagged.withColumn("_rn", F.row_number().over(local)), offsets, [*keys, "_b"])
+    ranked = ranked.withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
     if size:
         ranked = ranked.withColumn(size, F.col("_size").cast("bigint"))
     return ranked.drop("_h", "_b", "_off", "_rn", "_size")
@@ -113,7 +117,7 @@ def running(
         *[F.min(f"_m_{o}").over(earlier).alias(f"_m_{o}") for o in mins],
         *[F.lead(f"_f_{o}").over(chain).alias(f"_f_{o}") for o in nexts],
     )
-    joined = result.join(carry, parts)
+    joined = join_null_safe(result, carry, parts)
     for o in sums:
         joined = joined.withColumn(o, F.col(o) + F.col(f"_s_{o}"))
     for o in mins:
@@ -148,7 +152,7 @@ def average_rank(
     ranks = running(distinct, keys, [F.col(value)], sums={"_upto": "_c"}, largest=size).select(
         *keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out)
     )
-    return df.join(ranks, [*keys, value])
+    return join_null_safe(df, ranks, [*keys, value])
 
 
 def quantiles(
@@ -162,7 +166,7 @@ def quantiles(
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = running(distinct, keys, [F.col("_v")], sums={"_upto": "_c"}, largest=size)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = upto.join(totals, keys) if keys else upto.withColumn("_n", F.lit(size))
+    placed = join_null_safe(upto, totals, keys) if keys else upto.withColumn("_n", F.lit(size))
     aggs = []
     for i, p in enumerate(probs.values()):
         at = (F.col("_n") - 1) * F.lit(float(p))

@@ -35,7 +35,9 @@ def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
 
 
 def sample_cells(cells: DataFrame, keys: list[str], cell: list[str], n: int, seed: int | str, repeats: int) -> DataFrame:
-    """n cells per key and repeat without replacement."""
+    """n cells per key and repeat without replacement; a key with fewer cells is an error."""
+    if not undersized(cells, keys, n).isEmpty():
+        raise ValueError(f"some groups have fewer than {n} cells")
     repeated = replicates(cells, repeats, "repeat").withColumn("_h", order_hash(seed, "repeat", *cell))
     return ranking.top_rows(
         repeated, ["repeat", *keys], [F.asc("_h"), *[F.asc(c) for c in cell]], n

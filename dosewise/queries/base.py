@@ -21,7 +21,7 @@ PRIORITY_HOURS = {"1-URGENT": 3, "2-HIGH": 6, "3-MEDIUM": 12, "4-NOT SPECIFIED":
 BAD_STATUS = "P"
 # The feature dictionary is brands x types: it does not grow with the tables.
 DICTIONARY_BOUND = 100_000
-SEED = 20260827
+SEED = 52711
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,6 +108,7 @@ def profiles(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity", "c
 def response(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Dense control / treated / delta values per key and gene_idx."""
     features, n = dictionary(spark, sf)
+    K.require_pairs(entity_cells(spark, sf), list(keys))
     paired = profiles(spark, sf, (*keys, "condition"), features)
     sparse = K.condition_delta(paired, [*keys, "gene_idx"], "log1p_cpm")
     return K.densify(sparse, list(keys), "gene_idx", n, ["control", "treated", "delta"])
@@ -124,8 +125,9 @@ def suppliers(spark: SparkSession, sf: str) -> DataFrame:
 def embedded(spark: SparkSession, sf: str) -> DataFrame:
     """Vector rows: control half x, response half y, lineage label."""
     v = F.col("embedding").cast("array<double>")
+    half = F.floor(F.size(v) / 2).cast("int")
     return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("entity"), F.col("label").alias("lineage"), F.slice(v, 1, 32).alias("x"), F.slice(v, 33, 32).alias("y"),
+        F.col("vec_id").alias("entity"), F.col("label").alias("lineage"), F.slice(v, F.lit(1), half).alias("x"), F.slice(v, half + 1, F.size(v) - half).alias("y"),
     )
 
 
@@ -190,4 +192,4 @@ def hash_sql(seed: int | str, *parts: str) -> str:
 
 
 def draw_sql(n: str, seed: int | str, *parts: str) -> str:
-    return f"(CAST(('0x' || substr({hash_sql(seed, *parts)}, 1, 8)) AS BIGINT) % {n})"
+    return f"(CAST(('0x' || substr({hash_sql(seed, *parts)}, 1, 15)) AS BIGINT) % {n})"

@@ -11,12 +11,13 @@ from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.session import pinned
 
-DIRECTIONS = 20
-DIMS = 8
+DIRECTIONS = 100
+# Length of the given vectors, for the SQL; Spark takes it from the data.
+DIMS = 64
 # Each label compares its vectors with even parity hash (x) to the others (y).
 SAMPLES = f"""
 s AS (SELECT vec_id AS entity, label, CASE WHEN substr(md5(concat_ws('|', 'side', vec_id)), 1, 1) < '8' THEN 'x' ELSE 'y' END AS side,
-  list_transform(list_slice(embedding, 1, {DIMS}), lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)"""
+  list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)"""
 DIRS = f"""
 dn AS (SELECT d AS direction, i AS dim,
   sqrt(-2 * ln(({B.draw_sql('4294967296', B.SEED, "'a'", 'd', 'i')} + 0.5) / 4294967296)) * cos(2 * {math.pi!r} * (({B.draw_sql('4294967296', B.SEED, "'b'", 'd', 'i')} + 0.5) / 4294967296)) AS w FROM range({DIRECTIONS}) a(d), range(1, {DIMS + 1}) b(i)),
@@ -27,7 +28,7 @@ def samples(spark, sf):
     half = F.substring(F.md5(F.concat_ws("|", F.lit("side"), F.col("vec_id").cast("string")).cast("binary")), 1, 1)
     return B.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("entity"), "label", F.when(half < "8", "x").otherwise("y").alias("side"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, DIMS).alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
     )
 
 
@@ -49,8 +50,10 @@ w1 AS (SELECT {keys}, coalesce(sum(g), 0) AS wasserstein FROM g GROUP BY ALL)"""
 SELECT label, round(avg(wasserstein), 6) AS sliced_wasserstein FROM w1 GROUP BY label""")
 def sliced_wasserstein(spark, sf):
     """Mean one-dimensional Wasserstein distance over fixed directions."""
-    dirs = pinned(distances.directions(spark, DIRECTIONS, DIMS, B.SEED))
-    return B.rounded(distances.sliced_wasserstein(samples(spark, sf), ["label"], "side", "v", dirs, DIRECTIONS))
+    rows = samples(spark, sf)
+    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    dirs = pinned(distances.directions(spark, DIRECTIONS, dims, B.SEED))
+    return B.rounded(distances.sliced_wasserstein(rows, ["label"], "side", "v", dirs, DIRECTIONS))
 
 
 @query(f"""WITH o AS (SELECT o_orderpriority AS key, CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE 'y' END AS side, o_totalprice AS v FROM orders),{W1.format(keys='key', rows='o')}

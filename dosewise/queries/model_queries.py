@@ -278,12 +278,15 @@ def subspace_overlap(spark, sf):
 @query()
 def variant_grid(spark, sf):
     """Fixed variants (dimension, rank, lineage indicators, covariates) on every outer fold."""
-    lineages = [F.when(F.col("lineage") == i, 1.0).otherwise(0.0) for i in range(10)]
+    source = B.embedded(spark, sf)
+    names = group_names(source)
+    lineages = [F.when(F.col("lineage") == i, 1.0).otherwise(0.0) for i in names]
     sign = (F.col("x")[0] > 0).cast("double")
-    table = B.embedded(spark, sf).withColumn("extra", F.array(*lineages, sign))
+    table = source.withColumn("extra", F.array(*lineages, sign))
+    groups = len(names)
     rows, names = benchmark.outer_rows(table, "entity", "lineage", K_OUTER, B.SEED)
     fitted = benchmark.fit(rows, names, 30, 30, extra="extra", scaled=1)
-    variants = ablation.fixed_variants(groups=10, covariates=1, widest=30)
+    variants = ablation.fixed_variants(groups=groups, covariates=1, widest=30)
     losses = ablation.variant_losses(fitted, variants, extra="extra")
     return B.rounded(losses.groupBy("setting", "dimension", "rank").agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n")))
 
@@ -310,12 +313,17 @@ def external_transfer(spark, sf):
     return B.rounded(vectors.to_long(out, ["entity"], "predicted", value="predicted"), 5)
 
 
+def group_names(rows):
+    """Names of the groups in the data, one fold or indicator each."""
+    return sorted(r[0] for r in rows.select("lineage").where("lineage is not null").distinct().collect())
+
+
 def _group_out(spark, sf):
     from dosewise.operators import folds
 
     table = B.embedded(spark, sf)
     rows = pinned(table.join(folds.leave_one_group_out(table, "entity", "lineage"), "entity"))
-    return rows, [str(i) for i in range(10)]
+    return rows, [str(i) for i in group_names(table)]
 
 
 GROUP_OUT = "SELECT CAST(g AS VARCHAR) AS model_fold, entity, CASE WHEN lineage = g THEN 'test' ELSE 'train' END AS role FROM efold, range(10) t(g)"

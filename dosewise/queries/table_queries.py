@@ -213,21 +213,19 @@ def similarity_matrix(spark, sf):
     # type x type per brand: a fixed dictionary, not rows
     pairs = left.join(right, "p_brand").where(F.col("left_type") < F.col("right_type"))
     cos = pairs.groupBy("left_type", "right_type").agg(S.cosine("x", "y").alias("v"))
-    # Part types.
-    names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    names = [r[0] for r in sums.select("p_type").distinct().sort("p_type").collect()]  # the columns of the report
     return B.rounded(enrichment.symmetric_matrix(cos, "left_type", "right_type", "v", names))
 
 
 # --- reports, profiles, manifests, contracts ----------------------------------
 
-@query("""
-SELECT "column", dtype, n_distinct, n_null, examples FROM (
-  SELECT 'lang' AS "column", 'string' AS dtype, count(DISTINCT lang) AS n_distinct, count(*) - count(lang) AS n_null, array_to_string(list_slice(list_sort(list(DISTINCT lang)), 1, 20), ';') AS examples FROM documents
-  UNION ALL SELECT 'source', 'string', count(DISTINCT source), count(*) - count(source), array_to_string(list_slice(list_sort(list(DISTINCT source)), 1, 20), ';') FROM documents
-  UNION ALL SELECT 'n_chars', 'bigint', count(DISTINCT n_chars), count(*) - count(n_chars), array_to_string(list_slice(list_sort(list(DISTINCT CAST(n_chars AS VARCHAR))), 1, 20), ';') FROM documents)""")
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_null, "
+    f"array_to_string(list_slice(list_sort(list(DISTINCT CAST({c} AS VARCHAR))), 1, 20), ';') AS examples FROM documents"
+    for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
 def column_profile(spark, sf):
     """Type, distinct and null counts and first values of document columns."""
-    table = profile.column_profile(B.table(spark, sf, "documents"), ["lang", "source", "n_chars"])
+    table = profile.column_profile(B.table(spark, sf, "documents"))
     return table.withColumn("examples", F.array_join("examples", ";"))
 
 

@@ -1,4 +1,4 @@
-"""Column profiles of metadata tables and count samples."""
+"""Column profiles of tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from dosewise.operators import ranking
 
 EXAMPLES = 20
-SAMPLE_VALUES = 100_000
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -30,12 +29,3 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return facts.join(examples, "column", "left").select(
         "column", F.element_at(kinds, F.col("column")).alias("dtype"), "n_distinct", "n_null", "examples"
     )
-
-
-def matrix_sample(counts: DataFrame, value: str = "x", size: int = SAMPLE_VALUES) -> DataFrame:
-    """min, max and integer-likeness of the first stored values."""
-    v = F.col(value).cast("double")
-    return counts.limit(size).agg(
-        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.bool_and(v == F.rint(v)).alias("integer_like"),
-        F.count(v).alias("n_values"),
-    )

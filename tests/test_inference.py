@@ -78,6 +78,8 @@ def test_sampling_and_halves(spark):
     halves = resample.split_halves(cells, ["g"], ["cell"], 7, 1).toPandas()
     assert halves.groupby(["g", "half"]).size().tolist() == [5, 5, 5, 5]
     assert resample.undersized(cells, ["g"], 12).count() == 2
+    with pytest.raises(ValueError):
+        resample.sample_cells(cells, ["g"], ["cell"], 12, 1, 1)
 
 
 def test_error_types_follow_precedence(spark):

@@ -99,6 +99,9 @@ def test_tagged_cells_and_paired_keys(spark):
     assert kept.count() == 3
     assert K.tagged_cells(cells, "tag", ids=cells.where("entity = 'b'").select("entity")).count() == 1
     assert [r.entity for r in K.paired_keys(kept, ["entity"]).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        K.require_pairs(kept, ["entity"])
+    assert K.require_pairs(kept.where("entity = 'a'"), ["entity"]).count() > 0
 
 
 def test_panel_keeps_every_column_of_a_symbol(spark):

@@ -11,6 +11,7 @@ from dosewise.session import WINDOW_ROWS_KEY
 def rows(spark):
     rng = np.random.default_rng(1)
     data = [("hot" if i % 3 else f"k{i % 5}", i, float(rng.integers(0, 40))) for i in range(400)]
+    data += [(None, i, None if i % 4 == 0 else float(i % 9)) for i in range(400, 440)] + [("hot", i, None) for i in range(440, 450)]
     return spark.createDataFrame(data, "k string, i int, v double").repartition(5)
 
 
@@ -32,11 +33,17 @@ OPERATIONS = {
 }
 
 
+def test_p_values_outside_their_range_are_refused(rows):
+    with pytest.raises(ValueError):
+        enrichment.benjamini_hochberg(rows.withColumn("p", F.col("v")), ["k"], "p", ["i"])
+
+
 @pytest.mark.parametrize("name", OPERATIONS)
-def test_split_groups_equal_plain_windows(rows, conf, name):
+@pytest.mark.parametrize("limit", [1, 7])
+def test_split_groups_equal_plain_windows(rows, conf, name, limit):
     plain = OPERATIONS[name](rows)
     expected = plain.toPandas()
-    conf(WINDOW_ROWS_KEY, 7)
+    conf(WINDOW_ROWS_KEY, limit)
     got = OPERATIONS[name](rows).toPandas()
     keys = [c for c in ("k", "i") if c in expected]
     if keys:
@@ -49,7 +56,7 @@ def test_split_groups_equal_plain_windows(rows, conf, name):
 
 
 def test_quantiles_match_numpy(rows):
-    pdf = rows.toPandas()
+    pdf = rows.toPandas().dropna()
     got = ranking.quantiles(rows, ["k"], "v", {"q": 0.25}).toPandas().set_index("k")["q"]
     for k, g in pdf.groupby("k"):
         assert got[k] == pytest.approx(np.quantile(g["v"], 0.25))
