@@ -28,6 +28,9 @@ ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 500_000
 # Decimals kept when a permuted statistic is compared with the observed one.
 TIE_DIGITS = 9
+# Groups up to this size are resampled inside one row; larger ones by joined rows. The draws are the same.
+PACKED_ROWS = 10_000
+PACKED_ROWS_KEY = "spark.dosewise.packedRows"
 
 
 def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
@@ -94,7 +97,27 @@ def bootstrap_rows(
     drawn = replicates(spread(base.select(*keys, "pos", "n"), keys, count, rows), count).select(
         *keys, "rep", (draw_below(F.col("n"), seed, "rep", "pos") + 1).alias("pos")
     )
-    return drawn.join(lookup(base.select(*keys, "pos", *values), rows), [*keys, "pos"])
+    return ranking.join_null_safe(drawn, lookup(base.select(*keys, "pos", *values), rows), [*keys, "pos"])
+
+
+def packed(base: DataFrame, keys: list[str], values: list[str], copies: int) -> DataFrame:
+    """One row per key and replicate with the values as arrays in order of position, dealt over the cores.
+
+    For groups under PACKED_ROWS: a replicate is then computed inside its row, without a shuffle or a window.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("pos", *values)))
+    arrays = base.groupBy(*keys).agg(ordered.alias("_rows")).select(
+        *keys, F.size("_rows").alias("n"), *[F.col("_rows").getField(c).alias(c) for c in values])
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    step = math.ceil(copies / cores)
+    dealt = arrays.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(copies - 1), F.lit(step)))).repartition(cores, *keys, "_from")
+    return dealt.withColumn("rep", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + step, F.lit(copies)) - 1))).drop("_from")
+
+
+def drawn_mean(value: str, seed: int | str) -> Column:
+    """Mean of n draws with replacement from the array `value`; the draws of `bootstrap_rows`."""
+    each = lambda total, pos: total + F.element_at(value, (draw_below(F.col("n"), seed, "rep", pos) + 1).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), each) / F.col("n")
 
 
 def interval(replicated: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -109,10 +132,14 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Mean with a percentile bootstrap interval per key; undefined values are left out."""
     base = positioned(df.where(S.is_finite(value)).select(*keys, *ids, value), keys, ids, seed)
-    rows, _ = extent(base)
-    means = bootstrap_rows(base, keys, [value], count, seed, rows).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
+    rows, largest = extent(base)
+    if largest <= limit(base.sparkSession, PACKED_ROWS_KEY, PACKED_ROWS):
+        as_double = base.withColumn(value, F.col(value).cast("double"))
+        means = packed(as_double, keys, [value], count).select(*keys, "rep", drawn_mean(value, seed).alias("_m"))
+    else:
+        means = bootstrap_rows(base, keys, [value], count, seed, rows).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
     centre = base.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return centre.join(interval(means, keys, "_m"), keys)
+    return ranking.join_null_safe(centre, interval(means, keys, "_m"), keys)
 
 
 def paired_difference(

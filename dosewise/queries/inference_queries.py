@@ -10,6 +10,7 @@ from dosewise.queries.registry import query
 from dosewise.session import pinned
 
 BOOT, PERM = 200, 500
+MEANS = 2000
 
 
 def rank_sql(keys: str, value: str) -> str:
@@ -173,7 +174,7 @@ def eta_squared(spark, sf):
 @query(f"""
 WITH v AS (SELECT c_mktsegment AS test, c_custkey AS entity, sum(o_totalprice) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY md5(concat_ws('|', '{B.SEED}', entity)), entity) AS pos, count(*) OVER (PARTITION BY test) AS n FROM v),
-d AS (SELECT test, rep, {B.draw_sql('n', B.SEED, 'rep', 'pos')} + 1 AS pos FROM p, range({BOOT}) t(rep)),
+d AS (SELECT test, rep, {B.draw_sql('n', B.SEED, 'rep', 'pos')} + 1 AS pos FROM p, range({MEANS}) t(rep)),
 m AS (SELECT test, rep, avg(v) AS m FROM d JOIN p USING (test, pos) GROUP BY ALL),
 c AS (SELECT test, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY test)
 SELECT test, round(avg(v), 4) AS mean, count(*) AS n, round(any_value(ci_low), 4) AS ci_low, round(any_value(ci_high), 4) AS ci_high FROM v JOIN c USING (test) GROUP BY test""")
@@ -183,7 +184,7 @@ def bootstrap_ci(spark, sf):
     rows = B.table(spark, sf, "customer").join(spend, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("c_mktsegment").alias("test"), F.col("c_custkey").alias("entity"), "v"
     )
-    return B.rounded(resample.bootstrap_mean(rows, ["test"], "v", ["entity"], B.SEED, BOOT), 4)
+    return B.rounded(resample.bootstrap_mean(rows, ["test"], "v", ["entity"], B.SEED, MEANS), 4)
 
 
 def bh_sql(source: str, family: str, ids: str) -> str:

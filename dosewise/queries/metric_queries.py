@@ -17,7 +17,7 @@ METRICS = [
     "rmse_gain_vs_b1", "nrmse_gain_vs_b1",
 ]
 TOP = 5
-REPS = 200
+REPS = 2000
 
 # zero, global-mean and group-mean predictions next to the observed response
 PRED = f"""{EMB},

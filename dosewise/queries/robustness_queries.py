@@ -13,7 +13,7 @@ from dosewise.queries.model_queries import PARTS, _pair, fit_body_sql
 from dosewise.queries.registry import query
 from dosewise.session import pinned
 
-REPS = 200
+REPS = 2000
 K_FOLDS = 5
 
 

@@ -95,3 +95,11 @@ def test_histogram_closes_the_last_bin(spark):
     assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
     flat = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert [(r.bin, r.n) for r in summaries.histogram(flat, "v", 5).collect()] == [(0, 2)]
+
+
+def test_bootstrap_inside_rows_equals_joined_rows(spark, conf):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i, float(i % 7)) for i in range(60)], "k string, i int, v double")
+    run = lambda: sorted(map(str, resample.bootstrap_mean(rows, ["k"], "v", ["i"], 7, 50).collect()))
+    inside = run()
+    conf(resample.PACKED_ROWS_KEY, 5)
+    assert run() == inside and len(inside) == 2
