@@ -44,9 +44,11 @@ SELECT entity, condition, CAST(sum(x) AS BIGINT) AS library_size, count(DISTINCT
 FROM obs GROUP BY entity, condition""")
 def pooled_profiles(spark, sf):
     """Counts and cells pooled over hours before any normalisation."""
-    return B.observed(spark, sf).groupBy("entity", "condition").agg(
-        F.sum("x").alias("library_size"), F.count_distinct("cell").alias("n_cells"), F.count_distinct("gene_id").alias("detected")
-    )
+    keys = ["entity", "condition"]
+    sums = K.pseudobulk(B.observed(spark, sf), keys, "gene_id").groupBy(*keys).agg(
+        F.sum("total").alias("library_size"), F.count(F.lit(1)).alias("detected"))
+    cells = B.entity_cells(spark, sf).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))  # a cell has one hour
+    return sums.join(cells, keys).select(*keys, "library_size", "n_cells", "detected")
 
 
 @query(f"""

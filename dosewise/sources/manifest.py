@@ -9,11 +9,17 @@ from dosewise.operators import composition
 from dosewise.operators import contracts as C
 
 
+LARGEST_FILE = 1_000_000_000
+
+
 def file_manifest(spark: SparkSession, glob: str, sizes: DataFrame | None = None) -> DataFrame:
     """(path, bytes, sha256 [, row_count, vector_length]) of every matching file.
 
-    `sizes` carries row facts keyed by path.
+    `sizes` carries row facts keyed by path. A file over LARGEST_FILE bytes can't be one value and is an error.
     """
+    large = spark.read.format("binaryFile").load(glob).where(F.col("length") > LARGEST_FILE).select("path").take(3)
+    if large:
+        raise ValueError(f"files too large for a digest: {[r[0] for r in large]}")
     files = (
         spark.read.format("binaryFile").load(glob)
         .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dosewise.operators import contracts as C
+from dosewise.session import pinned
 
 COUNT_SCHEMA = "gene_idx int, cell_idx int, x double"
 
@@ -50,12 +52,31 @@ def checked_counts(rows: DataFrame, shape: tuple[int, int, int], source: str, ch
     return rows.select(F.lit(source).alias("source"), "gene_idx", "cell_idx", F.col("x").cast("bigint").alias("x"))
 
 
+def numbered_lines(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """(index, line): lines with their 1-based number, files in the order of their paths.
+
+    Lines are numbered inside the blocks that tasks read, and the counts of the blocks before are added.
+    """
+    lines = pinned(spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at")))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    return lines.join(offsets, ["file", "block"]).select(number.alias(index), "line")
+
+
 def read_indexed_lines(spark: SparkSession, path: str, names: list[str], sep: str = "\t", index: str = "idx") -> DataFrame:
-    """Headerless text table with its 1-based line number (file order is the key)."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    numbered = spark.createDataFrame(lines, f"{index} bigint, line string")
-    parts = F.split("line", sep)
-    return numbered.select(F.col(index).cast("int").alias(index), *[F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    """Headerless text table with its 1-based line number (file order is the key); CSV lines may quote their fields."""
+    numbered = numbered_lines(spark, path, index)
+    if sep == ",":
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"'})
+        fields = [parsed.getField(f"c{i}") for i in range(len(names))]
+    else:
+        fields = [F.try_element_at(F.split("line", sep), F.lit(i + 1)) for i in range(len(names))]
+    return numbered.select(F.col(index).cast("int").alias(index), *[f.alias(n) for f, n in zip(fields, names, strict=True)])
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,16 @@ def test_bad_matrices_are_refused(spark, tmp_path, body):
         matrix.read_matrix(spark, path, "s")
 
 
+def test_lines_are_numbered_over_files_and_blocks(spark, tmp_path, conf):
+    (tmp_path / "many").mkdir()
+    for name, start in (("a", 0), ("b", 500)):
+        write(tmp_path / "many" / f"{name}.txt", "".join(f"line {start + i}\n" for i in range(500)))
+    conf("spark.sql.files.maxPartitionBytes", 700)
+    conf("spark.sql.files.openCostInBytes", 1)
+    got = matrix.numbered_lines(spark, str(tmp_path / "many"), "i").collect()
+    assert {r.i: r.line for r in got} == {i + 1: f"line {i}" for i in range(1000)}
+
+
 def test_dictionary_and_cells(spark, tmp_path):
     genes = matrix.read_genes(spark, write(tmp_path / "g.tsv", "ENS1\tAAA\nENS2\tBBB\nENS3\tAAA\n"))
     assert [(r.gene_idx, r.gene_id, r.gene_symbol) for r in genes.orderBy("gene_idx").collect()] == [(1, "ENS1", "AAA"), (2, "ENS2", "BBB"), (3, "ENS3", "AAA")]
@@ -41,6 +51,8 @@ def test_dictionary_and_cells(spark, tmp_path):
     cells = matrix.read_cells(spark, good, codes, ["barcode", "quality"])
     summary = matrix.cell_summary(cells.withColumn("source", F.lit("s")), "source").first()
     assert (summary.n_cells, summary.n_normal) == (2, 1)
+    quoted = write(tmp_path / "q.csv", 'barcode,entity,quality\nc1,"A, ""x""",normal\nc2,B,doublet\n')
+    assert {r.cell_idx: (r.entity, r.quality) for r in matrix.read_cells(spark, quoted, codes, ["barcode"]).collect()} == {1: ('A, "x"', "normal"), 2: ("B", "doublet")}
     swapped = write(tmp_path / "d.csv", "barcode,entity,quality\nc2,A,normal\nc1,B,doublet\n")
     with pytest.raises(ValueError):
         matrix.read_cells(spark, swapped, codes, ["barcode"])
