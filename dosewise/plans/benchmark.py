@@ -95,7 +95,7 @@ def neighbor_losses(fitted: Fitted, dimensions: tuple[int, ...]) -> DataFrame:
     mean = F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v) / F.size("y")
     return found.join(answers, "entity").join(copied, "neighbor").select(
         "model_fold", "entity", F.lit("nearest").alias("setting"), "dimension",
-        F.lit(0).alias("rank"), F.lit(0.0).alias("alpha"), F.sqrt(mean).alias("rmse"),
+        F.lit(0).alias("rank"), F.lit(0.0).alias("alpha"), F.sqrt(mean).alias("rmse"), "neighbor",
     )
 
 
@@ -152,6 +152,28 @@ def mean_predictions(rows: DataFrame, names: list[str], group: str) -> DataFrame
     )
 
 
+def baseline_losses(fitted: Fitted, group: str, losses: DataFrame, dimensions: tuple[int, ...]) -> DataFrame:
+    """Held-out error of five predictors per outer fold and row, their parameters chosen on inner folds.
+
+    zero, global mean, group mean (with its fallback), the nearest training row (with its name) at the chosen
+    dimension, and the direct model at the chosen dimension and penalty. `losses` holds the direct grid's losses.
+    """
+    outer = [f for f in fitted.folds if "/" not in f]
+    own = lambda c: F.filter(c, lambda f: ~f.contains("/")).alias(c)
+    rows = fitted.rows.select("entity", group, "y", own("test_of"), own("held_of"))
+    means = mean_predictions(rows, outer, group).join(vectors.to_long(rows, ["entity"], "y"), ["entity", "feature"])
+    gap = lambda c: F.sqrt(F.avg((F.col(c) - F.col("value")) * (F.col(c) - F.col("value")))).alias(c)
+    three = means.groupBy("model_fold", "entity").agg(*[gap(c) for c in ("zero", "global_mean", "group_mean")], F.bool_or("fallback").alias("_f"))
+    three = three.select("model_fold", "entity", "_f", F.expr("stack(3, 'zero', zero, 'global_mean', global_mean, 'group_mean', group_mean) as (model, rmse)"))
+    three = three.withColumn("fallback", F.when(F.col("model") == "group_mean", F.col("_f"))).drop("_f")
+    copied = pinned(neighbor_losses(fitted, dimensions))
+    grid = copied.unionByName(losses.where("setting = 'direct'").withColumn("neighbor", F.lit(None).cast(dict(copied.dtypes)["neighbor"])))
+    keys = ["model_fold", "setting", "dimension", "rank", "alpha"]
+    chosen = select_settings(grid)[1].withColumnRenamed("outer_fold", "model_fold").select(*keys)
+    two = grid.join(chosen, keys).select("model_fold", "entity", F.col("setting").alias("model"), "rmse", "dimension", "alpha", "neighbor")
+    return three.unionByName(two, allowMissingColumns=True)
+
+
 def novelty(fitted: Fitted, dimension: int) -> DataFrame:
     """Distance from each held-out row to its nearest training row."""
     return nearest_rows(fitted, (dimension,)).select("model_fold", "entity", "neighbor", F.col("distance").alias("novelty"))

@@ -253,6 +253,37 @@ def nearest_cv_trace(spark, sf):
     return B.rounded(losses.groupBy("model_fold", "dimension").agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n")), 5)
 
 
+NEAREST = """,
+zz AS MATERIALIZED (SELECT model_fold, entity, role, max(z) FILTER (component = 1) AS z1, max(z) FILTER (component = 2) AS z2 FROM z GROUP BY ALL),
+pr AS (SELECT a.model_fold, a.entity, b.entity AS neighbor, d, CASE WHEN d = 1 THEN pow(a.z1 - b.z1, 2) ELSE pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2) END AS g
+  FROM zz a JOIN zz b ON a.model_fold = b.model_fold AND a.role = 'test' AND b.role = 'train', range(1, 3) r(d)),
+w AS (SELECT model_fold, entity, d, arg_min(neighbor, g) AS neighbor FROM pr GROUP BY ALL),
+nl AS MATERIALIZED (SELECT w.model_fold, w.entity, 'nearest' AS setting, d AS dimension, 0.0 AS alpha, w.neighbor,
+  sqrt(list_sum(list_transform(range(1, 33), lambda i: pow(a.y[i] - b.y[i], 2))) / 32) AS rmse FROM w JOIN vec a USING (entity) JOIN vec b ON b.entity = w.neighbor)"""
+
+
+@query(f"""WITH RECURSIVE {_fitted_sql(BOTH, False)}{PARTS}{NEAREST},
+al AS (SELECT model_fold, entity, 'direct' AS setting, d AS dimension, a AS alpha, CAST(NULL AS BIGINT) AS neighbor, sqrt(avg(pow(my + dev - y[target], 2))) AS rmse
+  FROM dev JOIN ym USING (model_fold, target) JOIN vec USING (entity) GROUP BY ALL UNION ALL SELECT * FROM nl),
+po AS (SELECT split_part(model_fold, '/', 1) AS model_fold, setting, dimension, alpha, avg(rmse) AS loss FROM al WHERE model_fold LIKE '%/%' GROUP BY ALL),
+ch AS (SELECT * FROM po QUALIFY row_number() OVER (PARTITION BY model_fold, setting ORDER BY loss, dimension, alpha) = 1),
+te AS (SELECT model_fold, entity, lineage, t AS target, y[t] AS y FROM outer_m JOIN vec USING (entity), range(1, 33) r(t) WHERE role = 'test'),
+gm AS (SELECT model_fold, lineage, t AS target, avg(y[t]) AS gm, count(*) AS n FROM outer_m JOIN vec USING (entity), range(1, 33) r(t) WHERE role = 'train' GROUP BY ALL),
+b AS (SELECT model_fold, entity, sqrt(avg(pow(y, 2))) AS zero, sqrt(avg(pow(y - my, 2))) AS global_mean,
+  sqrt(avg(pow(y - CASE WHEN n >= 2 THEN gm ELSE my END, 2))) AS group_mean, bool_or(NOT coalesce(n >= 2, false)) AS fallback
+  FROM te JOIN ym USING (model_fold, target) LEFT JOIN gm USING (model_fold, lineage, target) GROUP BY ALL)
+SELECT model_fold, entity, 'zero' AS model, round(zero, 5) AS rmse, CAST(NULL AS BOOLEAN) AS fallback, CAST(NULL AS INTEGER) AS dimension, CAST(NULL AS DOUBLE) AS alpha, CAST(NULL AS BIGINT) AS neighbor FROM b
+UNION ALL SELECT model_fold, entity, 'global_mean', round(global_mean, 5), NULL, NULL, NULL, NULL FROM b
+UNION ALL SELECT model_fold, entity, 'group_mean', round(group_mean, 5), fallback, NULL, NULL, NULL FROM b
+UNION ALL SELECT model_fold, entity, setting, round(rmse, 5), NULL, CAST(dimension AS INTEGER), CAST(alpha AS DOUBLE), neighbor FROM al JOIN ch USING (model_fold, setting, dimension, alpha)""")
+def baseline_table(spark, sf):
+    """Five predictors side by side on every held-out row: zero, global mean, group mean, nearest row, direct model."""
+    rows, names = nested(spark, sf)
+    fitted = benchmark.fit(rows, names, 2)
+    losses = pinned(benchmark.grid_losses(fitted, GRID.direct()))
+    return B.rounded(benchmark.baseline_losses(fitted, "lineage", losses, (1, 2)), 5)
+
+
 @query(f"""WITH RECURSIVE {_fitted_sql(OUTER_ONLY)}{LOSSES},
 o AS (SELECT model_fold, entity, component, list_dot_product(y, v) - list_sum(list_transform(range(1, 33), lambda i: v[i] * mean[i])) AS observed FROM mf JOIN vec USING (entity) JOIN py USING (model_fold)
   JOIN (SELECT model_fold, list(my ORDER BY target) AS mean FROM ym GROUP BY 1) USING (model_fold) WHERE role = 'test')
