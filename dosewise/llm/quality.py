@@ -79,27 +79,38 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights and intercept by damped Newton steps; `share` weighs the rows."""
+    """Weights and intercept by Newton steps, each halved until the loss falls; `share` weighs the rows."""
     a = np.column_stack([x, np.ones(len(x))])
     ridge = np.r_[np.full(x.shape[1], penalty), 1e-6]
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(share @ (np.logaddexp(0, z) - y * z) + ridge @ (w * w) / 2)
+
     w = np.zeros(a.shape[1])
-    loss = np.inf
-    for _ in range(100):
-        z = np.clip(a @ w, -40, 40)
-        p = 1 / (1 + np.exp(-z))
-        now = float(share @ (np.logaddexp(0, z) - y * z) + ridge @ (w * w) / 2)
-        if abs(loss - now) < 1e-9 * max(1.0, abs(now)):
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+        hessian = (a * (share * p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        step = np.linalg.solve(hessian, a.T @ (share * (p - y)) + ridge * w)
+        size = 1.0
+        while size > 1e-10 and loss(w - size * step) >= now:
+            size /= 2
+        if size <= 1e-10:
+            break
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, now):
             break
-        loss = now
-        hessian = (a * (share * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge)
-        w = w - np.linalg.solve(hessian, a.T @ (share * (p - y)) + ridge * w)
     return w
 
 
 def fit_rows(good: list[str], bad: list[str], n_good: int, n_bad: int, settings: Settings = Settings()) -> Model:
     """Model from sampled texts; n_good and n_bad are the classes' sizes in all labelled rows, for calibration."""
     samples = {1: [t or "" for t in good], 0: [t or "" for t in bad]}
-    cut = {k: min(settings.for_dictionary, (len(v) + 1) // 2) for k, v in samples.items()}
+    # as many texts for either dictionary, so that neither knows more of what both classes share
+    both = min((len(v) + 1) // 2 for v in samples.values())
+    cut = {k: min(settings.for_dictionary, both or (len(v) + 1) // 2) for k, v in samples.items()}
     contents = {k: _dictionary([t.encode("utf-8", "surrogatepass") for t in v[: cut[k]]], settings.dictionary_bytes) for k, v in samples.items()}
     model = Model(contents[1], contents[0], settings.level, np.zeros(14), np.ones(14), np.zeros(15))
     rest = {k: v[cut[k]:] for k, v in samples.items()}
