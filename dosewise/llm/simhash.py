@@ -25,11 +25,11 @@ SEED = 42
 BLOCK = 65_536
 
 
-def simhash(text: str | None, width: int) -> int:
-    """Signed 64-bit fingerprint; 0 without words."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of the `width`-word shingles in order; a shorter text is one shingle, none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -37,7 +37,14 @@ def simhash(text: str | None, width: int) -> int:
     width = min(width, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
     hash_ = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+    return np.fromiter((hash_(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
+def simhash(text: str | None, width: int) -> int:
+    """Signed 64-bit fingerprint; 0 without words."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         octets = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, BITS // 8)
