@@ -50,7 +50,9 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Attributes one by one; quoted text that belongs to no name is passed over whole.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+NAMES = frozenset("class id role itemprop hidden aria-hidden".split())
 PARTS = re.compile(r"[A-Za-z]+")
 
 
@@ -119,7 +121,10 @@ class Page:
                     break
                 if self.tags[self._stack[depth]] in BLOCK:
                     break
-        own = {k.lower(): v.strip("\"'") for k, v in NAMES.findall(attributes)}
+        own: dict[str, str] = {}
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name.lower() in NAMES:
+                own.setdefault(name.lower(), value.strip("\"'"))
         names = {n.lower() for k in ("class", "id", "role", "itemprop") if k in own for n in PARTS.findall(own[k])}
         parent = self._stack[-1]
         inside = any(self.tags[e] in LANDMARKS for e in self._stack) if tag == "header" else True
