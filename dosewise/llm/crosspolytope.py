@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from dosewise.session import pinned
@@ -116,10 +116,10 @@ def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 def search(
     vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest other rows by cosine, as found by the index.
+    """(query_id, rank, vec_id, score): each query's k nearest other rows by cosine, as found by the index, or among all vectors if it finds too few.
 
     Rows whose id is null, or whose vector is null, zero or holds a null or non-finite component, take no part. Only
-    vectors of equal length are compared. A query with fewer than k candidates in its buckets returns those. Rows that
+    vectors of equal length are compared. A query has fewer than k rows only if there are fewer candidates. Rows that
     repeat an id and vector count once; an id with several vectors is several rows. Other columns are ignored.
     """
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # floats move at half the size
@@ -138,6 +138,36 @@ def search(
 
     keys = ["tab", "axis", "part"]
     found = asked.drop("parts").groupBy(*keys).cogroup(spread.drop("parts").groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    nearest = found.distinct()
+    nearest = pinned(found.distinct())
+    rest = exhaustive(rows.where("asks"), indexed, nearest, k)
+    nearest = nearest if rest is None else nearest.unionByName(rest).distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return nearest.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exhaustive(queries: DataFrame, indexed: DataFrame, nearest: DataFrame, k: int) -> DataFrame | None:
+    """(query_id, vec_id, score) of the k nearest of all vectors for queries that the index gave too few; None if there are none.
+
+    Too few are less than k and less than the other vectors of the query's length. Queries and vectors are dealt over
+    parts of PART_ROWS, and every part of the ones meets every part of the others.
+    """
+    length = F.size("v").alias("len")
+    sizes = pinned(indexed.groupBy(length).agg(F.count(F.lit(1)).alias("n")))
+    got = nearest.groupBy(F.col("query_id").alias("id")).agg(F.count_distinct("vec_id").alias("got"))
+    short = queries.select("id", "v", length).join(got, "id", "left").join(F.broadcast(sizes), "len")
+    short = pinned(short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("id", "v", "len", "n"))
+    if short.isEmpty():
+        return None
+    part = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    parts = F.broadcast(pinned(short.groupBy("len").agg(part(F.count(F.lit(1))).alias("asking"), part(F.max("n")).alias("given"))))
+
+    def dealt(side: DataFrame, own: str, other: str) -> GroupedData:
+        placed = side.select("id", "v", length).join(parts, "len").withColumn(f"{own}_part", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        copied = placed.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return copied.drop("asking", "given").groupBy("len", "asking_part", "given_part")
+
+    def rank(asked: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        return best(asked, candidates, k)
+
+    met = dealt(short, "asking", "given").cogroup(dealt(indexed, "given", "asking"))
+    return met.applyInPandas(rank, "query_id long, vec_id long, score double")
