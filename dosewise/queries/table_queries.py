@@ -268,10 +268,15 @@ def json_report(spark, sf):
 
 @query()
 def file_manifest(spark, sf):
-    """Bytes, SHA-256 and row counts of the given Parquet files."""
-    names = ("orders", "supplier", "embeddings")
-    facts = [manifest.row_facts(B.table(spark, sf, n), "embedding" if n == "embeddings" else None) for n in names]
-    listed = manifest.file_manifest(spark, f"{sf}/{{{','.join(names)}}}.parquet", metrics.union_all(facts))
+    """Bytes, SHA-256 and row counts of all Parquet files of the folder."""
+    glob = f"{sf}/*.parquet"
+    found = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]+)*$", 1).alias("name")).distinct()
+    facts = []
+    for name in sorted(r["name"] for r in found.collect()):
+        given = B.table(spark, sf, name)
+        vectors = [c for c, kind in given.dtypes if kind.startswith("array")]
+        facts.append(manifest.row_facts(given, vectors[0] if vectors else None))
+    listed = manifest.file_manifest(spark, glob, metrics.union_all(facts)).fillna(0, ["row_count"])
     return listed.withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 

@@ -30,7 +30,8 @@ def file_manifest(spark: SparkSession, glob: str, sizes: DataFrame | None = None
 def row_facts(df: DataFrame, vector: str | None = None) -> DataFrame:
     """Rows (and vector length) per physical file of a Parquet read."""
     length = F.max(F.size(vector)) if vector else F.lit(None).cast("int")
-    return df.groupBy(F.input_file_name().alias("path")).agg(
+    path = F.regexp_replace(F.input_file_name(), "^file:/+", "file:/")  # as binaryFile writes it
+    return df.groupBy(path.alias("path")).agg(
         F.count(F.lit(1)).alias("row_count"), length.cast("bigint").alias("vector_length")
     )
 
