@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import crosspolytope, fixity, mixing, nbest, quality, simhash, splitters, stream_dedup, template, toolcalls
+from dosewise.llm import bpe_count, crosspolytope, divergence, fixity, mixing, nbest, periodic, quality, simhash, splitters, stream_dedup, template, toolcalls
 from dosewise.llm.common import table
 from dosewise.queries.registry import query
 
@@ -176,3 +176,46 @@ def op2_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
     calls, results, needs = toolcalls.conversation_calls(table(spark, sf, "conversations"))
     schemas = spark.createDataFrame(toolcalls.CONVERSATION_TOOLS, toolcalls.TOOL_SCHEMA)
     return toolcalls.link(calls, results, needs, schemas).withColumn("problems", F.array_join("problems", "; "))
+
+
+# The language's kept terms, then shares in exact integers; sums over all kept terms by the terms of either source.
+@query("""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+z AS (
+  SELECT g.lang, g.source, (SELECT count(*) FROM k WHERE k.lang = g.lang) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total FROM g),
+p AS (
+  SELECT z.lang, z.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (z.total + 5 * z.v) AS p
+  FROM z JOIN k USING (lang) LEFT JOIN c ON c.lang = z.lang AND c.source = z.source AND c.term = k.term),
+l AS (SELECT lang, sum(total) AS total, any_value(v) AS v FROM z GROUP BY lang),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(l.total) + 5 * any_value(l.v)) AS q FROM p JOIN l USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+""")
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_count.token_counts(table(spark, sf, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of the documents, of which every tenth is made periodic; the runs and the collapsed text as digests."""
+    found = periodic.detect(table(spark, sf, "documents"), change=periodic.planted)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
