@@ -7,7 +7,7 @@ The links are checkpointed after each pass; only one row (count and checksum) re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.session import pinned
@@ -18,9 +18,16 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), digest).first())
 
 
+def _link(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the smallest node it knows."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Each node links its larger neighbours to the smallest node it knows.
+
+    Both directions come from one read: a union of two reads of a checkpointed table can break the optimizer.
+    """
+    both = links.select(F.explode(F.array(_link("a", "b"), _link("b", "a"))).alias("link")).select("link.*")
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -29,8 +36,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b")))
+    return down.join(low, "a").select(F.explode(F.array(_link("b", "m"), _link("a", "m"))).alias("link")).select("link.*")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,4 +51,5 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         links = pinned(_small_star(_large_star(links).distinct()).where("a != b").distinct())
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    own = F.explode(F.array(F.col("node"), F.col("root")))
+    return roots.select(own.alias("node"), "root").distinct()
