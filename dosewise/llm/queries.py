@@ -150,16 +150,16 @@ WITH RECURSIVE c AS (
     CASE WHEN role = 'user' AND turn // 2 > 0 THEN 'call-' || conv_id || '-' || (turn - 2 * (turn // 2 - (turn // 2 - 1) // 2))
       WHEN role = 'user' AND turn = 1 THEN 'call-' || conv_id || '-0' END AS needs_id
   FROM conversations WHERE role IN ('system', 'user')),
-r AS (SELECT 'call-' || conv_id || '-' || (turn - 1) AS r_id, text AS content FROM conversations WHERE role = 'assistant'),
+r AS (SELECT 'call-' || conv_id || '-' || (turn - 1) AS r_id, conv_id AS r_conv, turn AS r_turn, text AS content FROM conversations WHERE role = 'assistant'),
 e AS (SELECT call_id, needs_id, needs_id IN (SELECT call_id FROM c) AS known FROM c WHERE needs_id IS NOT NULL),
 l AS (
   SELECT call_id, 0 AS level FROM c WHERE call_id NOT IN (SELECT call_id FROM e WHERE known)
   UNION ALL SELECT e.call_id, l.level + 1 FROM e JOIN l ON e.needs_id = l.call_id),
 j AS (
-  SELECT coalesce(c.call_id, r.r_id) AS call_id, conv_id, turn, name, level, CASE WHEN r_id IS NULL THEN 0 ELSE 1 END AS n_results,
+  SELECT coalesce(c.call_id, r.r_id) AS call_id, coalesce(conv_id, r_conv) AS conv_id, coalesce(turn, r_turn) AS turn, name, level, CASE WHEN r_id IS NULL THEN 0 ELSE 1 END AS n_results,
     c.call_id IS NOT NULL AS called, text, content, c.needs_id, known
   FROM c FULL JOIN r ON c.call_id = r.r_id LEFT JOIN l ON c.call_id = l.call_id LEFT JOIN e ON c.call_id = e.call_id)
-SELECT call_id, conv_id, turn, name, level, CAST(n_results AS BIGINT) AS n_results,
+SELECT CASE WHEN called THEN 'call' ELSE 'result' END AS kind, call_id, conv_id, turn, name, level, CAST(n_results AS BIGINT) AS n_results,
   concat_ws('; ',
     CASE WHEN called AND length(text) NOT BETWEEN 1 AND 400 THEN 'out of range chars' WHEN called AND text IS NULL THEN 'wrong type chars' END,
     CASE WHEN called AND length(text) NOT BETWEEN 1 AND 400 THEN 'out of range text' WHEN called AND text IS NULL THEN 'wrong type text' END,

@@ -13,6 +13,8 @@ from dosewise.session import pinned
 
 # Calls of a conversation that are numbered in one task: places of one bucket of turns.
 BUCKET = 1_024
+# Rows of a bucket beyond which its turns are numbered one by one, in so many parts each.
+CROWDED, SALTS = 100_000, 64
 
 
 def json_type(value: Column) -> Column:
@@ -57,89 +59,139 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return parsed.withColumn("problems", problems).drop("given", "tool", "params")
 
 
-def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(call_id, level) of calls with an identifier: the longest chain of calls that a call waits for; calls in or behind a loop are left out.
+def _jumped(single: DataFrame) -> DataFrame:
+    """(node, to, d) of nodes with one need: the first node of the chain that has none or several, and how far it is.
 
-    Each round takes the calls all of whose needs are taken. There are as many rounds as levels, whatever the number of
-    calls, and every round's tables are checkpointed.
+    Pointers double every round, so a chain of n calls takes log n rounds. Chains that end in a loop are left out.
     """
-    waiting, open_ = pinned(needs.select("call_id", "needs_id").distinct()), pinned(calls.select("call_id"))
-    done, level = [], 0
+    far, before = pinned(single), None
     while True:
-        ready = pinned(open_.join(waiting.select("call_id").distinct(), "call_id", "left_anti"))
+        through = far.select(F.col("node").alias("_node"), F.col("to").alias("_to"), F.col("d").alias("_d"))
+        far = pinned(far.join(through, F.col("to") == F.col("_node"), "left").select("node", F.coalesce("_to", "to").alias("to"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")))
+        inside = far.join(single.select(F.col("node").alias("_node")), F.col("to") == F.col("_node"), "left_semi").count()
+        if inside in (0, before):  # each round ends some chain, but for loops
+            return far.join(single.select(F.col("node").alias("_node")), F.col("to") == F.col("_node"), "left_anti")
+        before = inside
+
+
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, level): the longest chain of calls that a call waits for; calls in or behind a loop are left out.
+
+    needs: distinct (node, to) between the distinct `nodes`. Chains of calls with one need each are jumped over. On what
+    is left, a round takes the calls all of whose needs are taken; there are as many as calls with several needs follow
+    one another. Every round's tables are checkpointed.
+    """
+    count = needs.groupBy(F.col("node").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = pinned(nodes.join(count, F.col("node") == F.col("_of"), "left").select("node", F.coalesce("_n", F.lit(0)).alias("n")))
+    edges = pinned(needs.join(counted, "node"))
+    far = pinned(_jumped(edges.where("n = 1").select("node", "to", F.lit(1).cast("long").alias("d"))))
+    done = counted.where("n = 0").select("node", F.lit(0).cast("long").alias("level"))
+    head = far.select(F.col("node").alias("_node"), F.col("to").alias("_head"), F.col("d").alias("_d"))
+    waiting = pinned(edges.where("n > 1").join(head, F.col("to") == F.col("_node"), "left").select(
+        "node", F.coalesce("_head", "to").alias("to"), (F.lit(1) + F.coalesce("_d", F.lit(0))).alias("w")))
+    while not waiting.isEmpty():
+        told = done.select(F.col("node").alias("_to"), F.col("level").alias("_level"))
+        ready = waiting.join(told, F.col("to") == F.col("_to"), "left").groupBy("node").agg(
+            F.max(F.col("_level") + F.col("w")).alias("level"), F.count_if(F.col("_level").isNull()).alias("open")).where("open = 0")
+        ready = pinned(ready.select("node", "level"))
         if ready.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        open_ = pinned(open_.join(ready, "call_id", "left_anti"))
-        waiting = pinned(waiting.join(ready.select(F.col("call_id").alias("needs_id")), "needs_id", "left_anti"))
-        level += 1
-    result = done[0] if done else open_.limit(0).withColumn("level", F.lit(0))
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result
+        done = pinned(done.unionByName(ready))
+        waiting = pinned(waiting.join(ready.select("node"), "node", "left_anti"))
+    top = done.select(F.col("node").alias("_to"), F.col("level").alias("_level"))
+    return done.unionByName(far.join(top, F.col("to") == F.col("_to")).select("node", (F.col("_level") + F.col("d")).alias("level")))
 
 
 def ordered(linked: DataFrame) -> DataFrame:
-    """Adds `position` from 0 inside the conversation, by (level, turn, call_id); calls without a level come last.
+    """Adds `position` from 0 inside the conversation, by (level, turn, call_id); rows without a level come last.
 
-    Calls are numbered inside buckets of turns and the buckets' counts are added up, so that a conversation of any
-    length is dealt over tasks.
+    Rows are numbered inside buckets of turns and the buckets' counts are added up, so that a conversation of any
+    length is dealt over tasks. Of a bucket with more than CROWDED rows, turns are numbered one by one, and the rows of
+    a turn in no particular order.
     """
     rows = linked.withColumn("_late", F.col("level").isNull()).withColumn("_bucket", F.floor(F.col("turn") / BUCKET))
-    keys = ["conv_id", "_late", "level", "_bucket"]
+    first = ["conv_id", "_late", "level", "_bucket"]
+    crowded = pinned(rows.groupBy(*first).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*[F.col(k).alias(f"_of{k}") for k in first]))
+
+    def same(keys: list[str]) -> Column:
+        found = F.lit(True)
+        for k in keys:
+            found = found & F.col(k).eqNullSafe(F.col(f"_of{k}"))
+        return found
+
+    if crowded.isEmpty():
+        rows = rows.withColumn("_turn", F.lit(None).cast("long")).withColumn("_salt", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(crowded.withColumn("_is", F.lit(True)), same(first), "left").drop(*[f"_of{k}" for k in first])
+        rows = rows.withColumn("_turn", F.when(F.col("_is"), F.col("turn"))).withColumn("_salt", F.when(F.col("_is"), F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(0)).drop("_is")
+    keys = [*first, "_turn", "_salt"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("conv_id").orderBy("_late", "level", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("_late", "level", "_bucket", "_turn", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     carried = counts.select(*[F.col(k).alias(f"_of{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "call_id")) - 1
-    same = None
-    for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"_of{k}"))
-        same = term if same is None else same & term
-    placed = rows.withColumn("_own", own).join(carried, same)
-    return placed.withColumn("position", F.col("_before") + F.col("_own")).select(*linked.columns, "position")
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "call_id", "_row")) - 1
+    placed = rows.withColumn("_own", own).join(carried, same(keys))
+    return placed.withColumn("position", F.col("_before") + F.col("_own")).select(*[c for c in linked.columns if c != "_row"], "position")
 
 
-def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per result that has no call.
+def _node(id_: str = "call_id") -> Column:
+    """A call's identifier in its conversation; null without one. A null conversation is one of its own."""
+    return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("\n"), F.col(id_))
 
-    calls: call_id, conv_id, turn, name, arguments (JSON text); results: call_id, turn, content; needs: call_id,
-    needs_id. Returns call_id, conv_id, turn, name, level, position, n_results, problems, canonical.
 
-    An identifier that calls repeat stands for the first of them (by conversation, turn and content, nulls first) and is
-    a problem; of several results the first by turn is linked, which is a problem too. Rows with a null identifier are
-    left out of results and needs; calls with a null identifier are one call. Needs of unknown calls are a problem
-    and otherwise ignored. Results without a call come with a null conversation. `canonical` is the JSON of arguments,
-    identifier, name, needs and result with sorted keys and no spaces; a result that is a JSON object or array is
-    written as one.
+def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: DataFrame) -> DataFrame:
+    """A row of kind `call` for every call, and one of kind `result` for every result that no call row holds.
+
+    calls: call_id, conv_id, turn, name, arguments (JSON text); results: call_id, conv_id, turn, content; needs:
+    call_id, conv_id, needs_id. Identifiers count inside their conversation. Returns kind, call_id, conv_id, turn, name,
+    level, position, n_results, problems, canonical.
+
+    Of calls that repeat an identifier the first (by turn and content, nulls first) has the results and the needs; all
+    are rows with that problem and the identifier's level. A call row holds the first result (by turn, then content);
+    further results, results without a call and results without an identifier are rows of their own. Calls without an
+    identifier have level 0 and no results. Needs of unknown calls are a problem and otherwise ignored; needs without
+    an identifier on either side are ignored. `canonical` is the JSON of arguments, identifier, name, needs and result
+    with sorted keys and no spaces; a result that is a JSON object or array is written as one. Empty tables are fine.
     """
-    first = calls.groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    unique = pinned(first.select("call_id", "c.*", "n_calls"))
-    edges = needs.where("call_id is not null and needs_id is not null").select("call_id", "needs_id").distinct()
-    known = unique.where("call_id is not null").select("call_id")
-    fine = pinned(edges.join(known, "call_id", "left_semi").join(known.withColumnRenamed("call_id", "needs_id"), "needs_id", "left_semi"))
-    unknown = edges.join(known.withColumnRenamed("call_id", "needs_id"), "needs_id", "left_anti").select(F.col("call_id").alias("u")).distinct()
-    wanted = edges.groupBy(F.col("call_id").alias("w")).agg(F.sort_array(F.collect_set("needs_id")).alias("needs"))
-    answers = results.where("call_id is not null").groupBy(F.col("call_id").alias("r")).agg(F.min(F.struct("turn", "content")).alias("a"), F.count(F.lit(1)).alias("n_results"))
-    checked = validated(unique, schemas).withColumn("called", F.lit(True))
-    linked = (
-        checked.hint("shuffle_hash").join(answers, F.col("call_id") == F.col("r"), "full")
-        .join(wanted, F.col("call_id") == F.col("w"), "left").join(unknown, F.col("call_id") == F.col("u"), "left")
-        .join(levels(known, fine).withColumnRenamed("call_id", "l"), F.col("call_id") == F.col("l"), "left")
-    )
-    level = F.when(F.col("call_id").isNull() & F.col("called"), F.lit(0)).otherwise(F.col("level"))  # nothing can be known to need it
-    linked = linked.withColumn("level", level)
-    called, n_results = F.coalesce("called", F.lit(False)), F.coalesce("n_results", F.lit(0))
+    calls = pinned(calls.select("call_id", "conv_id", "turn", "name", "arguments", _node().alias("node")).withColumn("_row", F.monotonically_increasing_id()))
+    results = pinned(results.select("call_id", "conv_id", "turn", "content", _node().alias("node")).withColumn("_row", F.monotonically_increasing_id()))
+    firsts = pinned(calls.where("node is not null").groupBy("node").agg(F.min(F.struct("turn", "name", "arguments", "_row"))["_row"].alias("first"), F.count(F.lit(1)).alias("n_calls")))
+    known = firsts.select("node")
+    edges = pinned(needs.select(_node().alias("node"), _node("needs_id").alias("to"), "needs_id").where("node is not null and `to` is not null").distinct())
+    fine = edges.select("node", "to").join(known, "node", "left_semi").join(known.withColumnRenamed("node", "to"), "to", "left_semi").select("node", "to")
+    unknown = edges.join(known.withColumnRenamed("node", "to"), "to", "left_anti").select(F.col("node").alias("u")).distinct()
+    wanted = edges.groupBy(F.col("node").alias("w")).agg(F.sort_array(F.collect_set("needs_id")).alias("needs"))
+    answers = results.where("node is not null").groupBy(F.col("node").alias("r")).agg(F.min(F.struct("turn", "content", "_row")).alias("a"), F.count(F.lit(1)).alias("n_results"))
+    answers = pinned(answers.join(known, F.col("r") == F.col("node"), "left_semi"))
+
+    ids = firsts.join(answers, F.col("node") == F.col("r"), "left").join(wanted, F.col("node") == F.col("w"), "left").join(unknown, F.col("node") == F.col("u"), "left")
+    ids = ids.join(levels(known, pinned(fine)).withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select(F.col("node").alias("_id"), "first", "n_calls", "a", "n_results", "needs", "u", "level")
+    checked_ = validated(calls, schemas).join(ids, F.col("node") == F.col("_id"), "left")
+    is_first = F.coalesce(F.col("_row") == F.col("first"), F.lit(False))
+    checked_ = checked_.withColumn("needs", F.when(is_first, F.col("needs"))).withColumn("a", F.when(is_first, F.col("a")))
+    n_results = F.when(is_first, F.coalesce("n_results", F.lit(0))).otherwise(0).cast("long")
     found = F.array_compact(F.array(
-        F.when(~called, "result without call"), F.when(called & (n_results == 0), "no result"), F.when(n_results > 1, "several results"),
-        F.when(F.col("n_calls") > 1, "repeated call"), F.when(F.col("u").isNotNull(), "unknown need"), F.when(called & F.col("level").isNull(), "circular needs")))
-    content = F.trim("a.content")
-    result = F.coalesce(F.when(F.substring(content, 1, 1).isin("{", "["), F.try_parse_json(content)), F.col("a.content").cast("variant"))
-    whole = F.struct(
-        F.col("parsed").alias("arguments"), F.coalesce("call_id", "r").alias("id"), "name", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), result.alias("result"))
-    flat = linked.select(
-        F.coalesce("call_id", "r").alias("call_id"), "conv_id", "turn", "name", F.when(called, F.col("level")).alias("level"), n_results.alias("n_results"),
-        F.concat(F.coalesce("problems", F.array().cast("array<string>")), found).alias("problems"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("canonical"))
-    return ordered(pinned(flat))
+        F.when(F.col("node").isNull(), "no identifier"), F.when(is_first & (n_results == 0), "no result"), F.when(n_results > 1, "several results"),
+        F.when(F.col("n_calls") > 1, "repeated call"), F.when(is_first & F.col("u").isNotNull(), "unknown need"), F.when(F.col("node").isNotNull() & F.col("level").isNull(), "circular needs")))
+    rows = checked_.select(
+        F.lit("call").alias("kind"), "call_id", "conv_id", "turn", "name", F.when(F.col("node").isNull(), F.lit(0).cast("long")).otherwise(F.col("level")).alias("level"),
+        n_results.alias("n_results"), F.concat(F.coalesce("problems", F.array().cast("array<string>")), found).alias("problems"),
+        _canonical(F.col("parsed"), F.coalesce("needs", F.array().cast("array<string>")), F.col("a.content")).alias("canonical"), "_row")
+
+    held = answers.select(F.col("r").alias("_id"), F.col("a._row").alias("first"))
+    others = results.join(held, F.col("node") == F.col("_id"), "left").where(F.col("first").isNull() | (F.col("_row") != F.col("first")))
+    why = F.when(F.col("node").isNull(), "no identifier").when(F.col("_id").isNull(), "result without call").otherwise("further result")
+    others = others.select(
+        F.lit("result").alias("kind"), "call_id", "conv_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(1).cast("long").alias("n_results"),
+        F.array(why).alias("problems"), _canonical(F.lit(None).cast("variant"), F.array().cast("array<string>"), F.col("content")).alias("canonical"), "_row")
+    return ordered(pinned(rows.unionByName(others)))
+
+
+def _canonical(arguments: Column, needs: Column, content: Column) -> Column:
+    """JSON text of a row with columns call_id and name."""
+    text = F.trim(content)
+    result = F.coalesce(F.when(F.substring(text, 1, 1).isin("{", "["), F.try_parse_json(text)), content.cast("variant"))
+    whole = F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), "name", needs.alias("needs"), result.alias("result"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,11 +205,11 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         name.alias("call_id"), "conv_id", "turn", F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"),
         F.to_json(F.struct("turn", "text", F.char_length("text").alias("chars")), {"ignoreNullFields": "false"}).alias("arguments"))
     at = F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
-    results = turns.where(F.col("role") == "assistant").select(at.alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where(F.col("role") == "assistant").select(at.alias("call_id"), "conv_id", "turn", F.col("text").alias("content"))
     k = F.floor(F.col("turn") / 2)
     before = F.when(k > 0, F.col("turn") - 2 * (k - F.floor((k - 1) / 2))).when(F.col("turn") == 1, F.lit(0))
     needs = turns.where((F.col("role") == "user") & before.isNotNull()).select(
-        name.alias("call_id"), F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), before.cast("string")).alias("needs_id"))
+        name.alias("call_id"), "conv_id", F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), before.cast("string")).alias("needs_id"))
     return calls, results, needs
 
 
