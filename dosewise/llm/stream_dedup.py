@@ -10,7 +10,9 @@ byte by byte with the content at the locator. Everything runs as DataFrame opera
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,10 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def write_ledger(docs: DataFrame, path: str, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> None:
+def write_ledger(docs: DataFrame, path: str, id_col: str, text_col: str, digest: Callable[[Column], Column], run: int = 0) -> None:
     text = F.col(text_col)
     docs.select(
+        F.lit(run).alias("run"),
         F.col(id_col).alias("doc_id"), digest(normalised(text)).alias("digest"),
         F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), locator().alias("at"),
     ).write.mode("append").parquet(path)
@@ -50,8 +53,9 @@ def write_ledger(docs: DataFrame, path: str, id_col: str, text_col: str, digest:
 def ingest(spark: SparkSession, ledger: str, state: str) -> DataFrame:
     """Fold the ledger files not seen before into the state; returns the state as a table.
 
-    (digest, n, best, claim): best is the row to keep as (chars, ~doc_id, at), claim the locator to compare with.
-    ~id falls as the id grows and cannot overflow; a null id loses against any other.
+    (digest, n, best, claim): best is the row to keep as (chars, ~doc_id, at, run), claim the run and locator of the
+    content to compare with, which a later run doesn't change. ~id falls as the id grows and cannot overflow; a null id
+    loses against any other.
     """
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
@@ -60,7 +64,7 @@ def ingest(spark: SparkSession, ledger: str, state: str) -> DataFrame:
         schema = spark.read.parquet(ledger).schema
         arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(ledger)
         keyed = arriving.groupBy("digest").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("chars", F.bitwise_not("doc_id").alias("back"), "at")).alias("best"), F.min("at").alias("claim"),
+            F.count(F.lit(1)).alias("n"), F.max(F.struct("chars", F.bitwise_not("doc_id").alias("back"), "at", "run")).alias("best"), F.min(F.struct("run", "at")).alias("claim"),
         )
         job = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         job.awaitTermination()
@@ -71,15 +75,26 @@ def ingest(spark: SparkSession, ledger: str, state: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def unequal(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """(at, text) of rows whose normalised bytes differ from the content at their digest's locator."""
+def _at(rows: DataFrame, text_col: str) -> DataFrame:
+    return rows.select(locator().alias("at"), normalised(F.col(text_col)).alias("text"))
+
+
+def unequal(docs: DataFrame, state: DataFrame, text_col: str, digest: Callable[[Column], Column], run: int = 0) -> DataFrame:
+    """(run, at, text) of this run's rows whose normalised bytes differ from the content at their digest's locator.
+
+    Content that an earlier run claimed is read from that run's files, which have to be still there.
+    """
     hit = pinned(state.where("n > 1").select("digest", "claim", F.ceil(F.col("n") / ROWS_PER_PART).alias("parts")))
-    text = normalised(F.col(text_col))
-    rows = docs.select(locator().alias("at"), digest(text).alias("digest"), text.alias("text")).join(checked(hit), "digest")
-    # the content of a large group is copied, so that its rows are compared in many tasks
-    claimed = rows.where("at = claim").select("digest", F.col("text").alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    others = rows.where("at != claim").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
-    return others.join(claimed, ["digest", "part"]).where("text != content").select("at", "text")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")  # the content of a large group is copied
+    rows = _at(docs, text_col).withColumn("digest", digest(F.col("text"))).join(checked(hit), "digest")
+    claimed = rows.where((F.col("claim.run") == run) & (F.col("at") == F.col("claim.at"))).select("digest", F.col("text").alias("content"), part)
+    earlier = pinned(hit.where(F.col("claim.run") < run))
+    files = [unquote(r.file) for r in earlier.select("claim.at.file").distinct().collect()] if run else []
+    if files:
+        old = _at(docs.sparkSession.read.parquet(*files), text_col).join(checked(earlier), F.col("at") == F.col("claim.at"))
+        claimed = claimed.unionByName(old.select("digest", F.col("text").alias("content"), part))
+    others = rows.where((F.col("claim.run") != run) | (F.col("at") != F.col("claim.at"))).withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
+    return others.join(claimed, ["digest", "part"]).where("text != content").select(F.lit(run).alias("run"), "at", "text")
 
 
 def deduplicate(
@@ -88,26 +103,37 @@ def deduplicate(
     """(doc_id, at, digest, keep_id, group_size, kept) of every row.
 
     Rows are equal when their texts are, white space left out. The row with the most code points stays, then the
-    smallest id (a null id last), then the last locator, so that exactly one row of repeated rows stays. `folder` holds ledger and state; give the same folder again to add rows to an earlier run's
-    (rows of both runs are returned). An empty table gives an empty result.
+    smallest id (a null id last), then the last locator, so that exactly one row of repeated rows stays. `folder` holds
+    ledger, state and the rows that their digest does not tell apart; give the same folder again to add rows to an
+    earlier run's (rows of both runs are returned; both must name their columns alike and keep their files). Ids are
+    longs. An empty table gives an empty result.
     """
     docs, spark = filed(docs), docs.sparkSession
-    folder = folder or shared_folder(spark, "dedup")
-    write_ledger(docs, f"{folder}/ledger", id_col, text_col, digest)
+    again = folder is not None and _runs(spark, folder)
+    folder, run = folder or shared_folder(spark, "dedup"), int(again or 0)
+    write_ledger(docs, f"{folder}/ledger", id_col, text_col, digest, run)
     state = ingest(spark, f"{folder}/ledger", f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/ledger")
-    odd = pinned(unequal(docs, state, id_col, text_col, digest))
+    unequal(docs, state, text_col, digest, run).write.mode("append").parquet(f"{folder}/unequal")
+    odd = spark.read.parquet(f"{folder}/unequal")
     if not odd.isEmpty():  # digests that different texts share: these are told apart by the text itself
-        rows = rows.join(odd, "at", "left")
+        rows = rows.join(odd, ["run", "at"], "left")
         best = rows.groupBy(F.col("digest").alias("of_digest"), F.col("text").alias("of_text")).agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("chars", F.bitwise_not("doc_id").alias("back"), "at")).alias("best"))
+            F.count(F.lit(1)).alias("n"), F.max(F.struct("chars", F.bitwise_not("doc_id").alias("back"), "at", "run")).alias("best"))
         on = (F.col("digest") == F.col("of_digest")) & F.col("text").eqNullSafe(F.col("of_text"))
-        joined = rows.join(best, on).select("doc_id", "at", "digest", "n", "best")
+        joined = rows.join(best, on)
     else:
-        joined = join_hot(rows, state.select("digest", "n", "best"), "digest", "n").select("doc_id", "at", "digest", "n", "best")
-    return joined.select(
-        "doc_id", "at", "digest", F.bitwise_not("best.back").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("best.at")).alias("kept"),
-    )
+        joined = join_hot(rows, state.select("digest", "n", "best"), "digest", "n")
+    stays = (F.col("at") == F.col("best.at")) & (F.col("run") == F.col("best.run"))
+    return joined.select("doc_id", "at", "digest", F.bitwise_not("best.back").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"))
+
+
+def _runs(spark: SparkSession, folder: str) -> int:
+    """Runs that have written to the folder."""
+    try:
+        return int((spark.read.parquet(f"{folder}/ledger").agg(F.max("run")).first()[0] or 0) + 1)
+    except AnalysisException:  # no ledger yet
+        return 0
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,6 +115,25 @@ def test_state_goes_on_over_runs_and_files(spark, docs, tmp_path):
     assert kept.columns == both.columns and kept.count() == len({w[3] for w in brute_exact(TEXTS)})
 
 
+def test_colliding_digests_over_runs(spark, docs, tmp_path):
+    """Content that an earlier run claimed is compared with, also when a later file sorts before it."""
+    first = lambda text: F.substring(text, 1, 1).cast("binary")
+    runs = {"z run 1": [(1, "alpha"), (2, "beta"), (7, "avocado")], "a run 2": [(3, "apple"), (4, "al pha"), (8, "beta")], "m run 3": [(5, "apple"), (6, "avocado"), (9, "b")]}
+    for part, rows in runs.items():
+        docs(rows).write.parquet(f"{tmp_path}/{part}")
+        got = stream_dedup.deduplicate(spark.read.parquet(f"{tmp_path}/{part}"), folder=f"{tmp_path}/work", digest=first).collect()
+    # of equal texts the longest original stays: "al pha"
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (4, 2), 4: (4, 2), 2: (2, 2), 8: (2, 2), 7: (6, 2), 6: (6, 2), 3: (3, 2), 5: (3, 2), 9: (9, 1)}
+    assert {r.doc_id for r in got if r.kept} == {2, 3, 4, 6, 9}
+
+
+def test_a_table_given_twice_keeps_one_row_each(spark, docs, tmp_path):
+    docs([(1, "x y"), (2, "xy"), (None, None)]).write.parquet(f"{tmp_path}/t")
+    for _ in range(2):
+        got = stream_dedup.deduplicate(spark.read.parquet(f"{tmp_path}/t"), folder=f"{tmp_path}/work").collect()
+    assert len(got) == 6 and sum(r.kept for r in got) == 2 and {r.group_size for r in got} == {2, 4}
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     assert simhash.near_duplicates(none).count() == 0 and simhash.without_near_duplicates(none).count() == 0
