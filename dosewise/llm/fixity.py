@@ -101,11 +101,25 @@ def page_records(pages: DataFrame, per_file: int = 512, head: str = "url", body:
     """Pages as archive records (file, at, record, hash): `per_file` consecutive ids to a file, one after the other.
 
     A record is its header, a line break and its content. `change` replaces the content that is hashed (for a replica);
-    offsets are those of the archive as it was written. Only lengths and hashes are moved to place the records.
+    offsets are those of the archive as it was written. Records of a file are in order of id (nulls first), those of one
+    id in order of what was written, so that offsets do not depend on the order of rows. Equal records lie side by side
+    and are counted before the shuffle; a file's others are summed in buckets of (id, hash), so no file or id is in one
+    task. Only lengths and hashes are moved to place the records.
     """
-    written = F.octet_length(F.concat_ws("\n", F.coalesce(F.col(head), F.lit("")), F.coalesce(F.col(body), F.lit(""))))
+    content = F.concat_ws("\n", F.coalesce(F.col(head), F.lit("")), F.coalesce(F.col(body), F.lit("")))
+    written = record_hash(F.col(head), F.col(body))
     rows = pages.select(
         F.concat(F.lit("part-"), F.floor(F.col("page_id") / per_file).cast("string")).alias("file"), F.col("page_id").alias("record"),
-        written.cast("long").alias("size"), record_hash(F.col(head), F.col(body) if change is None else change).alias("hash"))
-    before = Window.partitionBy("file").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).select("file", "at", "record", "hash")
+        F.octet_length(content).cast("long").alias("size"), written.alias("written"), (written if change is None else record_hash(F.col(head), change)).alias("hash"))
+    bucket = ["file", "record", "bucket"]
+    equal = rows.groupBy("file", "record", F.substring("written", 1, 3).alias("bucket"), "written", "hash").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    equal = pinned(equal)
+    sums = equal.groupBy(*bucket).agg(F.sum(F.col("size") * F.col("n")).alias("bytes"))
+    upto = Window.partitionBy("file").orderBy("record", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(k).alias(f"{k}_s") for k in bucket], F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*bucket).orderBy("written", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = equal.withColumn("own", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    same = F.col("file").eqNullSafe(F.col("file_s")) & F.col("record").eqNullSafe(F.col("record_s")) & (F.col("bucket") == F.col("bucket_s"))
+    at = F.col("start") + F.col("own") + F.col("k") * F.col("size")
+    copies = placed.join(starts, same).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return copies.select("file", at.alias("at"), "record", "hash")

@@ -53,3 +53,17 @@ def test_page_records_are_laid_end_to_end(spark):
         want.append((file, offset.get(file, 0), i, hashed(body(i))))
         offset[file] = offset.get(file, 0) + len(body(i).encode())
     assert [tuple(r) for r in got] == want
+
+
+@pytest.mark.parametrize("per_file", [1, 4, 100])
+def test_offsets_do_not_depend_on_the_order_of_rows(spark, per_file):
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, None, "three"), (None, "u", "four"), (None, "u", "five"), (1, "u", "two"), (None, "u", "four"), (2, "", None)]
+    frames = [spark.createDataFrame(r, "page_id long, url string, html string") for r in (rows, rows[::-1], rows[3:] + rows[:3])]
+    records = [fixity.page_records(f, per_file=per_file) for f in frames]
+    laid = [sorted((r.file or "", r.at, r.record or 0, r.hash) for r in t.collect()) for t in records]
+    assert laid[0] == laid[1] == laid[2] and len(laid[0]) == len(rows)
+    sizes = {hashed(f"{u or ''}\n{h or ''}"): len(f"{u or ''}\n{h or ''}") for _, u, h in rows}
+    for file in {r[0] for r in laid[0]}:  # end to end
+        own = [r for r in laid[0] if r[0] == file]
+        assert [r[1] for r in own] == [sum(sizes[h] for _, _, _, h in own[:k]) for k in range(len(own))]
+    assert {r.verdict for r in fixity.audit(records[0], records[1]).collect()} == {"equal"}
