@@ -17,11 +17,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-# Words and pieces whose counts a worker remembers: so many of at most so many bytes.
-REMEMBERED = 200_000
+# Words and pieces whose counts a worker remembers: twice so many of each, of at most so many bytes.
+REMEMBERED = 250_000
 LONGEST = 64
+# More symbols than a vocabulary has; bits of a place in a piece.
+SPAN, PLACE = 1 << 20, 40
 LIMIT = 2_048
 
 
@@ -33,59 +36,70 @@ def default_vocabulary() -> str:
 
 
 class Merges:
-    """Ranks of the symbol pairs of a vocabulary."""
+    """Symbol pairs of a vocabulary, numbered for the time of counting: first symbols, then what pairs become."""
 
     def __init__(self, model: dict) -> None:
         if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("unk_token"):
             raise ValueError("only plain byte-pair merging is supported")
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {tuple(pair): k for k, pair in enumerate(pairs)}
-        self.known = set(model["vocab"])
+        number = {s: k for k, s in enumerate(model["vocab"])}
+        if len(number) > SPAN:
+            raise ValueError("the vocabulary is too large")
         self.end = model.get("end_of_word_suffix") or ""
-
-    def symbols(self, piece: str) -> list[str]:
+        self.first = number
+        # numbers of both sides -> rank and number of the merged symbol
+        self.merged = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            self.merged[number[a] * SPAN + number[b]] = rank * SPAN + number[a + b]
+
+    def symbols(self, piece: str) -> list[int]:
         """First symbols: one per character, the last with the mark of a word's end. Unknown ones are left out."""
-        out = list(piece)
-        if out:
-            out[-1] += self.end
-        return [s for s in out if s in self.known]
+        found = [*map(self.first.get, piece[:-1]), self.first.get(piece[-1:] + self.end)] if piece else []
+        return found if None not in found else [s for s in found if s is not None]
 
     def count(self, piece: str) -> int:
         """Symbols left when no pair can be merged any more."""
-        symbols, rank = self.symbols(piece), self.rank
+        symbols, merged = self.symbols(piece), self.merged.get
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(k, at, a, b) for at, (a, b) in enumerate(zip(symbols, symbols[1:])) if (k := rank.get((a, b))) is not None]
+        # ranks in the upper bits, places in the lower ones
+        heap = [v // SPAN << PLACE | at for at, (a, b) in enumerate(zip(symbols, symbols[1:])) if (v := merged(a * SPAN + b)) is not None]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, at, a, b = heapq.heappop(heap)
+            lowest = heapq.heappop(heap)
+            at = lowest & (1 << PLACE) - 1
             next_ = right[at]
-            if symbols[at] != a or next_ < 0 or symbols[next_] != b:
-                continue
+            v = merged(symbols[at] * SPAN + symbols[next_]) if next_ >= 0 else None
+            if v is None or v // SPAN != lowest >> PLACE:
+                continue  # the pair is no longer there
             merges += 1
-            symbols[at], symbols[next_] = a + b, ""
+            symbols[at] = own = v % SPAN
             right[at] = after = right[next_]
+            right[next_] = -1
             if after >= 0:
                 left[after] = at
-                if (k := rank.get((a + b, symbols[after]))) is not None:
-                    heapq.heappush(heap, (k, at, a + b, symbols[after]))
-            if (before := left[at]) >= 0 and (k := rank.get((symbols[before], a + b))) is not None:
-                heapq.heappush(heap, (k, before, symbols[before], a + b))
+                if (v := merged(own * SPAN + symbols[after])) is not None:
+                    heapq.heappush(heap, v // SPAN << PLACE | at)
+            if (before := left[at]) >= 0 and (v := merged(symbols[before] * SPAN + own)) is not None:
+                heapq.heappush(heap, v // SPAN << PLACE | before)
         return n - merges
 
 
 class _Remembered(dict):
-    """Results of a function of a short key; forgets all when full."""
+    """Results of a function of a short key. When full, what was not asked for since the last time is forgotten."""
 
     def __init__(self, of) -> None:
         super().__init__()
-        self.of = of
+        self.of, self.before = of, {}
 
     def __missing__(self, key):
-        value = self.of(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.of(key)
         if len(key) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -108,10 +122,30 @@ class Counter:
         self.cut = whole.pre_tokenizer.pre_tokenize_str
         self.merges = Merges(spec["model"])
         self.piece = _Remembered(self.merges.count)
-        self.word = _Remembered(lambda word: self._count(word.decode("utf-8", "replace")))
+        self.word = _Remembered(self._count_word)
         # white space that is dropped can't join pieces: such texts are counted word by word
         cut = [p for p, _ in self.cut(self.normalise("a b \t c"))]
         self.by_word = cut == ["a", "b", "c"]
+        self.plain = self._plain_cut(spec)
+
+    def _plain_cut(self, spec: dict):
+        """A function that cuts words of printable ASCII as the file says, or None if it says other things than these."""
+        steps, (first, *rest) = spec["normalizer"].get("normalizers", [{}]), spec["pre_tokenizer"].get("pretokenizers", [{}])
+        own = [{k: v for k, v in s.items() if k != "trim_offsets"} for s in rest]
+        pattern = first.get("pattern", {}).get("Regex")
+        if (
+            [s.get("type") for s in steps] != ["NFC", "Replace", "Lowercase"] or steps[1] != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+            or pattern is None or (first["behavior"], first["invert"]) != ("Removed", True) or own != [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        ):
+            return None
+        find = regex.compile(pattern).findall
+        return lambda word: find(word.lower())
+
+    def _count_word(self, word: bytes) -> int:
+        text = word.decode("utf-8", "replace")
+        if self.plain and text.isascii() and text.isprintable() and not (self.added and self.added.search(text)):
+            return sum(map(self.piece.__getitem__, self.plain(text)))
+        return self._count(text)
 
     def _count(self, text: str) -> int:
         parts = self.added.split(text) if self.added else [text]
