@@ -1,9 +1,16 @@
 """Main text of web pages: site templates removed by counting element subtrees over the pages of a host.
 
 Every page is parsed into elements, and each element's subtree (tags, classes, text) is hashed. Spark counts for each host
-on how many different pages a subtree occurs; subtrees found on many of them are the site's template and are deleted.
+with how many different main contents a subtree occurs; those found with many are the site's template and are deleted.
+A paragraph or heading, also of an article, has to recur with at least half of them, a box (menu, list, footer, other
+parts) with a fiftieth, as sites have several menus. Pages with the same article count once, so an article that is published at several
+addresses does not become template. Cells, list items and inline elements are never deleted alone, nor is a subtree that
+holds most of its page's text.
+
 What is left is read as text: the article or main element where there is one, else the body, without menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts and styles, which their tags, roles and class names tell.
+footers, sidebars, notices, adverts, forms, comments, scripts and styles as far as tags and roles tell them. A class or
+identifier tells it only if all its words do, and only of elements that hold less than half of the page's text (comments
+may hold more). These help where a host has too few pages to count.
 
 All subtrees are counted. Only those that would otherwise be kept need the verdict, so only their hashes go back to
 their pages, and a page's HTML moves only if these lists are too many to broadcast.
@@ -23,9 +30,10 @@ from pyspark.sql import functions as F
 from dosewise.llm.common import checked, filed, locator
 from dosewise.session import pinned
 
-# A subtree is template if it is on at least MIN_PAGES different pages of the host and on MIN_SHARE of all of them.
-MIN_PAGES = 3
-MIN_SHARE = 0.05
+# A subtree is template if it stands with at least MIN_PAGES different main contents of the host, and with MIN_SHARE of
+# all if it is prose, BOX_SHARE if not.
+MIN_PAGES = 5
+MIN_SHARE, BOX_SHARE = 0.5, 0.02
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -33,8 +41,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Inside an article these are its prose; other elements there may be template.
-PROSE = HEADINGS | frozenset("p pre blockquote a b i em strong span code br q cite u s small sub sup mark time abbr".split())
+PROSE = HEADINGS | frozenset("p pre blockquote address".split())
+# Parts of a whole that are not deleted alone.
+LONE = frozenset("li td th tr tbody thead tfoot dt dd figcaption summary hr".split())
 LANDMARKS = ("article", "main")
 DROPPED = frozenset(
     "head title script style noscript template iframe svg canvas object embed audio video nav footer aside form button select option "
@@ -43,6 +52,11 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login share sharing "
     "social comment comments respond disqus related recommended widget pagination pager toolbar skip contentinfo complementary search".split())
+# Words that say nothing about an element; a name of these and at least one of the above still tells it.
+NEUTRAL = frozenset(
+    "main top bottom site page global primary secondary left right upper lower wrapper wrap container inner outer box block area bar list item items "
+    "link links section panel group row col column button buttons form icon icons text title content logo".split())
+COMMENTS = frozenset("comment comments respond disqus".split())
 # What an opening tag closes: the open elements in the first set, up to the nearest of the second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
@@ -63,12 +77,17 @@ class Page:
         self.tags: list[str] = ["#page"]
         self.hashes: list[int] = [0]
         self.dropped: list[bool] = [False]  # by own or an ancestor's tag or names
+        self.named: list[int] = [0]  # 1: names tell that it is no main text, 2: that it is comments
+        self.chars: list[int] = [0]  # of the subtree's text, without scripts and the like
         self.parents: list[int] = [-1]
         self.has_text: list[bool] = [False]
         self.events: list[tuple[int, object]] = []  # (1, element) opens, (-1, element) closes, (0, text)
         self._stack = [0]
         self._content: list[list[bytes]] = [[]]
         self._parse(source)
+        for e in range(1, len(self.tags)):
+            by_name = self.named[e] == 2 or self.named[e] == 1 and not self._most(e)
+            self.dropped[e] = self.dropped[e] or self.dropped[self.parents[e]] or by_name
         self.regions = self._regions()
 
     def _parse(self, source: str) -> None:
@@ -104,6 +123,8 @@ class Page:
         if words:
             self._content[self._stack[-1]].append(words.encode("utf-8", "surrogatepass"))
             self.has_text[self._stack[-1]] = True
+            if self.tags[self._stack[-1]] not in RAW:
+                self.chars[self._stack[-1]] += len(words)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in CLOSES:
@@ -125,16 +146,21 @@ class Page:
         for name, value in ATTRIBUTE.findall(attributes):
             if name.lower() in NAMES:
                 own.setdefault(name.lower(), value.strip("\"'"))
-        names = {n.lower() for k in ("class", "id", "role", "itemprop") if k in own for n in PARTS.findall(own[k])}
+        named = 0
+        if tag not in HEADINGS and tag not in ("html", "body", *LANDMARKS):
+            for token in " ".join(own.get(k, "") for k in ("class", "id", "role", "itemprop")).lower().split():
+                words = set(PARTS.findall(token))
+                if words & DROPPED_NAMES and words <= DROPPED_NAMES | NEUTRAL:
+                    named = max(named, 2 if words & COMMENTS else 1)
         parent = self._stack[-1]
         inside = any(self.tags[e] in LANDMARKS for e in self._stack) if tag == "header" else True
         out = tag in DROPPED or "hidden" in own or own.get("aria-hidden") == "true" or (tag == "header" and not inside)
-        if tag not in HEADINGS and tag not in ("html", "body", *LANDMARKS):
-            out = out or bool(names & DROPPED_NAMES)
         self.tags.append(tag)
         self.hashes.append(0)
         self.parents.append(parent)
-        self.dropped.append(self.dropped[parent] or out)
+        self.dropped.append(out)
+        self.named.append(named)
+        self.chars.append(0)
         self.has_text.append(False)
         self._content.append([f"<{tag} {own.get('class', '')}>".encode("utf-8", "surrogatepass")])
         element = len(self.tags) - 1
@@ -152,12 +178,17 @@ class Page:
     def _pop(self) -> None:
         element = self._stack.pop()
         value = xxhash.xxh64(b"\x00".join(self._content[element]))
-        self.hashes[element] = value.intdigest() - (1 << 63)
+        self.hashes[element] = (value.intdigest() >> 1 << 1 | (self.tags[element] in PROSE)) - (1 << 63)  # odd: prose
         self._content[element] = []
         self.events.append((-1, element))
         if self._stack:
             self._content[self._stack[-1]].append(value.digest())
             self.has_text[self._stack[-1]] |= self.has_text[element]
+            self.chars[self._stack[-1]] += self.chars[element]
+
+    def _most(self, element: int) -> bool:
+        """Whether the element holds at least half of the page's text."""
+        return 2 * self.chars[element] >= self.chars[0]
 
     def _regions(self) -> set[int]:
         """The outermost article elements, else main elements, else the page."""
@@ -174,10 +205,18 @@ class Page:
                 return True
         return False
 
+    def main(self) -> int:
+        """Hash of the article or main elements, of the whole page where there is none."""
+        own = sorted(self.regions)
+        if len(own) == 1:
+            return self.hashes[own[0]]
+        return xxhash.xxh64(b"\x00".join(self.hashes[e].to_bytes(8, "little", signed=True) for e in own)).intdigest() - (1 << 63)
+
     def subtrees(self) -> tuple[list[int], list[int]]:
         """(hashes of all subtrees that can be template, those of them that would be kept).
 
-        The regions and what holds them are never template, nor is an article's prose or a page's html or body.
+        The regions and what holds them are never template, nor are parts that do not stand alone, a page's html or
+        body, and what holds most of the page's text.
         """
         holding = set()
         for region in self.regions:
@@ -189,8 +228,7 @@ class Page:
         for e in range(1, len(self.tags)):
             in_region[e] = e in self.regions or in_region[self.parents[e]] or 0 in self.regions
             tag = self.tags[e]
-            prose = tag in PROSE if 0 not in self.regions else tag not in BLOCK
-            if not self.has_text[e] or e in holding or tag in ("html", "body") or (in_region[e] and prose):
+            if not self.has_text[e] or e in holding or tag in ("html", "body") or tag not in BLOCK or tag in LONE or self._most(e):
                 continue
             every.add(self.hashes[e])
             if in_region[e] and not self.dropped[e]:
@@ -234,32 +272,33 @@ def host(url: Column) -> Column:
 
 
 def subtree_table(pages: DataFrame, html_col: str) -> DataFrame:
-    """(at, host, body, every, kept) for each page: hash of the page, of its possible template subtrees, of those kept."""
+    """(at, host, main, body, every, kept) for each page: hashes of its main content, of the page, of its possible template subtrees, of those kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [Page(h or "") for h in batch.column("html").to_pylist()]
             trees = [p.subtrees() for p in parsed]
             columns = [
-                batch.column("at"), batch.column("host"), pa.array([p.hashes[0] for p in parsed], pa.int64()),
+                batch.column("at"), batch.column("host"), pa.array([p.main() for p in parsed], pa.int64()), pa.array([p.hashes[0] for p in parsed], pa.int64()),
                 pa.array([t[0] for t in trees], pa.list_(pa.int64())), pa.array([t[1] for t in trees], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["at", "host", "body", "every", "kept"])
+            yield pa.RecordBatch.from_arrays(columns, ["at", "host", "main", "body", "every", "kept"])
 
     rows = pages.select(locator().alias("at"), host(F.col("url")).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "at struct<file:string,row:long>, host string, body long, every array<long>, kept array<long>")
+    return rows.mapInArrow(run, "at struct<file:string,row:long>, host string, main long, body long, every array<long>, kept array<long>")
 
 
-def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, tree): subtrees on many different pages of the host; pages that are equal all through count once."""
-    bodies = trees.groupBy("host", "body").agg(F.first("every").alias("every"))
-    sizes = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE) -> DataFrame:
+    """(host, tree): subtrees with many different main contents of the host; of pages with one content one is counted."""
+    bodies = trees.groupBy("host", "main").agg(F.min_by("every", "body").alias("every"))
+    sizes = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     counts = bodies.select("host", F.explode("every").alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     many = counts.where(F.col("n") >= min_pages).join(sizes, "host")
-    return many.where(F.col("n") >= F.col("pages") * min_share).select("host", "tree")
+    share = F.when(F.col("tree").bitwiseAND(1) == 1, min_share).otherwise(box_share)
+    return many.where(F.col("n") >= F.col("pages") * share).select("host", "tree")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, html_col: str = "html") -> DataFrame:
     """`page_id`, `url`, `text` and `n_chars` of every page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
@@ -269,7 +308,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     pages = filed(pages)
     trees = pinned(subtree_table(pages, html_col))
     asked = trees.select("at", "host", F.explode("kept").alias("tree"))
-    verdicts = asked.join(templates(trees, min_pages, min_share), ["host", "tree"]).groupBy("at").agg(F.collect_list("tree").alias("template"))
+    verdicts = asked.join(templates(trees, min_pages, min_share, box_share), ["host", "tree"]).groupBy("at").agg(F.collect_list("tree").alias("template"))
     lists = checked(pinned(verdicts.withColumnRenamed("at", "of")), 20_000)
     rows = pages.select("page_id", "url", F.col(html_col).alias("html"), locator().alias("at"))
     rows = rows.join(lists, F.col("at") == F.col("of"), "left").select("page_id", "url", "html", "template")
