@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dosewise.functions import scalar as S
 from dosewise.functions.draws import draw_below, order_hash, order_number
 from dosewise.operators import ranking
+from dosewise.operators import replicates as replicate
 from dosewise.session import DEFAULT_WINDOW_ROWS, WINDOW_ROWS_KEY, limit, pinned
 
 # Default replicates and interval bounds.
@@ -31,6 +32,9 @@ TIE_DIGITS = 9
 # Groups up to this size are resampled inside one row; larger ones by joined rows. The draws are the same.
 PACKED_ROWS = 10_000
 PACKED_ROWS_KEY = "spark.dosewise.packedRows"
+# The same for rank tests, whose replicates are computed in blocks.
+RANKED_ROWS = 200_000
+RANKED_ROWS_KEY = "spark.dosewise.rankedRows"
 
 
 def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
@@ -165,6 +169,17 @@ def permuted(
     return ranking.hash_rank(copies, [*keys, "rep"], order_hash(seed, "rep", "pos"), ["pos"], "rn", largest=largest)
 
 
+def _fits(base: DataFrame, largest: int) -> bool:
+    """Whether every test's values may be packed into one row."""
+    return largest <= limit(base.sparkSession, RANKED_ROWS_KEY, RANKED_ROWS)
+
+
+def _products(base: DataFrame, keys: list[str], a: str, b: str, count: int, seed: int | str, total: int) -> DataFrame:
+    """(keys, rep, _sp): sums of products of the permuted column a with b."""
+    pairs = base.select(*keys, "pos", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    return replicate.statistics(pairs, keys, ["a", "b"], replicate.permuted_product, count, f"{seed}p", "_sp", total)
+
+
 def spearman_inference(
     df: DataFrame, keys: list[str], x: str, y: str, ids: list[str], seed: int | str,
     bootstraps: int = BOOTSTRAPS, permutations: int = PERMUTATIONS,
@@ -182,13 +197,19 @@ def spearman_inference(
     observed = base.groupBy(*keys).agg(
         S.pearson("rx", "ry").alias("effect"), F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("_s")
     )
-    draws = bootstrap_rows(base, keys, [x, y], bootstraps, seed, total)
-    rkeys = [*keys, "rep"]
-    reranked = ranking.average_rank(ranking.average_rank(draws, rkeys, x, "bx", largest), rkeys, y, "by", largest)
-    spread = interval(reranked.groupBy(*rkeys).agg(S.pearson("bx", "by").alias("_r")), keys, "_r")
-    shuffled = permuted(base, keys, ["rx"], permutations, f"{seed}p", total, largest)
-    partner = lookup(base.select(*keys, F.col("pos").alias("rn"), "ry"), total)
-    sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("_sp"))
+    if _fits(base, largest):
+        pairs = base.select(*keys, "pos", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        drawn = replicate.statistics(pairs, keys, ["x", "y"], replicate.spearman, bootstraps, seed, "_r", total)
+        sums = _products(base, keys, "rx", "ry", permutations, seed, total)
+    else:
+        draws = bootstrap_rows(base, keys, [x, y], bootstraps, seed, total)
+        rkeys = [*keys, "rep"]
+        reranked = ranking.average_rank(ranking.average_rank(draws, rkeys, x, "bx", largest), rkeys, y, "by", largest)
+        drawn = reranked.groupBy(*rkeys).agg(S.pearson("bx", "by").alias("_r"))
+        shuffled = permuted(base, keys, ["rx"], permutations, f"{seed}p", total, largest)
+        partner = lookup(base.select(*keys, F.col("pos").alias("rn"), "ry"), total)
+        sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("_sp"))
+    spread = interval(drawn, keys, "_r")
     centre = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4.0
     hits = (
         sums.join(observed, keys)
@@ -231,18 +252,22 @@ def partial_spearman_inference(
     observed = residual.groupBy(*keys).agg(
         S.pearson("ex", "ey").alias("effect"), F.count(F.lit(1)).alias("n"), F.sum(F.col("ex") * F.col("ey")).alias("_s")
     )
-    rkeys, draws = [*keys, "rep"], bootstrap_rows(base, keys, [x, y, covariate], bootstraps, seed, total)
-    for source, name in ((x, "bx"), (y, "by"), (covariate, "bz")):
-        draws = ranking.average_rank(draws, rkeys, source, name, largest)
-    correlated = draws.groupBy(*rkeys).agg(
-        S.pearson("bx", "by").alias("xy"), S.pearson("bx", "bz").alias("xz"), S.pearson("by", "bz").alias("yz")
-    )
-    spread = interval(
-        correlated.select(*rkeys, partial_correlation(F.col("xy"), F.col("xz"), F.col("yz")).alias("_r")), keys, "_r"
-    )
-    shuffled = permuted(residual, keys, ["ex"], permutations, f"{seed}p", total, largest)
-    partner = lookup(residual.select(*keys, F.col("pos").alias("rn"), "ey"), total)
-    sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("ex") * F.col("ey")).alias("_sp"))
+    if _fits(base, largest):
+        triples = base.select(*keys, "pos", *[F.col(c).cast("double").alias(name) for c, name in ((x, "x"), (y, "y"), (covariate, "z"))])
+        drawn = replicate.statistics(triples, keys, ["x", "y", "z"], replicate.partial_spearman, bootstraps, seed, "_r", total)
+        sums = _products(residual, keys, "ex", "ey", permutations, seed, total)
+    else:
+        rkeys, draws = [*keys, "rep"], bootstrap_rows(base, keys, [x, y, covariate], bootstraps, seed, total)
+        for source, name in ((x, "bx"), (y, "by"), (covariate, "bz")):
+            draws = ranking.average_rank(draws, rkeys, source, name, largest)
+        correlated = draws.groupBy(*rkeys).agg(
+            S.pearson("bx", "by").alias("xy"), S.pearson("bx", "bz").alias("xz"), S.pearson("by", "bz").alias("yz")
+        )
+        drawn = correlated.select(*rkeys, partial_correlation(F.col("xy"), F.col("xz"), F.col("yz")).alias("_r"))
+        shuffled = permuted(residual, keys, ["ex"], permutations, f"{seed}p", total, largest)
+        partner = lookup(residual.select(*keys, F.col("pos").alias("rn"), "ey"), total)
+        sums = shuffled.join(partner, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.sum(F.col("ex") * F.col("ey")).alias("_sp"))
+    spread = interval(drawn, keys, "_r")
     # residuals have mean zero, so the product sum orders like the correlation
     scaled = lambda c: F.round(F.abs(F.col(c)) / F.col("n"), TIE_DIGITS)
     hits = sums.join(observed, keys).groupBy(*keys).agg(F.count_if(scaled("_sp") >= scaled("_s")).alias("_hits"))
@@ -276,20 +301,26 @@ def cliffs_delta_inference(
     most = ranking.largest_group(rows, keys)
     ranked = ranking.average_rank(rows, keys, "v", "r", most)
     strata = positioned(ranked, [*keys, "f"], ids, seed, most)
-    base = positioned(strata.drop("pos", "n"), keys, ids, seed, most)
+    base = positioned(strata.withColumnRenamed("pos", "stratum_pos").drop("n"), keys, ids, seed, most)
     total, largest = extent(base)
     observed = base.groupBy(*keys).agg(
         delta_from_ranks("r", "f").alias("effect"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("f")).alias("n_flagged"), F.sum("v").alias("_t"),
         F.sum(F.when(F.col("f"), F.col("v"))).alias("_s"),
     )
-    draws = bootstrap_rows(strata, [*keys, "f"], ["v"], bootstraps, seed, total)
-    rkeys = [*keys, "rep"]
-    reranked = ranking.average_rank(draws, rkeys, "v", "br", largest)
-    spread = interval(reranked.groupBy(*rkeys).agg(delta_from_ranks("br", "f").alias("_d")), keys, "_d")
-    sizes = observed.select(*keys, "n_flagged")
-    shuffled = permuted(base, keys, ["v"], permutations, f"{seed}p", total, largest).join(sizes, keys)
-    sums = shuffled.where(F.col("rn") <= F.col("n_flagged")).groupBy(*rkeys).agg(F.sum("v").alias("_sp"))
+    if _fits(base, largest):
+        flagged = base.select(*keys, "pos", "v", F.col("f").cast("double").alias("f"), F.col("stratum_pos").cast("double").alias("stratum_pos"))
+        drawn = replicate.statistics(flagged, keys, ["v", "f", "stratum_pos"], replicate.stratified_delta, bootstraps, seed, "_d", total)
+        sums = replicate.statistics(flagged, keys, ["v", "f"], replicate.permuted_head, permutations, f"{seed}p", "_sp", total)
+    else:
+        draws = bootstrap_rows(strata, [*keys, "f"], ["v"], bootstraps, seed, total)
+        rkeys = [*keys, "rep"]
+        reranked = ranking.average_rank(draws, rkeys, "v", "br", largest)
+        drawn = reranked.groupBy(*rkeys).agg(delta_from_ranks("br", "f").alias("_d"))
+        sizes = observed.select(*keys, "n_flagged")
+        shuffled = permuted(base, keys, ["v"], permutations, f"{seed}p", total, largest).join(sizes, keys)
+        sums = shuffled.where(F.col("rn") <= F.col("n_flagged")).groupBy(*rkeys).agg(F.sum("v").alias("_sp"))
+    spread = interval(drawn, keys, "_d")
     gap = lambda c: F.round(
         F.abs(F.try_divide(F.col(c), F.col("n_flagged")) - F.try_divide(F.col("_t") - F.col(c), F.col("n") - F.col("n_flagged"))),
         TIE_DIGITS,
@@ -327,9 +358,13 @@ def eta_squared_inference(
     observed = totals.join(between(centred, keys), keys).withColumn(
         "effect", F.try_divide(F.col("_between"), F.col("_total"))
     )
-    shuffled = permuted(centred, keys, ["d"], permutations, f"{seed}p", total, largest)
-    labels = lookup(centred.select(*keys, F.col("pos").alias("rn"), "g"), total)
-    null = between(shuffled.join(labels, [*keys, "rn"]), [*keys, "rep"]).withColumnRenamed("_between", "_null")
+    if _fits(base, largest):
+        coded = pinned(replicate.codes(centred.select(*keys, "pos", "g", "d"), keys, "g", "_code").select(*keys, "pos", "d", F.col("_code").alias("g")))
+        null = replicate.statistics(coded, keys, ["d", "g"], replicate.permuted_between, permutations, f"{seed}p", "_null", total)
+    else:
+        shuffled = permuted(centred, keys, ["d"], permutations, f"{seed}p", total, largest)
+        labels = lookup(centred.select(*keys, F.col("pos").alias("rn"), "g"), total)
+        null = between(shuffled.join(labels, [*keys, "rn"]), [*keys, "rep"]).withColumnRenamed("_between", "_null")
     eta = lambda c: F.round(F.try_divide(F.col(c), F.col("_total")), TIE_DIGITS)
     hits = null.join(observed, keys).groupBy(*keys).agg(F.count_if(eta("_null") >= eta("_between")).alias("_hits"))
     return observed.join(hits, keys, "left").select(

@@ -9,8 +9,8 @@ from dosewise.queries import base as B
 from dosewise.queries.registry import query
 from dosewise.session import pinned
 
-BOOT, PERM = 200, 500
-MEANS = 2000
+BOOT, PERM = resample.BOOTSTRAPS, resample.PERMUTATIONS
+MEANS = resample.BOOTSTRAPS
 
 
 def rank_sql(keys: str, value: str) -> str:

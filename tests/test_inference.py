@@ -103,3 +103,25 @@ def test_bootstrap_inside_rows_equals_joined_rows(spark, conf):
     inside = run()
     conf(resample.PACKED_ROWS_KEY, 5)
     assert run() == inside and len(inside) == 2
+
+
+@pytest.mark.parametrize("run", ["spearman", "partial", "cliffs", "eta"])
+def test_packed_rank_tests_equal_shuffled_rows(spark, conf, run):
+    """Blocks of replicates against one row per draw: ties, tests of several sizes, null keys."""
+    rng = np.random.default_rng(8)
+    sizes = {"a": 23, "b": 23, None: 40, "few": 3}
+    rows = [(k, i, float(rng.integers(0, 9)), float(rng.normal()), float(rng.integers(0, 5)), bool(rng.integers(0, 2)), f"g{rng.integers(0, 3)}") for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, x double, y double, z double, f boolean, g string").where("k is not null")
+
+    def result():
+        found = {
+            "spearman": lambda: resample.spearman_inference(df, ["k"], "x", "y", ["i"], 5, 60, 80),
+            "partial": lambda: resample.partial_spearman_inference(df, ["k"], "x", "y", "z", ["i"], 5, 60, 80),
+            "cliffs": lambda: resample.cliffs_delta_inference(df, ["k"], "x", "f", ["i"], 5, 60, 80),
+            "eta": lambda: resample.eta_squared_inference(df, ["k"], "y", "g", ["i"], 5, 80),
+        }[run]()
+        return {r.k: [v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-9) for v in r] for r in found.collect()}
+
+    packed = result()
+    conf(resample.RANKED_ROWS_KEY, 2)
+    assert result() == {k: [getattr(v, "expected", v) for v in r] for k, r in packed.items()} and len(packed) == 3
