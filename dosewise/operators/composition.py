@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dosewise.operators import contracts as C
+
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the first row per key in an explicit order."""
@@ -28,6 +30,12 @@ def join_chain(base: DataFrame, others: list[tuple[DataFrame, list[str]]]) -> Da
     return reduce(lambda df, o: df.join(o[0], o[1]), others, base)
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which no key may repeat on either side."""
+    C.require(C.report([C.unique_key(left, keys, "unique_left"), C.unique_key(right, keys, "unique_right")]))
+    return left.join(right, keys)
+
+
 def replace_by_key(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace stored rows with the same key; the rest stay."""
     return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

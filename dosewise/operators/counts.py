@@ -206,10 +206,11 @@ def control_feature_mask(
 
 
 def compare_vectors(pairs: DataFrame, keys: list[str], left: str, right: str, ranks: bool = False,
-                    largest: int | None = None) -> DataFrame:
-    """RMSE, Pearson, cosine (and Spearman) between two value columns per key."""
+                    largest: int | None = None, third: str | None = None) -> DataFrame:
+    """RMSE, Pearson, cosine (and Spearman) between two value columns per key; `treated_rmse` of right and third."""
     aggs = [
         S.rmse(left, right).alias("rmse"), S.pearson(left, right).alias("pearson"), S.cosine(left, right).alias("cosine"),
+        *([S.rmse(right, third).alias("treated_rmse")] if third else []),
     ]
     rows = pairs
     if ranks:

@@ -21,14 +21,14 @@ def one_hot(rows: DataFrame, categories: DataFrame, keys: list[str], category: s
 
 
 def binary_scales(train: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Training mean and population SD per 0/1 column, tall; constant columns are dropped."""
+    """Training mean and population SD per 0/1 column, tall; constant columns are dropped, other values are an error."""
     long = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "covariate", "value"
     )
+    bad = F.count_if(~F.col("value").isin(0.0, 1.0))
+    error = F.raise_error(F.concat(F.lit("values other than 0 and 1 in "), F.first("covariate"))).cast("double")
     stats = long.groupBy(*keys, "covariate").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-        F.count_if(~F.col("value").isin(0.0, 1.0)).alias("bad_values"),
-    )
+        F.when(bad == 0, F.avg("value")).otherwise(error).alias("mean"), F.stddev_pop("value").alias("sd"))
     return stats.where(F.col("sd") > MIN_SD)
 
 

@@ -15,8 +15,11 @@ def collection_sizes(sets: DataFrame) -> DataFrame:
 
 
 def panel_features(genes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every feature whose symbol is in the panel."""
-    return genes.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    """Every feature whose symbol is in the panel; a panel that maps to nothing is an error."""
+    found = genes.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    if found.isEmpty():
+        raise ValueError("no symbol of the panel is in the dictionary")
+    return found
 
 
 def set_scores(deltas: DataFrame, features: DataFrame, keys: list[str], feature: str = "feature", value: str = "delta") -> DataFrame:

@@ -15,7 +15,7 @@ def signed_topk(rows: DataFrame, keys: list[str], observed: str, predicted: str,
     """Overlap of the k most negative and the k most positive features.
 
     Ascending stable order on both ends: upper ties prefer the higher index.
-    A group is one vector, bounded by the feature dictionary.
+    A group is one vector, bounded by the feature dictionary; one of fewer than 2 k features is an error.
     """
     def rank(*order: Column) -> Column:
         return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -25,8 +25,14 @@ def signed_topk(rows: DataFrame, keys: list[str], observed: str, predicted: str,
         rank(F.asc(observed), F.asc(index)).alias("_od"), rank(F.desc(observed), F.desc(index)).alias("_ou"),
         rank(F.asc(predicted), F.asc(index)).alias("_pd"), rank(F.desc(predicted), F.desc(index)).alias("_pu"),
     )
+    return marked.groupBy(*keys).agg(_signed_overlap(k).alias("signed_topk_overlap"))
+
+
+def _signed_overlap(k: int) -> Column:
+    """Aggregate over the places _od, _ou, _pd, _pu of the features of one vector."""
     both = lambda a, b: F.count_if((F.col(a) <= k) & (F.col(b) <= k)) / float(k)
-    return marked.groupBy(*keys).agg(((both("_od", "_pd") + both("_ou", "_pu")) / 2.0).alias("signed_topk_overlap"))
+    return F.when(F.count(F.lit(1)) >= 2 * k, (both("_od", "_pd") + both("_ou", "_pu")) / 2.0).otherwise(
+        F.raise_error(F.lit(f"a vector has fewer than {2 * k} features")).cast("double"))
 
 
 def line_metrics(
@@ -46,15 +52,12 @@ def line_metrics(
     }.items():
         ranked = ranked.withColumn(name, F.row_number().over(part.orderBy(*order)))
 
-    def both(a: str, b: str) -> Column:
-        return F.count_if((F.col(a) <= k) & (F.col(b) <= k)) / float(k)
-
     measured = ranked.groupBy(*keys).agg(
         S.rmse(observed, predicted).alias("rmse_delta"),
         S.nrmse(observed, predicted).alias("nrmse_delta"),
         S.pearson(observed, predicted).alias("pcc_delta"),
         S.pearson("_ro", "_rp").alias("spearman_delta"),
-        ((both("_od", "_pd") + both("_ou", "_pu")) / 2.0).alias("signed_topk_overlap"),
+        _signed_overlap(k).alias("signed_topk_overlap"),
         S.pearson(F.col(observed) - F.col(baseline), F.col(predicted) - F.col(baseline)).alias("pcc_context"),
         S.rmse(observed, baseline).alias("_base_rmse"),
         S.nrmse(observed, baseline).alias("_base_nrmse"),

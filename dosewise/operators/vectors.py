@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dosewise.operators import contracts as C
 from dosewise.operators import ranking
 
 # Expression floor, variance floor, minimum group support.
@@ -25,8 +26,16 @@ def to_array(long: DataFrame, keys: list[str], index: str, value: str, out: str
     return long.groupBy(*keys).agg(F.transform(packed, lambda e: e[value].cast("float")).alias(out))
 
 
-def aligned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows for the requested keys, carrying the requested position."""
+def aligned(rows: DataFrame, wanted: DataFrame, key: str, complete: bool = False) -> DataFrame:
+    """Rows for the requested keys, carrying the requested position.
+
+    With `complete`, a repeated or missing key is an error; else a missing row is null.
+    """
+    if complete:
+        C.require(C.report([
+            C.unique_key(rows.join(wanted.select(key).distinct(), key, "left_semi"), [key], "unique_rows"), C.unique_key(wanted, [key], "unique_wanted"),
+            C.expected_count(wanted.join(rows, key, "left_anti"), 0, "missing_rows"),
+        ]))
     return wanted.join(rows, key, "left")
 
 

@@ -127,9 +127,12 @@ def control_feature_mask(spark, sf):
     return K.control_feature_mask(control, "gene_id")
 
 
-def _pairs_by_entity(spark, sf, left, right):
-    """Two dense (condition, hour) profiles of every entity that owns both, side by side."""
-    sides = {left: "left", right: "right"}
+def _pairs_by_entity(spark, sf, left, right, third=None):
+    """Two dense (condition, hour) profiles of every entity that owns both, side by side.
+
+    With a third one, column `third` has it too, null for an entity that does not own it.
+    """
+    sides = {left: "left", right: "right"} | ({third: "third"} if third else {})
     label = None
     for (condition, hour), name in sides.items():
         test = (F.col("condition") == condition) & (F.col("hour") == hour)
@@ -139,9 +142,14 @@ def _pairs_by_entity(spark, sf, left, right):
     keys = ["entity", "side"]
     rows = K.normalised(K.pseudobulk(wanted, keys, "gene_idx"), keys, together=["entity"])
     pick = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("log1p_cpm"))), F.lit(0.0)).alias(s)
-    owned = rows.groupBy("entity").agg(F.count_distinct("side").alias("n")).where("n = 2").select("entity")
-    wide = rows.groupBy("entity", "gene_idx").agg(pick("left"), pick("right")).join(owned, "entity", "left_semi")
-    return K.densify(wide, ["entity"], "gene_idx", n, ["left", "right"]), features
+    names = list(sides.values())
+    owned = rows.groupBy("entity").agg(
+        F.count_distinct(F.when(F.col("side") != "third", F.col("side"))).alias("n"), F.max((F.col("side") == "third").cast("int")).alias("has_third")).where("n = 2")
+    wide = rows.groupBy("entity", "gene_idx").agg(*[pick(s) for s in names]).join(owned.select("entity"), "entity", "left_semi")
+    dense = K.densify(wide, ["entity"], "gene_idx", n, names)
+    if third:
+        dense = dense.join(owned.select("entity", "has_third"), "entity").withColumn("third", F.when(F.col("has_third") == 1, F.col("third"))).drop("has_third")
+    return dense, features
 
 
 def _pairs_sql(left, right):
@@ -159,18 +167,25 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY l) + (count(*) OV
 WITH {_pairs_sql(('control', 6), ('control', 24))},
 mask AS (SELECT gene_id FROM sums WHERE condition = 'control' AND hour IN (6, 24) GROUP BY gene_id
   HAVING sum(total) >= 100 AND count(*) FILTER (hour = 6) >= 10 AND count(*) FILTER (hour = 24) >= 10),
-m AS (SELECT entity, gene_idx, l, r FROM pairs SEMI JOIN mask USING (gene_id)),
+m AS (SELECT entity, gene_idx, gene_id, l, r FROM pairs SEMI JOIN mask USING (gene_id)),
+tp AS (SELECT entity, gene_id, sum(log1p_cpm) AS t FROM profiles WHERE condition = 'treated' AND hour = 24 GROUP BY ALL),
+tr AS (SELECT m.entity, sqrt(avg(pow(coalesce(t, 0) - r, 2))) AS treated_rmse FROM m LEFT JOIN tp USING (entity, gene_id) WHERE m.entity IN (SELECT entity FROM tp) GROUP BY m.entity),
 k AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY l) + (count(*) OVER (PARTITION BY entity, l) - 1) / 2.0 AS rl,
   rank() OVER (PARTITION BY entity ORDER BY r) + (count(*) OVER (PARTITION BY entity, r) - 1) / 2.0 AS rr FROM m)
 SELECT entity, round(sqrt(avg(pow(r - l, 2))), 6) AS rmse, round({B.pearson_sql('l', 'r')}, 6) AS pearson,
-  round(sum(l * r) / nullif(sqrt(sum(l * l) * sum(r * r)), 0), 6) AS cosine, round({B.pearson_sql('rl', 'rr')}, 6) AS spearman
-FROM k GROUP BY entity""")
+  round(sum(l * r) / nullif(sqrt(sum(l * l) * sum(r * r)), 0), 6) AS cosine, round({B.pearson_sql('rl', 'rr')}, 6) AS spearman,
+  round(any_value(treated_rmse), 6) AS treated_rmse, round(sqrt(avg(pow(r - l, 2))) / nullif(any_value(treated_rmse), 0), 6) AS rmse_ratio
+FROM k LEFT JOIN tr USING (entity) GROUP BY entity""")
 def control_qc(spark, sf):
-    """Control at 6 h against control at 24 h on the masked features, per entity."""
-    pairs, dictionary = _pairs_by_entity(spark, sf, ("control", 6), ("control", 24))
+    """Control at 6 h against control at 24 h on the masked features, per entity, and against the change by treatment.
+
+    Entities without a treated profile at 24 h have no treated RMSE and no ratio.
+    """
+    pairs, dictionary = _pairs_by_entity(spark, sf, ("control", 6), ("control", 24), ("treated", 24))
     mask = F.broadcast(control_feature_mask(spark, sf).join(dictionary, "gene_id").select("gene_idx"))  # within the dictionary
     masked = pairs.join(mask, "gene_idx", "left_semi")
-    return B.rounded(K.compare_vectors(masked, ["entity"], "left", "right", ranks=True, largest=B.DICTIONARY_BOUND))
+    compared = K.compare_vectors(masked, ["entity"], "left", "right", ranks=True, largest=B.DICTIONARY_BOUND, third="third")
+    return B.rounded(compared.withColumn("rmse_ratio", F.try_divide("rmse", F.col("treated_rmse"))))
 
 
 @query(f"""

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewise.operators import counts as K
-from dosewise.operators import enrichment, linear, metrics, vectors
+from dosewise.operators import composition, encoders, enrichment, linear, metrics, vectors
 from dosewise.plans import benchmark
 
 N, D, G = 30, 6, 4
@@ -127,3 +127,29 @@ def test_lines_below_the_rare_limit_are_lumped(spark):
     got = {r.lineage: r.display_group for r in vectors.display_groups(df, "lineage").collect()}
     assert got == {"big": "big", "small": "other / rare"}
     assert vectors.representative(df, [F.asc("entity")]).first().entity == 3
+
+
+def test_lookups_refuse_repeats_and_missing_rows(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("c", 4.0)], "entity string, v double")
+    wanted = lambda *names: spark.createDataFrame(list(enumerate(names)), "pos int, entity string")
+    assert sorted((r.pos, r.v) for r in vectors.aligned(rows, wanted("c", "a"), "entity", complete=True).collect()) == [(0, 4.0), (1, 1.0)]
+    for bad in (("a", "b"), ("a", "a"), ("a", "x")):
+        with pytest.raises(ValueError):
+            vectors.aligned(rows, wanted(*bad), "entity", complete=True)
+    once = rows.where("v != 3")
+    assert composition.one_to_one(once, once.withColumnRenamed("v", "w"), ["entity"]).count() == 3
+    with pytest.raises(ValueError):
+        composition.one_to_one(once, rows.withColumnRenamed("v", "w"), ["entity"])
+    genes = spark.createDataFrame([(1, "A")], "gene_idx int, symbol string")
+    with pytest.raises(ValueError):
+        enrichment.panel_features(genes, spark.createDataFrame([("Z",)], "symbol string"))
+
+
+def test_other_values_and_short_vectors_are_errors(spark):
+    train = spark.createDataFrame([("f", 0.0, 1.0), ("f", 1.0, 2.0)], "model_fold string, p double, q double")
+    assert encoders.binary_scales(train, ["model_fold"], ["p"]).first().mean == 0.5
+    with pytest.raises(Exception, match="other than 0 and 1 in q"):
+        encoders.binary_scales(train, ["model_fold"], ["p", "q"]).collect()
+    rows = spark.createDataFrame([("k", i, float(i), float(-i)) for i in range(5)], "k string, feature int, observed double, predicted double")
+    with pytest.raises(Exception, match="fewer than 6 features"):
+        metrics.signed_topk(rows, ["k"], "observed", "predicted", "feature", 3).collect()
