@@ -5,9 +5,11 @@ its end, and its first bytes are a prefix. Level by level prefixes grow; each pa
 the documents that hold a term with it, and prefixes below the support are dropped with all that begins with them.
 A prefix that reaches a term's end is complete; the search ends when only complete ones are left.
 
-Passes run over the documents, each task adding up its documents before anything is shuffled. Which prefixes are left
-is told to the tasks by a bitmap of hashes of a bounded size (BITS at most). A wrong bit, or a full bitmap, only lets a
-prefix be counted again that the exact count then drops, so the result doesn't depend on it.
+Documents are read once and written as chunks: the sorted distinct terms of some hundred documents of a language, and
+for each document the places of its terms there. Every level's pass reads the chunks and counts with arrays: terms of
+one prefix lie side by side. Tasks add up before anything is shuffled. Which prefixes are left is told to the tasks by
+a bitmap of hashes of a bounded size (BITS at most). A wrong bit, or a full bitmap, only lets a prefix be counted again
+that the exact count then drops, so the result doesn't depend on it.
 """
 
 from __future__ import annotations
@@ -18,19 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import checked
+from dosewise.llm.common import checked, shared_folder
 from dosewise.session import pinned
 
 SUPPORT = 30
 FIRST = 3  # bytes of the first prefixes; each level adds half, FIRST at least
 # A bitmap has at least 16 bits a prefix, up to 2 ** 27 bits (16 MB).
 BITS = 1 << 27
-# Entries that a task holds before it gives them out.
-HELD = 300_000
+# Distinct terms of documents, one by one, of a chunk; a longer document is a chunk of its own.
+HELD = 1_000_000
 # Terms of one block and sources of one tile when sources are compared.
 BLOCK, TILE = 1_024, 256
 UNIT, SMOOTHING = 1_000_000_000, 5
@@ -39,7 +42,7 @@ TOP = 50
 END = b" "
 # Term bytes are letters A-Z (as a-z), a-z and all of 0x80 and above; others become END.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else END[0] for b in range(256))
-PASS = "lang string, source string, item binary, n long"
+CHUNK = "lang string, terms array<binary>, sources array<string>, source array<int>, ends array<int>, places array<int>, times array<int>"
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -74,69 +77,118 @@ class Bitmap:
         return has
 
 
-class _Prefixes(dict):
-    """Prefix of `length` bytes of a term, remembered; None if the term is not to be counted at this level."""
+class _Numbers(dict):
+    """Numbers of terms in order of arrival."""
 
-    def __init__(self, length: int, before: int, has) -> None:
-        super().__init__()
-        self.length, self.before, self.has = length, before, has
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
 
-    def __missing__(self, term: bytes) -> bytes | None:
-        # a term that ends within the prefix before was counted whole there
-        open_ = len(term) >= self.before and (self.has is None or self.has(term[: self.before]))
-        prefix = (term + END)[: self.length] if open_ else None
-        if len(self) >= HELD:
-            self.clear()
-        if len(term) <= 64:
-            self[term] = prefix
-        return prefix
 
+class _Chunk:
+    """Documents of one language on their way to a row of the chunk table."""
 
-def _rows(counts: dict[tuple[str, str], Counter]) -> pa.RecordBatch:
-    langs, sources, items, ns = [], [], [], []
-    for (lang, source), own in counts.items():
-        langs += [lang] * len(own)
-        sources += [source] * len(own)
-        items += own.keys()
-        ns += own.values()
-    columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(items, pa.binary()), pa.array(ns, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "n"])
+    def __init__(self, lang: str) -> None:
+        self.lang, self.numbers, self.sources = lang, _Numbers(), _Numbers()
+        self.source, self.sizes, self.places, self.times, self.held = [], [], [], [], 0
+
+    def add(self, source: str, text: bytes | None) -> None:
+        own = Counter(terms(text))
+        self.source.append(self.sources[source])
+        self.sizes.append(len(own))
+        self.places.append(np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own)))
+        self.times.append(np.fromiter(own.values(), np.int64, len(own)))
+        self.held += len(own)
+
+    def row(self) -> pa.RecordBatch:
+        """The chunk; places are ranks of the terms in order of bytes, rising inside each document."""
+        names = sorted(self.numbers)
+        rank = np.empty(len(names), np.int64)
+        rank[np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        places, times = rank[np.concatenate(self.places)], np.concatenate(self.times)
+        order = np.argsort(doc * max(1, len(names)) + places)
+        columns = [
+            pa.array([self.lang], pa.string()), pa.array([names], pa.list_(pa.binary())), pa.array([list(self.sources)], pa.list_(pa.string())),
+            *(pa.array([v], pa.list_(pa.int32())) for v in (np.array(self.source, np.int32), np.cumsum(self.sizes).astype(np.int32), places[order].astype(np.int32), times[order].astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "terms", "sources", "source", "ends", "places", "times"])
+
+
+def encode(rows: DataFrame) -> DataFrame:
+    """The chunk table of rows (lang, source, text) without nulls, written to the shared folder and read back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[str, _Chunk] = {}
+        for batch in batches:
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary())):
+                if lang not in chunks:
+                    chunks[lang] = _Chunk(lang)
+                chunks[lang].add(source, text.as_py())
+                if sum(c.held for c in chunks.values()) >= HELD:
+                    yield chunks.pop(max(chunks, key=lambda k: chunks[k].held)).row()
+        for chunk in chunks.values():
+            yield chunk.row()
 
+    path = shared_folder(rows.sparkSession, "terms")
+    rows.mapInArrow(run, CHUNK).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes | None]]:
-    for batch in batches:
-        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary())):
-            yield lang, source, text.as_py()
 
+def _terms(batch: pa.RecordBatch, k: int, least: int) -> tuple[list[int], list[bytes], int]:
+    """(places, terms) of a chunk's terms of at least `least` bytes, and how many it has in all."""
+    every = batch.column("terms")[k].values
+    places = np.flatnonzero(pc.binary_length(every).to_numpy(zero_copy_only=False) >= least)
+    return places.tolist(), every.take(pa.array(places)).to_numpy(zero_copy_only=False).tolist(), len(every)
 
-def _level(rows: DataFrame, length: int, before: int, left: Bitmap | None) -> DataFrame:
+
+def _ints(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+    return batch.column(name)[k].values.to_numpy()
+
+
+def _counted(langs: list, sources: list, items: list, ns: list) -> pa.RecordBatch:
+    columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(items, pa.binary()), pa.array(ns, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "n"])
+
+
+def _level(chunks: DataFrame, length: int, before: int, left: Bitmap | None) -> DataFrame:
     """(lang, item, n): documents of a language that hold an open prefix of `length` bytes, partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = {}
-        prefixes: dict[str, _Prefixes] = {}
-        held = 0
-        for lang, _, text in _texts(batches):
-            if lang not in prefixes:
-                prefixes[lang] = _Prefixes(length, before, left.of(lang) if left else None)
-            own = counts.setdefault((lang, ""), Counter())
-            held -= len(own)
-            own.update(set(map(prefixes[lang].__getitem__, set(terms(text)))))
-            del own[None]
-            held += len(own)
-            if held >= HELD:
-                yield _rows(counts)
-                counts, held = {}, 0
-        yield _rows(counts)
-
-    return rows.mapInArrow(run, PASS)
-
-
-def iceberg(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(lang, item): terms that at least `support` rows of a language hold, from rows (lang, source, text) without nulls."""
+        has: dict = {}
+        for batch in batches:
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                if left and lang not in has:
+                    has[lang] = left.of(lang)
+                places, names, size = _terms(batch, k, before)
+                # place of a term -> number of its prefix, in order; -1 if it ended before or its prefix was dropped
+                number, prefixes, last, known, open_ = np.full(size, -1, np.int64), [], None, None, True
+                for place, term in zip(places, names):
+                    if left and term[:before] != known:
+                        known = term[:before]
+                        open_ = has[lang](known)
+                    if open_:
+                        prefix = (term + END)[:length]
+                        if prefix != last:
+                            prefixes.append(prefix)
+                            last = prefix
+                        number[place] = len(prefixes) - 1
+                ends = _ints(batch, "ends", k)
+                own = number[_ints(batch, "places", k)]
+                doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                held = own >= 0
+                own, doc = own[held], doc[held]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+                yield _counted([lang] * len(prefixes), [None] * len(prefixes), prefixes, np.bincount(own[new], minlength=len(prefixes)))
+
+    return chunks.select("lang", "terms", "ends", "places").mapInArrow(run, "lang string, source string, item binary, n long").drop("source")
+
+
+def iceberg(chunks: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(lang, item): terms that at least `support` documents of a language hold."""
     length, before, left, kept = FIRST, 0, None, None
     while True:
-        counted = _level(rows, length, before, left).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+        counted = _level(chunks, length, before, left).groupBy("lang", "item").agg(F.sum("n").alias("n"))
         found = pinned(counted.where(F.col("n") >= support).select("lang", "item"))
         whole = F.endswith("item", F.lit(END))
         done = found.where(whole).select("lang", F.expr(f"substring(item, 1, octet_length(item) - {len(END)})").alias("item"))
@@ -148,31 +200,32 @@ def iceberg(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
         before, length = length, length + max(FIRST, length // 2)
 
 
-def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
+def occurrences(chunks: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, item, n): how often each kept term occurs in each group, where it does."""
     left = Bitmap(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = {}
         has: dict = {}
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            return _rows({(lang, source): {t: n for t, n in own.items() if has[lang](t)} for (lang, source), own in counts.items()})
-
-        for lang, source, text in _texts(batches):
-            if lang not in has:
-                has[lang] = left.of(lang)
-            own = counts.setdefault((lang, source), Counter())
-            held -= len(own)
-            own.update(terms(text))
-            held += len(own)
-            if held >= HELD:
-                yield out()
-                counts, held = {}, 0
-        yield out()
-
-    summed = rows.mapInArrow(run, PASS).groupBy("lang", "source", "item").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                if lang not in has:
+                    has[lang] = left.of(lang)
+                places, names, size = _terms(batch, k, 1)
+                number, left_names = np.full(size, -1, np.int64), []
+                for place, term in zip(places, names):
+                    if has[lang](term):
+                        number[place] = len(left_names)
+                        left_names.append(term)
+                ends, width = _ints(batch, "ends", k), max(1, len(left_names))
+                group = np.repeat(_ints(batch, "source", k), np.diff(ends, prepend=0))
+                own = number[_ints(batch, "places", k)]
+                held = own >= 0
+                keys, at = np.unique(group[held] * width + own[held], return_inverse=True)
+                sums = np.bincount(at, weights=_ints(batch, "times", k)[held], minlength=len(keys)).astype(np.int64)
+                sources = batch.column("sources")[k].as_py()
+                yield _counted([lang] * len(keys), [sources[g] for g in (keys // width).tolist()], [left_names[p] for p in (keys % width).tolist()], sums)
+
+    summed = chunks.mapInArrow(run, "lang string, source string, item binary, n long").groupBy("lang", "source", "item").agg(F.sum("n").alias("n"))
     return summed.join(checked(kept), ["lang", "item"])
 
 
@@ -237,8 +290,9 @@ def audit(docs: DataFrame, support: int = SUPPORT, top: int = TOP, lang_col: str
     """
     text = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     rows = docs.select(*text)
-    kept = iceberg(rows, support)
-    counts = pinned(occurrences(rows, kept))
+    chunks = encode(rows)
+    kept = iceberg(chunks, support)
+    counts = pinned(occurrences(chunks, kept))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     all_ = rows.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
