@@ -18,18 +18,20 @@ from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 # Words handled at once and words remembered between texts, both bound memory.
 WORDS_AT_ONCE = 8_192
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 # Longer words are searched one by one.
 LONGEST = 48
 # A-star costs the square of a word's length; words beyond this keep n-best lists at every position instead.
 LINEAR = 2_000
-TEXTS_AT_ONCE = 512
+# Texts of one step: so many of so many characters, or one longer text.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 512, 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # One edit of the best segmentation: at piece `at`, `drop` pieces give way to `ids`.
@@ -350,6 +352,19 @@ def edited(ids: list[int], edits: list) -> list[int]:
     return [*out, *ids[done:]]
 
 
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts that are handled at once; bounds the memory of long texts."""
+    sizes = np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
+    first, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > first and (held + size > CHARACTERS_AT_ONCE or at - first == TEXTS_AT_ONCE):
+            yield first, at - first
+            first, held = at, 0
+        held += size
+    if len(sizes):
+        yield first, len(sizes) - first
+
+
 @lru_cache(maxsize=2)
 def segmenter(path: str, n: int) -> Segmenter:
     """One per Python worker."""
@@ -379,8 +394,8 @@ def encode(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = segmenter(path, n)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for at, n_rows in steps(batch.column("text")):
+                part = batch.slice(at, n_rows)
                 texts = part.column("text").to_pylist()
                 rows = list(tool.segment(texts))
                 back = tool.vocabulary.model.decode([r[0].tolist() for r in rows])
@@ -389,5 +404,6 @@ def encode(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "
                 others = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": list(i)} for a, d, i in e]} for s, e in r[2]] for r in rows]
                 columns = [part.column("doc_id"), ids, pa.array([r[1] for r in rows], pa.float64()), pa.array(others, OTHERS), pa.array([b == (t or "") for b, t in zip(back, texts)])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "score", "others", "decoded"])
+            pa.default_memory_pool().release_unused()  # buffers of a batch of long texts are not kept for the next
 
     return source.mapInArrow(run, f"doc_id {id_type}, ids array<int>, score double, others {EDITS}, decoded boolean")

@@ -23,7 +23,7 @@ from dosewise.session import pinned
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition reserves 4 MB of disk
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
 from dosewise.llm import nbest
 from dosewise.llm.common import table
 
@@ -79,3 +80,11 @@ def test_edge_cases(spark, docs):
     assert nbest.encode(docs([])).count() == 0
     with pytest.raises(ValueError):
         nbest.Segmenter(PATH, 0)
+
+
+def test_steps_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(nbest, "CHARACTERS_AT_ONCE", 10)
+    monkeypatch.setattr(nbest, "TEXTS_AT_ONCE", 3)
+    texts = ["abc", None, "", "x", "y" * 30, "ab", "cd", "é" * 6, "z"]
+    assert list(nbest.steps(pa.array(texts))) == [(0, 3), (3, 1), (4, 1), (5, 3), (8, 1)]
+    assert list(nbest.steps(pa.array([], pa.string()))) == []
