@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.operators.vectors import MIN_VARIANCE
-from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, fresh, limit
+from dosewise.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, fresh, limit, pinned
 
 TILE = 128
 TARGET_BLOCK = 2048
@@ -29,11 +30,14 @@ MERGE_GROUPS = 64
 FLUSH_BYTES = 256 * 1024 * 1024
 MIN_SD = 1e-12
 # Widest table solved from the feature Gram matrix, and most rows solved from the row one.
+# A task of the row path holds one Gram matrix of MAX_DUAL_ROWS squared numbers per fold.
 MAX_GRAM_FEATURES = 8_000
-MAX_DUAL_ROWS = 5_000
+MAX_DUAL_ROWS = 1_000
 GRAM_KEY = "spark.dosewise.gramFeatures"
 DUAL_KEY = "spark.dosewise.dualRows"
 DUAL_BLOCK = 512
+# Blocks a Krylov basis may hold before it is compressed to its leading Ritz vectors.
+RESTART_BLOCKS = 4
 # Prefix of the key that sums all rows of a variant.
 TOTAL = "*"
 
@@ -42,6 +46,10 @@ PCA_SCHEMA = (
     "model_fold string, component int, eigenvalue double, explained_ratio double, n_train bigint, "
     "n_selected int, loading array<double>, mean array<double>"
 )
+KRYLOV_SCHEMA = (
+    "model_fold string, width int, held int, basis array<double>, images array<double>, block array<double>, "
+    "eigen array<double>, trace double, done boolean"
+)
 RIDGE_SCHEMA = "model_fold string, target_block int, n_design int, n_scaled int, stat array<double>"
 
 
@@ -360,7 +368,7 @@ def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, ch
     """Exact PCA of few, very wide rows from the row Gram matrix.
 
     Feature blocks are spread over tasks (each holds every row's slice of one
-    block); only n x n sums, at most MAX_DUAL_ROWS squared, reach a fold solve.
+    block); their n x n matrices are summed in two levels before a fold solve.
     """
     means = fold_means(rows, column, folds)
     width = len(next(iter(means.values()))[1])
@@ -371,7 +379,8 @@ def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, ch
         lambda b: F.struct(b.alias("b"), F.slice(F.col(column), b * DUAL_BLOCK + 1, DUAL_BLOCK).alias("part")),
     )
     sliced = rows.select("entity", *needed, F.explode(pieces).alias("_s")).select("entity", *needed, "_s.b", "_s.part")
-    kind = dict(rows.dtypes)["entity"]
+    listed = rows.select("entity", *needed).toPandas().sort_values("entity")
+    names = {f: listed["entity"][train_mask(listed, f)].to_numpy() for f in folds}
 
     def gram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entity")
@@ -380,31 +389,30 @@ def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, ch
             train = train_mask(pdf, fold)
             span = slice(start, start + data.shape[1])
             part = (data[train] - means[fold][1][span])[:, wanted[fold][span]]
-            out.append([fold, pdf["entity"][train].to_numpy(), (part @ part.T).ravel()])
-        return pd.DataFrame(out, columns=["model_fold", "entities", "stat"])
+            out.append([fold, (part @ part.T).ravel()])
+        return pd.DataFrame(out, columns=["model_fold", "stat"])
 
-    blocks = sliced.groupBy("b").applyInPandas(gram, f"model_fold string, entities array<{kind}>, stat array<double>")
+    blocks = sliced.groupBy("b").applyInPandas(gram, "model_fold string, stat array<double>")
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = stack(pdf["stat"]).sum(axis=0)
-        names = pdf["entities"].iloc[0]
-        n = len(names)
-        k = k.reshape(n, n)
+        n = len(names[key[0]])
+        k = np.asarray(pdf["stat"].iloc[0]).reshape(n, n)
         kept = min(components, n - 1)
         values, vectors = np.linalg.eigh(k)
         values, vectors = values[::-1][:kept], vectors[:, ::-1][:, :kept]
         # loadings = rows' x eigenvector / singular value
         scaled = vectors / np.sqrt(np.maximum(values, 1e-300))
-        return pd.DataFrame([[key[0], names, scaled.ravel(), values, float(np.trace(k))]],
-                            columns=["model_fold", "entities", "weights", "eigen", "trace"])
+        return pd.DataFrame([[key[0], scaled.ravel(), values, float(np.trace(k))]],
+                            columns=["model_fold", "weights", "eigen", "trace"])
 
-    solved = blocks.groupBy("model_fold").applyInPandas(
-        solve, f"model_fold string, entities array<{kind}>, weights array<double>, eigen array<double>, trace double"
+    solved = sum_blocks(blocks, ["model_fold"]).groupBy("model_fold").applyInPandas(
+        solve, "model_fold string, weights array<double>, eigen array<double>, trace double"
     ).collect()
     weights, facts = {}, {}
     for r in solved:
-        table = np.asarray(r["weights"]).reshape(len(r["entities"]), -1)
-        weights[r["model_fold"]] = (means[r["model_fold"]][1], dict(zip(r["entities"], table, strict=True)))
+        own = names[r["model_fold"]]
+        table = np.asarray(r["weights"]).reshape(len(own), -1)
+        weights[r["model_fold"]] = (means[r["model_fold"]][1], dict(zip(own, table, strict=True)))
         facts[r["model_fold"]] = (np.asarray(r["eigen"]), r["trace"])
     sums = project_back(rows, column, folds, weights, chosen, "rows")
 
@@ -419,57 +427,126 @@ def dual_pca(rows: DataFrame, column: str, folds: list[str], components: int, ch
     return sums.groupBy("model_fold").applyInPandas(finish, PCA_SCHEMA)
 
 
+def fold_groups(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Folds in name order, dealt into groups of at most `most` bytes (a larger fold is a group of its own)."""
+    groups: list[list[str]] = []
+    held = 0
+    for fold, size in sorted(sizes.items()):
+        if groups and held + size <= most:
+            groups[-1].append(fold)
+            held += size
+        else:
+            groups.append([fold])
+            held = size
+    return groups
+
+
+@dataclass
+class Krylov:
+    """One fold's orthonormal basis, its images under the centred cross product, and the block to multiply next."""
+    basis: np.ndarray
+    images: np.ndarray
+    block: np.ndarray
+
+    @classmethod
+    def of(cls, row: pd.Series) -> Krylov:
+        parts = [np.asarray(row[c], dtype=np.float64) for c in ("basis", "images", "block")]
+        return cls(*[p.reshape(row["width"], -1) for p in parts])
+
+    def advance(self, image: np.ndarray, components: int, most: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Take in the block's image; returns leading values and vectors, and whether they are final.
+
+        A basis of more than `most` columns is replaced by its leading Ritz
+        vectors. What the basis lacks lies in the next block alone, so the
+        iteration goes on from there as if nothing had been dropped.
+        """
+        self.basis, self.images = np.hstack([self.basis, self.block]), np.hstack([self.images, image])
+        small = self.basis.T @ self.images
+        values, mix = np.linalg.eigh((small + small.T) / 2)
+        values, mix = values[::-1], mix[:, ::-1]
+        floor = max(values[0], 1e-300)
+        top, vectors = values[:components], self.basis @ mix[:, :components]
+        left = np.linalg.norm(self.images @ mix[:, :components] - vectors * top, axis=0).max()
+        rest = image - self.basis @ (self.basis.T @ image)
+        rest -= self.basis @ (self.basis.T @ rest)
+        u, size, _ = np.linalg.svd(rest, full_matrices=False)
+        kept = self.block.shape[1]
+        self.block = u[:, size > 1e-10 * floor]
+        if self.basis.shape[1] + self.block.shape[1] > most:
+            self.basis, self.images = self.basis @ mix[:, :kept], self.images @ mix[:, :kept]
+        return top, vectors, bool(left <= tolerance * floor or not self.block.shape[1])
+
+
 def subspace_pca(
     rows: DataFrame, column: str, folds: list[str], components: int, chosen: dict[str, np.ndarray],
-    passes: int = 60, extra: int = 10, tolerance: float = 1e-9,
+    passes: int = 200, extra: int = 10, tolerance: float = 1e-9,
 ) -> DataFrame:
-    """PCA of many very wide rows by block Krylov iteration, to a tolerance.
+    """PCA of many very wide rows by restarted block Krylov iteration, to a tolerance.
 
     Each pass is one distributed job over the rows that multiplies one more
-    block; the driver keeps features x (components + extra) numbers per pass
-    and fold. A fold is done when every component's residual is below the
-    tolerance, relative to the largest eigenvalue, or its basis spans all
-    features; running out of passes is an error.
+    block per fold. Bases are rows of a checkpointed table and advance in one
+    task per fold, which holds features x (components + extra) x
+    (2 RESTART_BLOCKS + 2) numbers; the driver sees blocks on their way to a
+    broadcast only, a bounded group of folds at a time. A fold is done when
+    every component's residual is below the tolerance, relative to the largest
+    eigenvalue, or its basis spans all features; running out of passes is an
+    error.
     """
+    spark = rows.sparkSession
     means = fold_means(rows, column, folds)
     width = len(next(iter(means.values()))[1])
-    block, basis, images, facts = {}, {}, {}, {}
-    for fold in folds:
-        own = fold_features(chosen, fold, width)
-        k = min(components + extra, len(own))
-        block[fold] = np.linalg.qr(np.random.default_rng(len(own)).standard_normal((len(own), k)))[0]
-        basis[fold] = images[fold] = np.zeros((len(own), 0))
+    most = limit(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
+    names = KRYLOV_SCHEMA.replace(",", "").split()[::2]
+
+    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size = len(fold_features(chosen, key[0], width))
+        k = min(components + extra, size)
+        block = np.linalg.qr(np.random.default_rng(size).standard_normal((size, k)))[0]
+        return pd.DataFrame([[key[0], size, k, [], [], block.ravel(), [], 0.0, False]], columns=names)
+
+    def step(key: tuple, state: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        row, stat = state.iloc[0], np.asarray(image["stat"].iloc[0])
+        fold = Krylov.of(row)
+        values, vectors, done = fold.advance(
+            stat[:-1].reshape(fold.block.shape), components, RESTART_BLOCKS * row["held"], tolerance
+        )
+        arrays = [vectors, vectors[:, :0], vectors[:, :0]] if done else [fold.basis, fold.images, fold.block]
+        return pd.DataFrame(
+            [[key[0], row["width"], row["held"], *[a.ravel() for a in arrays], values, float(stat[-1]), done]], columns=names
+        )
+
+    def multiplied(state: DataFrame) -> DataFrame:
+        sizes = {r["model_fold"]: 8 * r["n"] for r in state.select("model_fold", F.size("block").alias("n")).collect()}
+        parts = []
+        for group in fold_groups(sizes, most):
+            own = state.where(F.col("model_fold").isin(*group)).select("model_fold", "width", "block").collect()
+            held = {r["model_fold"]: (means[r["model_fold"]][1], np.asarray(r["block"]).reshape(r["width"], -1)) for r in own}
+            parts.append(project_back(rows, column, group, held, chosen, "features"))
+        return reduce(DataFrame.unionAll, parts)
+
+    state = pinned(spark.createDataFrame([(f,) for f in folds], "model_fold string").groupBy("model_fold").applyInPandas(start, KRYLOV_SCHEMA))
+    finished = []
     for _ in range(passes):
-        state = {f: (means[f][1], block[f]) for f in block}
-        for r in project_back(rows, column, list(block), state, chosen, "features").collect():
-            fold, stat = r["model_fold"], np.asarray(r["stat"])
-            image = stat[:-1].reshape(block[fold].shape)
-            basis[fold], images[fold] = np.hstack([basis[fold], block[fold]]), np.hstack([images[fold], image])
-            small = basis[fold].T @ images[fold]
-            values, mix = np.linalg.eigh((small + small.T) / 2)
-            values, mix = values[::-1][:components], mix[:, ::-1][:, :components]
-            facts[fold] = (values, basis[fold] @ mix, stat[-1])
-            left = np.linalg.norm(images[fold] @ mix - facts[fold][1] * values, axis=0).max()
-            fresh_ = image - basis[fold] @ (basis[fold].T @ image)
-            fresh_ -= basis[fold] @ (basis[fold].T @ fresh_)
-            u, size, _ = np.linalg.svd(fresh_, full_matrices=False)
-            block[fold] = u[:, size > 1e-10 * max(values[0], 1e-300)]
-            if left <= tolerance * max(values[0], 1e-300) or not block[fold].shape[1]:
-                del block[fold]
-        if not block:
+        active = state.where("not done")
+        images = multiplied(active)
+        state = pinned(active.groupBy("model_fold").cogroup(fresh(images).groupBy("model_fold")).applyInPandas(step, KRYLOV_SCHEMA))
+        finished.append(state.where("done"))
+        if state.where("not done").isEmpty():
             break
     else:
-        raise RuntimeError(f"no convergence in {passes} passes: {sorted(block)}")
-    out = []
-    for fold in folds:
-        values, vectors, trace = facts[fold]
-        n, mean = means[fold]
+        late = [r["model_fold"] for r in state.where("not done").select("model_fold").collect()]
+        raise RuntimeError(f"no convergence in {passes} passes: {sorted(late)}")
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row, (n, mean) = pdf.iloc[0], means[key[0]]
+        vectors = np.asarray(row["basis"]).reshape(row["width"], -1)
         kept = min(components, n - 1, vectors.shape[1])
-        own = fold_features(chosen, fold, width)
+        own = fold_features(chosen, key[0], width)
         full = np.zeros((width, kept))
         full[own] = vectors[:, :kept]
-        out.append(component_rows(fold, values[:kept] / (n - 1), full, trace / (n - 1), n, len(own), mean))
-    return rows.sparkSession.createDataFrame(pd.concat(out), PCA_SCHEMA)
+        return component_rows(key[0], np.asarray(row["eigen"])[:kept] / (n - 1), full, row["trace"] / (n - 1), n, len(own), mean)
+
+    return reduce(DataFrame.unionAll, finished).groupBy("model_fold").applyInPandas(finish, PCA_SCHEMA)
 
 
 @dataclass
@@ -495,26 +572,32 @@ def apply_models(
 ) -> DataFrame:
     """Run `apply({fold: model}, rows)` over all rows; with `whole`, on the iterator of a task's row batches.
 
-    The model table is broadcast only when its measured size is under the limit.
-    A larger one is met by (fold, salt): each group sees one fold's model and a
-    bounded share of the rows.
+    Folds are dealt into groups whose measured size is under the broadcast
+    limit; each group is one pass over the rows, without a shuffle. Only a fold
+    that is larger by itself makes the tables meet by (fold, salt): each group
+    then sees one fold's model and a bounded share of the rows.
     """
     spark = rows.sparkSession
-    bytes_held = models.agg(F.sum(F.size(doubles))).first()[0] or 0
-    if bytes_held * 8 <= limit(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES):
-        table = models.toPandas()
-        loaded = {f: load(g) for f, g in table.groupby("model_fold")}
-        shared = spark.sparkContext.broadcast(loaded)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if whole:
-                yield from apply(shared.value, batches)
-                return
-            for pdf in batches:
-                if len(pdf):
-                    yield from apply(shared.value, pdf)
-
-        return rows.select(*columns).mapInPandas(run, schema)
+    most = limit(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
+    counted = models.groupBy("model_fold").agg(F.sum(F.size(doubles)).alias("n")).collect()
+    sizes = {r["model_fold"]: 8 * (r["n"] or 0) for r in counted}
+    if max(sizes.values(), default=0) <= most:
+        def one_pass(group: list[str] | None) -> DataFrame:
+            table = (models if group is None else models.where(F.col("model_fold").isin(*group))).toPandas()
+            shared = spark.sparkContext.broadcast({f: load(g) for f, g in table.groupby("model_fold")})
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                if whole:
+                    yield from apply(shared.value, batches)
+                    return
+                for pdf in batches:
+                    if len(pdf):
+                        yield from apply(shared.value, pdf)
+
+            return rows.select(*columns).mapInPandas(run, schema)
+
+        groups = fold_groups(sizes, most)
+        return reduce(DataFrame.unionAll, [one_pass(g) for g in groups]) if len(groups) > 1 else one_pass(None)
     salts = max(1, rows.count() // 2000)
     spread = rows.select(
         *columns, F.explode(F.array(*[F.lit(f) for f in folds])).alias("model_fold"),

@@ -111,10 +111,59 @@ def test_shuffled_models_equal_broadcast_models(keyed, conf):
     fitted = benchmark.fit(rows, names, 3)
     run = lambda: {(r.model_fold, r.entity): r.rmse for r in benchmark.grid_losses(fitted, [Setting("direct", 2, 1.0)]).collect()}
     wide = run()
-    conf(BROADCAST_BYTES_KEY, 1)
-    small = run()
-    assert wide.keys() == small.keys()
-    assert all(abs(wide[k] - small[k]) < 1e-12 for k in wide)
+    # a few folds a pass, then folds over the limit that meet their rows by key
+    for most in (4_000, 1):
+        conf(BROADCAST_BYTES_KEY, most)
+        small = run()
+        assert wide.keys() == small.keys()
+        assert all(abs(wide[k] - small[k]) < 1e-12 for k in wide)
+
+
+def test_folds_are_dealt_by_size():
+    sizes = {"a": 5, "b": 4, "c": 30, "d": 1, "e": 9}
+    assert linear.fold_groups(sizes, 10) == [["a", "b"], ["c"], ["d", "e"]]
+    assert linear.fold_groups(sizes, 1) == [["a"], ["b"], ["c"], ["d"], ["e"]]
+    assert linear.fold_groups({}, 10) == []
+
+
+def test_basis_stays_bounded_over_restarts():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 300)) * np.linspace(2, 1, 300)
+    square, k = x.T @ x, 6
+    fold, done, widths = linear.Krylov(np.zeros((300, 0)), np.zeros((300, 0)), np.linalg.qr(rng.normal(size=(300, k)))[0]), False, []
+    for _ in range(200):
+        values, vectors, done = fold.advance(square @ fold.block, 2, 4 * k, 1e-9)
+        widths.append(fold.basis.shape[1])
+        if done:
+            break
+    assert done and len(widths) > 8 and max(widths) <= 4 * k and widths.count(k) > 2
+    exact, axes = np.linalg.eigh(square)
+    np.testing.assert_allclose(values, exact[::-1][:2], rtol=1e-9)
+    np.testing.assert_allclose(np.abs(np.sum(vectors * axes[:, ::-1][:, :2], axis=0)), 1, atol=1e-8)
+
+
+@pytest.mark.parametrize("shape", [(60, 150), (240, 150)])
+def test_restarted_krylov_equals_dense_decomposition(spark, conf, shape):
+    """All size limits lowered, bases compressed on the way, one fold a broadcast."""
+    rng = np.random.default_rng(11)
+    n, width = shape
+    x = rng.normal(size=shape) * np.linspace(2, 1, width) + rng.normal(size=width)
+    held = [[f for f in ("a", "b") if i % 5 == "ab".index(f)] for i in range(n)]
+    rows = spark.createDataFrame(
+        [(i, x[i].tolist(), h, h) for i, h in enumerate(held)],
+        "entity int, x array<double>, test_of array<string>, held_of array<string>",
+    )
+    for key in (linear.GRAM_KEY, linear.DUAL_KEY, BROADCAST_BYTES_KEY):
+        conf(key, 1)
+    got = linear.fit_pca(rows, "x", ["a", "b"], 2).toPandas().sort_values(["model_fold", "component"])
+    assert list(got.component) == [1, 2, 1, 2]
+    for fold, part in got.groupby("model_fold"):
+        train = x[[fold not in h for h in held]]
+        _, s, vt = np.linalg.svd(train - train.mean(axis=0), full_matrices=False)
+        np.testing.assert_allclose(part.eigenvalue, s[:2] ** 2 / (len(train) - 1), rtol=1e-8)
+        np.testing.assert_allclose(part.explained_ratio, s[:2] ** 2 / (s ** 2).sum(), rtol=1e-8)
+        loading = np.stack(part.loading)
+        np.testing.assert_allclose(np.abs(np.sum(loading * vt[:2], axis=1)), 1, atol=1e-8)
 
 
 @pytest.mark.parametrize("max_features", [None, 6])
