@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dosewise.functions.draws import draw_below
 from dosewise.operators import ranking
-from dosewise.operators.linear import stack
-from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit
+from dosewise.operators.linear import apply_models, fit_pca, load_projection, stack
+from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit, pinned
 
 SIDES = ("x", "y")
 
@@ -134,6 +134,30 @@ def latent_shift(deltas: DataFrame, loadings: DataFrame, keys: list[str], featur
     return sums.groupBy(*keys).agg(packed.alias("shift"))
 
 
+def control_components(
+    rows: DataFrame, side: str, entity: str, vector: str, components: int, max_features: int | None = None
+) -> DataFrame:
+    """Components fitted on the control side ("x") only; the other side never enters means, selection or axes."""
+    fold = F.lit("control")
+    held = F.when(F.col(side) == "x", F.array().cast("array<string>")).otherwise(F.array(fold))
+    fit = rows.select(F.col(entity).alias("entity"), F.col(vector).alias("x"), held.alias("test_of"), held.alias("held_of"))
+    return pinned(fit_pca(pinned(fit), "x", ["control"], components, max_features))
+
+
+def in_components(rows: DataFrame, pca: DataFrame, vector: str, entity: str, centre: bool) -> DataFrame:
+    """The same rows with `vector` replaced by its scores; shifts are projected without centring."""
+    schema = ", ".join(f"`{c}` {'array<double>' if c == vector else t}" for c, t in rows.dtypes)
+    columns = rows.columns
+
+    def project(models: dict, pdf: pd.DataFrame):
+        model = models["control"]
+        data = stack(pdf[vector])
+        z = model.scores(data, False) if centre else data @ model.loadings
+        yield pdf[columns].assign(**{vector: list(z)})
+
+    return apply_models(rows, pca, "loading", ["control"], load_projection, project, schema, columns, entity)
+
+
 def promotion_gate(intervals: DataFrame, keys: list[str], low: str = "ci_low") -> DataFrame:
     """Promote only when the lower bound is positive for every metric."""
     return intervals.groupBy(*keys).agg(

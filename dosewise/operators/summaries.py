@@ -26,6 +26,15 @@ def marker_summary(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return base.join(ranking.quantiles(values, keys, value, {"median": 0.5}), keys)
 
 
+def require_single(features: DataFrame, symbol: str, markers: list[str]) -> None:
+    """Error unless each of the markers (a short fixed list) names exactly one feature row."""
+    found = {r[symbol]: r["n"] for r in features.where(F.col(symbol).isin(*markers)).groupBy(symbol).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    wrong = {m: found.get(m, 0) for m in markers if found.get(m, 0) != 1}
+    if wrong:
+        raise ValueError(f"expected one row for each marker, found {wrong}")
+
+
 def period_difference(values: DataFrame, key: str, hour: str, value: str) -> DataFrame:
     """Late mean minus early mean per key; middle hours are left out."""
     label = S.period(hour)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewise.functions import scalar as S
-from dosewise.operators import resample, summaries
+from dosewise.operators import resample, shared_bootstrap, summaries
 from dosewise.operators import counts as K
 from dosewise.queries import base as B
 from dosewise.queries.registry import query
@@ -96,6 +96,23 @@ def marker_summary(spark, sf):
     return B.rounded(summaries.marker_summary(pinned(named), ["gene_id", "gene_symbol"], "delta"))
 
 
+@query(f"""
+WITH {B.response_sql()},
+listed AS (SELECT entity, row_number() OVER (ORDER BY entity) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM response)),
+draws AS (SELECT rep, {B.draw_sql('n', B.SEED, 'rep', 'pos')} + 1 AS pos, count(*) AS times FROM listed, range(2000) r(rep) GROUP BY ALL),
+means AS (SELECT gene_id, rep, sum(times * delta) / sum(times) AS m FROM response JOIN listed USING (entity) JOIN draws USING (pos) GROUP BY ALL),
+bounds AS (SELECT gene_id, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM means GROUP BY gene_id)
+SELECT gene_id, count(delta) AS n, round(avg(delta), 6) + 0.0 AS mean, round(any_value(ci_low), 6) + 0.0 AS ci_low, round(any_value(ci_high), 6) + 0.0 AS ci_high
+FROM response JOIN bounds USING (gene_id) GROUP BY gene_id""")
+def marker_intervals(spark, sf):
+    """Mean response per feature with a bootstrap interval over entities, drawn once for all features."""
+    genes = B.genes(spark, sf).select("gene_idx", "gene_id")
+    named = pinned(B.response(spark, sf).join(genes, "gene_idx").select("entity", "gene_id", "delta"))
+    means = named.groupBy("gene_id").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"))
+    bounds = shared_bootstrap.feature_intervals(named, "gene_id", "entity", "delta", B.SEED)
+    return B.rounded(means.join(bounds, "gene_id"))
+
+
 @query(f"""
 WITH {B.OBS},
 c AS (SELECT cell, entity, condition, CAST(sum(x) AS DOUBLE) AS library, CAST(count(*) AS DOUBLE) AS detected,

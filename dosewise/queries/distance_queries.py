@@ -91,3 +91,37 @@ def latent_shift(spark, sf):
     treated = rows.where("side = 'y'").join(shifts.select("label", "model"), "label")
     both = cells.select("label", "model", "side", "entity", "v").unionByName(treated.select("label", "model", "side", "entity", "v"))
     return B.rounded(distances.energy_distance(pinned(both), ["label", "model"], "side", "entity", "v").drop("n_x", "n_y"))
+
+
+COMPONENTS = 10
+MOST_VARIABLE = 2000
+
+
+@query()
+def latent_shift_components(spark, sf):
+    """Control and treated vectors in ten components of the control vectors, the control side moved by predicted shifts.
+
+    Models: no change, the label's own mean difference, the mean difference of
+    all other labels. Labels with one side only are left out.
+    """
+    rows = pinned(samples(spark, sf))
+    pca = distances.control_components(rows, "side", "entity", "v", COMPONENTS, MOST_VARIABLE)
+    space = pinned(distances.in_components(rows, pca, "v", "entity", centre=True))
+    side = lambda s: F.avg(F.when(F.col("side") == s, F.col("value")))
+    long = rows.select("label", "side", F.posexplode("v").alias("feature", "value"))
+    deltas = pinned(long.groupBy("label", "feature").agg((side("y") - side("x")).alias("delta")).where("delta IS NOT NULL"))
+    totals = deltas.groupBy("feature").agg(F.sum("delta").alias("all"), F.count("delta").alias("n"))
+    other = deltas.join(totals, "feature").where("n > 1").withColumn("delta", (F.col("all") - F.col("delta")) / (F.col("n") - 1))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("feature", "delta"))), lambda e: e["delta"])
+    vectors = lambda df, model: df.groupBy("label").agg(packed.alias("shift")).withColumn("model", F.lit(model))
+    still = deltas.withColumn("delta", F.lit(0.0))
+    moves = metrics.union_all([vectors(still, "NO_CHANGE"), vectors(deltas, "LABEL_MEAN"), vectors(other, "OTHER_LABELS")])
+    shifts = pinned(distances.in_components(moves, pca, "shift", "label", centre=False))
+    moved = distances.shifted_cells(space.where("side = 'x'"), shifts, "label", "v")
+    treated = space.where("side = 'y'").join(shifts.select("label", "model"), "label")
+    columns = ["label", "model", "side", "entity", "v"]
+    both = pinned(moved.select(*columns).unionByName(treated.select(*columns)))
+    dirs = pinned(distances.directions(spark, DIRECTIONS, pca.count(), B.SEED))
+    keys = ["label", "model"]
+    energy = distances.energy_distance(both, keys, "side", "entity", "v")
+    return B.rounded(energy.join(distances.sliced_wasserstein(both, keys, "side", "v", dirs, DIRECTIONS), keys))
