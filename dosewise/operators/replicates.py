@@ -1,7 +1,8 @@
 """Bootstrap and permutation statistics of many tests, a block of replicates at a time.
 
-A test's values are packed into one row as arrays in order of position. A task takes a block of tests and a block of
-replicates; the md5 draws depend on (seed, replicate, position) only, so they are made once for all tests of the block.
+A test's values are packed into rows of PACK positions as arrays. A task takes a block of tests and a block of
+replicates; the md5 draws depend on (seed, replicate, position) only, so they are made once for all tests of the block
+and nothing that grows with replicates times positions is kept, written or shuffled.
 Ranks are never sorted again: of a bootstrap sample the draws of each level of the values are counted, and the level's
 average rank follows from the counts. A permutation is one gather from the values.
 
@@ -10,7 +11,6 @@ The draws are those of `resample.bootstrap_rows` and `resample.permuted`; result
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
 
@@ -19,22 +19,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dosewise.functions.hashes import order_numbers
 from dosewise.operators import ranking
 from dosewise.session import pinned
 
 # Values of the tests that one task holds, and of one matrix of replicates by positions.
-HELD_VALUES = 2_000_000
+HELD_VALUES = 4_000_000
 MATRIX_VALUES = 1_000_000
+# Positions of a test in one packed row, and rows that one task packs.
+PACK = 16_384
+PACKED_AT_ONCE = 500_000
 
 
 def draws(seed: str, first: int, last: int, n: int) -> np.ndarray:
     """60-bit numbers of replicates first..last-1 (rows) and positions 1..n; `draws.order_number` as a matrix."""
-    places = [str(p).encode() for p in range(1, n + 1)]
-    md5, rows = hashlib.md5, []
-    for rep in range(first, last):
-        head = f"{seed}|{rep}|".encode()
-        rows.append(b"".join([md5(head + p).digest()[:8] for p in places]))
-    return (np.frombuffer(b"".join(rows), ">u8").reshape(last - first, n) >> np.uint64(4)).astype(np.int64)
+    return order_numbers([f"{seed}|{rep}" for rep in range(first, last)], n)
+
+
+def random_order(numbers: np.ndarray) -> np.ndarray:
+    """Places (from 0) of each row in the order of (number, place), for numbers of 60 bits.
+
+    The leading bits are sorted together with the place, which is faster than sorting places by number; rows in which
+    that does not give the order are sorted again.
+    """
+    n = numbers.shape[1]
+    bits = max(1, int(n - 1).bit_length())
+    drop = max(0, bits - 3)
+    found = np.sort((numbers >> drop) << bits | np.arange(n), axis=1) & ((1 << bits) - 1)
+    placed = np.take_along_axis(numbers, found, axis=1)
+    for k, at in zip(*np.nonzero(placed[:, 1:] < placed[:, :-1]), strict=True):
+        found[k, [at, at + 1]] = found[k, [at + 1, at]]
+        placed[k, [at, at + 1]] = placed[k, [at + 1, at]]
+    for k in np.flatnonzero((placed[:, 1:] < placed[:, :-1]).any(axis=1)):
+        found[k] = np.argsort(numbers[k], kind="stable")
+    return found
 
 
 class Draws:
@@ -47,7 +65,7 @@ class Draws:
     def order(self, n: int) -> np.ndarray:
         """Positions (from 0) in random order, a row for each replicate."""
         if n not in self._orders:
-            self._orders = {n: np.argsort(self.numbers[:, :n], axis=1, kind="stable")}
+            self._orders = {n: random_order(self.numbers[:, :n])}
         return self._orders[n]
 
     def sample(self, n: int) -> np.ndarray:
@@ -101,8 +119,20 @@ def permuted_product(test: dict, block: Draws) -> np.ndarray:
 
 def permuted_head(test: dict, block: Draws) -> np.ndarray:
     """Sum of as many permuted values as are flagged."""
-    flagged = int(test["f"].sum())
-    return test["v"][block.order(len(test["v"]))[:, :flagged]].sum(axis=1)
+    v, flagged = test["v"], int(test["f"].sum())
+    if not flagged:
+        return np.zeros(len(block.numbers))
+    sums = []
+    for numbers in block.numbers[:, : len(v)]:
+        first = numbers <= np.partition(numbers, flagged - 1)[flagged - 1]
+        # equal numbers go by position
+        sums.append(v[first].sum() if first.sum() == flagged else v[random_order(numbers[None])[0, :flagged]].sum())
+    return np.array(sums)
+
+
+def drawn_mean(test: dict, block: Draws) -> np.ndarray:
+    """Mean of each bootstrap sample."""
+    return test["v"][block.sample(len(test["v"]))].mean(axis=1)
 
 
 def stratified_delta(test: dict, block: Draws) -> np.ndarray:
@@ -133,30 +163,36 @@ def statistics(
 ) -> DataFrame:
     """(keys, rep, out): the statistic of every test and replicate 0..count-1, null where it is undefined.
 
-    `base` is a checkpointed table of `rows` rows with `pos` 1..n per key. A test's values go through one task, so give
-    groups of a checked size.
+    `base` is a checkpointed table of `rows` rows with `pos` 1..n per key. A test's values are held by one task, 8 bytes
+    each, so give groups of a checked size.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", *values)))
-    blocks = math.ceil(max(1, rows) / HELD_VALUES)
-    tests = base.groupBy(*keys).agg(ordered.alias("_rows")).select(*keys, *[F.col("_rows").getField(c).alias(f"_{c}") for c in values])
-    tests = pinned(tests.withColumn("_test", F.monotonically_increasing_id()))
     cores = base.sparkSession.sparkContext.defaultParallelism
+    blocks = math.ceil(max(1, rows) / HELD_VALUES)
+    tests = pinned(base.select(*keys).distinct().withColumn("_test", F.monotonically_increasing_id()))
+    numbered = ranking.join_null_safe(base, tests, keys).select("_test", F.floor(F.col("pos") / PACK).alias("_pack"), "pos", *values)
+    numbered = numbered.repartition(max(cores, math.ceil(rows / PACKED_AT_ONCE)), "_test", "_pack")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", *values)))
+    packs = numbered.groupBy("_test", "_pack").agg(ordered.alias("_rows")).select(
+        "_test", "_pack", *[F.col("_rows").getField(c).alias(f"_{c}") for c in values])
     step = max(1, math.ceil(count * blocks / cores / 2))
-    dealt = tests.drop(*keys).withColumn("_block", F.pmod(F.col("_test"), F.lit(blocks))).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(step))))
+    dealt = pinned(packs).withColumn("_block", F.pmod(F.xxhash64("_test"), F.lit(blocks))).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(step))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        held = [{c: np.asarray(row[f"_{c}"], dtype=np.float64 if c != "g" else np.int64) for c in values} for _, row in group.iterrows()]
-        longest, first = max(len(t[values[0]]) for t in held), int(group["_from"].iloc[0])
+        first, held = int(group["_from"].iloc[0]), {}
+        for id_, own in group.sort_values(["_test", "_pack"]).groupby("_test"):
+            held[id_] = {c: np.concatenate(own[f"_{c}"].tolist()).astype(np.float64 if c != "g" else np.int64) for c in values}
+        size = lambda id_: len(held[id_][values[0]])
+        longest = max(map(size, held))
         parts, at_once = [], max(1, MATRIX_VALUES // longest)
         for low in range(first, min(count, first + step), at_once):
             high = min(count, first + step, low + at_once)
             block = Draws(str(seed), low, high, longest)
-            for id_, test in sorted(zip(group["_test"], held), key=lambda t: len(t[1][values[0]])):
-                parts.append(pd.DataFrame({"_test": id_, "rep": np.arange(low, high), "_s": statistic(test, block)}))
+            for id_ in sorted(held, key=size):
+                parts.append(pd.DataFrame({"_test": id_, "rep": np.arange(low, high), "_s": statistic(held[id_], block)}))
         return pd.concat(parts)
 
     found = dealt.groupBy("_block", "_from").applyInPandas(run, "_test long, rep int, _s double")
-    named = found.join(tests.select(*keys, "_test"), "_test")
+    named = found.join(tests, "_test")
     return named.select(*keys, "rep", F.when(~F.isnan("_s"), F.col("_s")).alias(out))
 
 

@@ -1,10 +1,12 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dosewise.operators import enrichment, resample, summaries
+from dosewise.functions import hashes
+from dosewise.operators import enrichment, replicates, resample, summaries
 
 
 def test_bh_known_values(spark):
@@ -125,3 +127,44 @@ def test_packed_rank_tests_equal_shuffled_rows(spark, conf, run):
     packed = result()
     conf(resample.RANKED_ROWS_KEY, 2)
     assert result() == {k: [getattr(v, "expected", v) for v in r] for k, r in packed.items()} and len(packed) == 3
+
+
+def test_hashes_of_many_texts():
+    for seed, first, last, n in [("5p", 8, 12, 1234), ("7", 95, 105, 9), ("52711", 999, 1001, 20_001), ("x" * 47, 0, 3, 12), ("7", 0, 2, 1)]:
+        one = lambda r, p: int(hashlib.md5(f"{seed}|{r}|{p}".encode()).hexdigest()[:15], 16)
+        expected = [[one(r, p) for p in range(1, n + 1)] for r in range(first, last)]
+        assert hashes.order_numbers([f"{seed}|{r}" for r in range(first, last)], n).tolist() == expected
+
+
+def test_random_order_with_equal_and_close_numbers():
+    rng = np.random.default_rng(3)
+    wide = rng.integers(0, 1 << 60, (3, 300))
+    close = (rng.integers(0, 40, (3, 300)) << 40) + rng.integers(0, 8, (3, 300))
+    for numbers in (wide, close, wide[:, :1]):
+        assert replicates.random_order(numbers).tolist() == np.argsort(numbers, axis=1, kind="stable").tolist()
+
+
+@pytest.mark.parametrize("run", ["cliffs", "eta", "mean"])
+def test_large_groups_shuffle_no_draws(spark, monkeypatch, run):
+    """A group of 250,000 rows: no row for each draw, the effect of the whole group."""
+    def refuse(*_, **__):
+        raise AssertionError("a row for each draw")
+
+    monkeypatch.setattr(resample, "bootstrap_rows", refuse)
+    monkeypatch.setattr(resample, "permuted", refuse)
+    n = 250_000
+    df = spark.range(n).select(F.lit("t").alias("k"), "id", (F.col("id") % 1000).cast("double").alias("v"), (F.col("id") % 1000 >= 400).alias("f"))
+    if run == "cliffs":
+        row = resample.cliffs_delta_inference(df, ["k"], "v", "f", ["id"], 1, 4, 9).first()
+        assert (row.effect, row.ci_low, row.n, row.p_value) == (1.0, 1.0, n, 0.1)
+    elif run == "eta":
+        row = resample.eta_squared_inference(df, ["k"], "v", "f", ["id"], 1, 9).first()
+        v, f = np.arange(1000.0), np.arange(1000) >= 400
+        between = 400 * (v[~f].mean() - v.mean()) ** 2 + 600 * (v[f].mean() - v.mean()) ** 2
+        assert row.effect == pytest.approx(between / (1000 * v.var())) and (row.n, row.p_value) == (n, 0.1)
+    else:
+        row = resample.bootstrap_mean(df, ["k"], "v", ["id"], 1, 6).first()
+        drawn = hashes.order_numbers([f"1|{r}" for r in range(6)], n) % n
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"1|{i}".encode()).hexdigest(), i))
+        means = (np.array(order) % 1000)[drawn].mean(axis=1)
+        assert (row.ci_low, row.ci_high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
