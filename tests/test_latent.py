@@ -95,3 +95,18 @@ def test_markers_name_one_feature_each(spark):
         summaries.require_single(genes, "gene_symbol", ["A", "B"])
     with pytest.raises(ValueError, match="'C': 0"):
         summaries.require_single(genes, "gene_symbol", ["C"])
+
+
+@pytest.mark.parametrize("entities,size", [(130, 50), (300, 300)])
+def test_count_matrices_hold_all_draws_in_a_byte_each(spark, entities, size):
+    count, found = 120, np.zeros((120, entities), np.int64)
+    for r in shared_bootstrap.count_matrices(spark, entities, count, 7, size).collect():
+        reps, at = min(count - r.first, shared_bootstrap.REPLICATES), r.block * size
+        width = min(size, entities - at)
+        assert len(r.times) == reps * width
+        found[r.first : r.first + reps, at : at + width] += np.frombuffer(r.times, np.uint8).reshape(reps, width)
+    expected = np.zeros_like(found)
+    for r in shared_bootstrap.draw_counts(spark, entities, count, 7).collect():
+        for d in r.draws:
+            expected[d.rep, r.pos - 1] = d.times
+    assert (found == expected).all() and (found.sum(axis=1) == entities).all()
