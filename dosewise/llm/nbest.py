@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-# Words handled at once and words remembered between texts, both bound memory.
+# Words handled at once and words remembered between texts, both bound memory. Most words occur once; those that texts use
+# again stay.
 WORDS_AT_ONCE = 8_192
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 # Longer words are searched one by one.
 LONGEST = 48
 # A-star costs the square of a word's length; words beyond this keep n-best lists at every position instead.
@@ -249,14 +250,30 @@ class Segmenter:
         if n < 1:
             raise ValueError("n must be at least 1")
         self.vocabulary, self.n = Vocabulary(path), n
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.alternatives: dict[str, list] = {}
         self.start = np.zeros(0, np.int64)
         self.count, self.best, self.loss = self.start, np.zeros(0), np.zeros(0)
         self.pool = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int64)  # texts that had the word, halved at each trim
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The best ids of the words at these places, one after the other."""
+        counts = self.count[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)]
+
+    def _trim(self) -> None:
+        """Forgets words of one text, and the less used half of the bound."""
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[: REMEMBERED // 2]])
+        names = list(self.known)
+        self.known = {names[at]: k for k, at in enumerate(kept.tolist())}
+        self.pool, self.count, self.best, self.loss, self.used = (
+            self._ids(kept), self.count[kept], self.best[kept], self.loss[kept], self.used[kept] // 2)
+        self.start = np.cumsum(self.count) - self.count
 
     def _learn(self, words: list[str]) -> None:
         slow = [w for w in words if len(w) > LONGEST or "\0" in w]
@@ -275,7 +292,8 @@ class Segmenter:
                 self.known[w] = len(self.known)
         self.pool, self.count, self.best, self.loss = (
             np.concatenate([old, *[p[k] for p in parts]]) for k, old in enumerate((self.pool, self.count, self.best, self.loss), start=1))
-        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.used = np.concatenate([self.used, np.zeros(len(self.known) - len(self.used), np.int64)])
 
     def _others(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
         if word not in self.alternatives:
@@ -284,8 +302,10 @@ class Segmenter:
 
     def segment(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
         """For each text: (best ids, score, other segmentations as (score, edits of the best))."""
-        if len(self.known) > REMEMBERED or len(self.alternatives) > REMEMBERED:
-            self._forget()
+        if len(self.known) > REMEMBERED:
+            self._trim()
+        if len(self.alternatives) > REMEMBERED:
+            self.alternatives.clear()
         normal = [self.vocabulary.model.normalize(t.encode("utf-8", "replace").decode()) if t else "" for t in texts]
         split = [self.vocabulary.split(t) for t in normal]
         known = self.known
@@ -294,11 +314,9 @@ class Segmenter:
             self._learn(new)
         for words in split:
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            counts = self.count[at]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.pool[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)]
-            yield ids, float(self.best[at].sum()), self._next(words, at, ends - counts, counts, float(self.best[at].sum()))
+            self.used[at] += 1
+            counts, best = self.count[at], float(self.best[at].sum())
+            yield self._ids(at), best, self._next(words, at, np.cumsum(counts) - counts, counts, best)
 
     def _next(self, words: list[str], at: np.ndarray, begin: np.ndarray, counts: np.ndarray, best: float) -> list:
         n = self.n - 1

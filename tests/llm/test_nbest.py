@@ -88,3 +88,16 @@ def test_steps_are_bounded_by_characters(monkeypatch):
     texts = ["abc", None, "", "x", "y" * 30, "ab", "cd", "é" * 6, "z"]
     assert list(nbest.steps(pa.array(texts))) == [(0, 3), (3, 1), (4, 1), (5, 3), (8, 1)]
     assert list(nbest.steps(pa.array([], pa.string()))) == []
+
+
+def test_words_used_again_stay_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(nbest, "REMEMBERED", 40)
+    tool, plain, learned = nbest.Segmenter(PATH, 3), nbest.Segmenter(PATH, 3), []
+    inner = tool._learn
+    tool._learn = lambda words: (learned.extend(words), inner(words))
+    result = lambda t, text: [(ids.tolist(), score, others) for ids, score, others in t.segment([text])]
+    for k in range(60):
+        text = f"the same words again and x{k}y z{k}"
+        assert result(tool, text) == result(plain, text)
+        plain.__init__(PATH, 3) if k % 20 == 19 else None
+    assert len(tool.known) <= 60 and learned.count("▁same") == 1 and learned.count("▁again") == 1
