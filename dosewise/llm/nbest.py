@@ -394,13 +394,14 @@ def decode(ids: list[int], path: str) -> str:
     return segmenter(path, 1).vocabulary.model.decode([int(i) for i in ids])
 
 
-def encode(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text", hold: bool = True) -> DataFrame:
     """(doc_id, ids, score, others, decoded) of every row: the n best segmentations of the whole text.
 
     `ids` and `score` are the best; `others` the next n - 1 as edits of it (see `edited`), fewer where the lattice has
     fewer; `decoded` whether the ids give the text back. Only a text that holds the space mark itself or a lone
     surrogate doesn't come back, with the mark read as a space. Null texts count as empty and have no ids. Repeated
-    rows are all returned; other columns are ignored. The vocabulary file must be readable on all executors.
+    rows are all returned; other columns are ignored. The vocabulary file must be readable on all executors. Unless `hold`,
+    a worker gives up vocabulary and words when its task ends, so that later stages have the memory.
     """
     path = path or default_model()
 
@@ -423,5 +424,7 @@ def encode(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "
                 columns = [part.column("doc_id"), ids, pa.array([r[1] for r in rows], pa.float64()), pa.array(others, OTHERS), pa.array([b == (t or "") for b, t in zip(back, texts)])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "score", "others", "decoded"])
             pa.default_memory_pool().release_unused()  # buffers of a batch of long texts are not kept for the next
+        if not hold:
+            segmenter.cache_clear()
 
     return source.mapInArrow(run, f"doc_id {id_type}, ids array<int>, score double, others {EDITS}, decoded boolean")

@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of their five-word shingles: MinHash bands find candidates, exact sets decide.
+"""Near copies by the Jaccard similarity of their five-word shingles: SimHash balls and MinHash bands find candidates, exact sets decide.
 
-Fingerprints of 64 bits can't tell these: pairs with a similarity of 0.8 are up to 14 bits apart, and a ball of that
-radius can't be listed. Each text has 25 band keys of five minima; a pair with a similarity of 0.8 shares one with a
-probability of 0.99995. Every two rows that share a key are compared, unless links already connect them:
+SimHash fingerprints are linked through their balls, as in `simhash`; the rows of a group of linked fingerprints share a
+key. That alone can't find all near copies: pairs with a similarity of 0.8 are up to 14 bits apart, and a ball of that
+radius can't be listed. So each text also has 25 band keys of five minima; a pair with a similarity of 0.8 shares one with
+a probability of 0.99995. Every two rows that share a key of either kind are compared, unless links already connect them:
 
 1. Each row is compared with the first row of each of its keys. Groups of copies, however large, are connected by this.
 2. Where the rows of a key are still in several groups, rows of different groups are compared: all pairs of a key with
@@ -22,9 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewise.llm import simhash
 from dosewise.llm.common import checked, filed, join_hot, locator, without
 from dosewise.llm.components import components
-from dosewise.llm.simhash import shingles
+from dosewise.llm.simhash import folded, shingles
 from dosewise.session import pinned
 
 WIDTH = 5
@@ -68,16 +70,32 @@ def octets(low: np.ndarray) -> bytes:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, keys) of every row of a filed table."""
+    """(doc_id, at, fp, keys) of every row of a filed table: its fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.concatenate([np.zeros(0, np.int64), *(band_keys(minima(shingle_set(t.as_py()))) for t in batch.column("text"))])
+            prints, found = [], [np.zeros(0, np.int64)]
+            for text in batch.column("text"):
+                hashes = shingles(text.as_py(), WIDTH)
+                prints.append(folded(hashes))
+                found.append(band_keys(minima(np.unique(hashes))))
+            keys = np.concatenate(found)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), lists], ["doc_id", "at", "keys"])
+            columns = [batch.column("doc_id"), batch.column("at"), pa.array(prints, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "fp", "keys"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), locator().alias("at"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, at struct<file:string,row:long>, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, at struct<file:string,row:long>, fp long, keys array<long>")
+
+
+def ball_keys(rows: DataFrame) -> DataFrame:
+    """(node, key) of rows (node, fp): one key for all whose fingerprints are linked through balls, equal ones included."""
+    prints = pinned(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    linked = components(simhash.links(prints.select("fp"))).withColumnRenamed("node", "_fp")
+    named = prints.join(linked, F.col("fp") == F.col("_fp"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    several = named.groupBy("root").agg(F.sum("n").alias("_all")).where("_all > 1").select("root")
+    named = pinned(named.join(several, "root").select("fp", "n", F.xxhash64(F.lit("ball"), "root").alias("key")))
+    return pinned(join_hot(rows.select("node", "fp"), named, "fp", "n").select("node", "key"))
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -178,8 +196,8 @@ def _between_blocks(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, text: Column) -> DataFrame:
-    """(a, b) of similar rows that share a key, as many as connect all of them; rows: (node, at, keys)."""
-    met = rows.select("node", F.explode("keys").alias("key"))
+    """(a, b) of similar rows that share a key, as many as connect all of them; rows: (node, at, fp, keys)."""
+    met = rows.select("node", F.explode("keys").alias("key")).unionByName(ball_keys(rows))
     shared = pinned(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
     met = pinned(join_hot(met, shared, "key", "n"))
     asked = pinned(met.select("node").distinct().join(rows.select("node", F.col("at").alias("_of")), "node"))

@@ -40,9 +40,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((hash_(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
 
 
-def simhash(text: str | None, width: int) -> int:
-    """Signed 64-bit fingerprint; 0 without words."""
-    hashes = shingles(text, width)
+def folded(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of shingle hashes, repeats included; 0 without any."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -52,6 +51,11 @@ def simhash(text: str | None, width: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, width: int) -> int:
+    """Signed 64-bit fingerprint; 0 without words."""
+    return folded(shingles(text, width))
+
+
 def fingerprint(text: Column, width: int = 3) -> Column:
     """SimHash of the `width`-word shingles of the lower-cased (A-Z) text; null counts as empty."""
 

@@ -101,3 +101,22 @@ def test_words_used_again_stay_when_memory_is_full(monkeypatch):
         assert result(tool, text) == result(plain, text)
         plain.__init__(PATH, 3) if k % 20 == 19 else None
     assert len(tool.known) <= 60 and learned.count("▁same") == 1 and learned.count("▁again") == 1
+
+
+@pytest.mark.parametrize("hold", [True, False])
+def test_a_worker_gives_up_vocabulary_and_words(hold):
+    class Docs:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def selectExpr(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})
+    nbest.segmenter.cache_clear()
+    out = list(nbest.encode(Docs(), hold=hold)(iter([batch])))
+    assert [r for b in out for r in b.column("doc_id").to_pylist()] == [1, 2]
+    assert nbest.segmenter.cache_info().currsize == hold
+    nbest.segmenter.cache_clear()

@@ -5,7 +5,8 @@ import random
 import corpus_pipeline as P
 import pytest
 from dosewise.llm import resemblance
-from dosewise.llm.common import table
+from dosewise.llm.common import filed, table
+from pyspark.sql import functions as F
 from test_dedup import brute_groups
 
 SF = "/root/testdata/sf0.01"
@@ -95,3 +96,19 @@ def test_odd_rows(spark, docs):
     rows = [(3, None), (2, " \n"), (None, "one two"), (7, "One  two"), (8, "one two three"), (9, "one two")]
     assert sorted(r.doc_id for r in resemblance.without_near_copies(docs(rows)).collect()) == [2, 7, 8]
     assert resemblance.without_near_copies(docs([])).count() == 0
+
+
+def test_simhash_balls_find_candidates_and_sets_decide(spark, docs):
+    words = [f"s{k}" for k in range(1000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{k}" for k in range(1000)), " ".join(words)]
+    source = filed(docs(list(enumerate(texts))))
+    rows = resemblance.keyed(source, "doc_id", "text").withColumn("node", F.col("doc_id").cast("long"))
+
+    def found(changed):
+        return {tuple(sorted((r.a, r.b))) for r in resemblance.links(source, resemblance.pinned(changed), F.col("text")).collect()}
+
+    prints = {r.node: r.fp for r in rows.collect()}
+    assert prints[0] == prints[3] and 0 < bin((prints[0] ^ prints[1]) % 2**64).count("1") <= 2
+    without_bands = rows.withColumn("keys", F.expr("cast(array() as array<bigint>)"))
+    assert found(without_bands) == {(0, 1), (0, 3)}
+    assert found(without_bands.withColumn("fp", F.lit(7).cast("long"))) == {(0, 1), (0, 3)}
