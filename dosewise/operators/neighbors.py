@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from dosewise.operators.linear import stack
 from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit
 
+# Query rows of a block that are compared at once.
+QUERIES_AT_ONCE = 256
+# Up to so many dimensions a matrix product saves nothing.
+FEW_DIMENSIONS = 4
+
 
 def blocked(rows: DataFrame, keys: list[str], entity: str, out: str) -> DataFrame:
     """Hash rows of each key into blocks of about blockRows rows; adds the block count."""
@@ -22,6 +27,42 @@ def blocked(rows: DataFrame, keys: list[str], entity: str, out: str) -> DataFram
     return rows.join(counts, keys).withColumn(out, F.pmod(F.xxhash64(entity), F.col(f"{out}s")))
 
 
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, or of all rows to all, summed dimension by dimension."""
+    gaps = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for c in range(a.shape[-1]):
+        gaps += (a[..., c] - b[..., c]) ** 2
+    return gaps
+
+
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of b nearest to each row of a, the first of equals, and its squared distance.
+
+    One matrix product rules out the rows of b that are farther than its rounding error allows; the distances to those
+    left are summed as if all were, so that the result is the same.
+    """
+    norms_a, norms_b = np.square(a).sum(axis=1), np.square(b).sum(axis=1)
+    slack = 32 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (norms_a + norms_b.max())
+    few = a.shape[1] <= FEW_DIMENSIONS or not np.isfinite(slack).all()
+    at, squared = np.zeros(len(a), np.int64), np.zeros(len(a))
+    for first in range(0, len(a), QUERIES_AT_ONCE):
+        part = a[first : first + QUERIES_AT_ONCE]
+        own = slice(first, first + len(part))
+        if few:
+            gaps = _squared(part[:, None], b[None])
+            at[own] = gaps.argmin(axis=1)
+            squared[own] = gaps[np.arange(len(part)), at[own]]
+            continue
+        rough = norms_b - 2 * (part @ b.T)
+        i, j = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + slack[own, None])
+        gaps = _squared(part[i], b[j])
+        least = np.minimum.reduceat(gaps, np.flatnonzero(np.diff(i, prepend=-1)))
+        equal = np.flatnonzero(gaps == least[i])
+        equal = equal[np.diff(i[equal], prepend=-1) > 0]
+        at[own], squared[own] = j[equal], least
+    return at, squared
+
+
 def nearest(
     queries: DataFrame, train: DataFrame, keys: list[str], vector: str, dimensions: list[int] | None = None,
     entity: str = "entity",
@@ -52,14 +93,11 @@ def nearest(
         for d in dimensions or [a.shape[1]]:
             if d > a.shape[1]:
                 continue
-            gaps = np.zeros((len(a), len(b)))
-            for c in range(d):
-                gaps += (a[:, c, None] - b[None, :, c]) ** 2
-            at = gaps.argmin(axis=1)
+            at, squared = closest(a[:, :d], b[:, :d])
             part = {k: v for k, v in zip(keys, key, strict=False)}
             out.append(pd.DataFrame({
                 **part, entity: lhs[entity].to_numpy(), "dimension": d,
-                "neighbor": names[at], "squared": gaps[np.arange(len(a)), at],
+                "neighbor": names[at], "squared": squared,
             }))
         return pd.concat(out) if out else pd.DataFrame()
 

@@ -230,6 +230,29 @@ def test_nearest_neighbour_by_blocks(spark, table, conf, block):
         assert r.neighbor == 15 + gaps.argmin() and r.distance == pytest.approx(np.sqrt(gaps.min()))
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+@pytest.mark.parametrize("width", [1, 3, 32])
+def test_closest_is_the_plain_minimum(width, shift):
+    rng = np.random.default_rng(width)
+    b = rng.normal(size=(700, width)) + shift
+    b[300:600] = b[rng.integers(0, 300, 300)]  # equal rows: the first wins
+    a = np.concatenate([rng.normal(size=(300, width)) + shift, b[500:600], b[:50] + 1e-9])
+    gaps = sum((a[:, c, None] - b[None, :, c]) ** 2 for c in range(width))
+    at, squared = neighbors.closest(a, b)
+    assert (at == gaps.argmin(axis=1)).all() and (squared == gaps.min(axis=1)).all()
+    a[0, 0] = np.nan
+    assert neighbors.closest(a, b)[0][0] == 0
+
+
+def test_closest_needs_no_pass_for_each_dimension(monkeypatch):
+    """Only the pairs that the matrix product leaves are summed dimension by dimension."""
+    summed, plain = [], neighbors._squared
+    monkeypatch.setattr(neighbors, "_squared", lambda a, b: summed.append(len(a)) or plain(a, b))
+    rng = np.random.default_rng(2)
+    neighbors.closest(rng.normal(size=(1000, 32)), rng.normal(size=(2048, 32)))
+    assert sum(summed) < 1100
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_energy_distance_by_blocks(spark, table, conf, block):
     df, x, _ = table
