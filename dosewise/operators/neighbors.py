@@ -16,8 +16,8 @@ from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit
 
 # Query rows of a block that are compared at once.
 QUERIES_AT_ONCE = 256
-# Up to so many dimensions a matrix product saves nothing.
-FEW_DIMENSIONS = 4
+# Up to so many dimensions a matrix product saves nothing; rows are swept in order of the first one.
+FEW_DIMENSIONS, SWEPT_AT_ONCE = 4, 64
 
 
 def blocked(rows: DataFrame, keys: list[str], entity: str, out: str) -> DataFrame:
@@ -35,24 +35,47 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return gaps
 
 
+def _plain(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gaps = _squared(a[:, None], b[None])
+    at = gaps.argmin(axis=1)
+    return at, gaps[np.arange(len(a)), at]
+
+
+def _swept(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The plain minimum for queries in order of their first dimension, among rows that are no farther in it than a row found."""
+    order, queries = np.argsort(b[:, 0], kind="stable"), np.argsort(a[:, 0], kind="stable")
+    line = b[order, 0]
+    at, squared = np.zeros(len(a), np.int64), np.zeros(len(a))
+    for first in range(0, len(a), SWEPT_AT_ONCE):
+        own = queries[first : first + SWEPT_AT_ONCE]
+        part, lead = a[own], a[own, 0]
+        middle = np.searchsorted(line, lead)
+        near = order[max(0, middle[0] - SWEPT_AT_ONCE) : middle[-1] + SWEPT_AT_ONCE]
+        reach = np.sqrt(_plain(part, b[near])[1])
+        reach += 8 * np.finfo(np.float64).eps * (np.abs(lead) + reach) + np.finfo(np.float64).tiny
+        low, high = np.searchsorted(line, (lead - reach).min()), np.searchsorted(line, (lead + reach).max(), side="right")
+        left = np.sort(order[low:high])
+        found, squared[own] = _plain(part, b[left])
+        at[own] = left[found]
+    return at, squared
+
+
 def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row of b nearest to each row of a, the first of equals, and its squared distance.
 
-    One matrix product rules out the rows of b that are farther than its rounding error allows; the distances to those
-    left are summed as if all were, so that the result is the same.
+    One matrix product (or, of few dimensions, the first one) rules out rows of b; the distances to those left are
+    summed as if all were, so that the result is the same.
     """
     norms_a, norms_b = np.square(a).sum(axis=1), np.square(b).sum(axis=1)
     slack = 32 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (norms_a + norms_b.max())
-    few = a.shape[1] <= FEW_DIMENSIONS or not np.isfinite(slack).all()
+    if not np.isfinite(slack).all():
+        return _plain(a, b)
+    if a.shape[1] <= FEW_DIMENSIONS:
+        return _swept(a, b)
     at, squared = np.zeros(len(a), np.int64), np.zeros(len(a))
     for first in range(0, len(a), QUERIES_AT_ONCE):
         part = a[first : first + QUERIES_AT_ONCE]
         own = slice(first, first + len(part))
-        if few:
-            gaps = _squared(part[:, None], b[None])
-            at[own] = gaps.argmin(axis=1)
-            squared[own] = gaps[np.arange(len(part)), at[own]]
-            continue
         rough = norms_b - 2 * (part @ b.T)
         i, j = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + slack[own, None])
         gaps = _squared(part[i], b[j])
