@@ -48,3 +48,14 @@ def test_registry():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_cells_are_dealt_into_parts_of_bounded_rows(spark, monkeypatch):
+    from dosewise.queries import base
+
+    sf = "/root/testdata/sf0.001"
+    few = base.entity_cells(spark, sf)
+    monkeypatch.setattr(base, "LINES_A_PART", 300)
+    many = base.entity_cells(spark, sf)
+    assert many.rdd.getNumPartitions() >= base.count_lines(spark, sf).count() / 300 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
