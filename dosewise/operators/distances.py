@@ -15,6 +15,38 @@ from dosewise.operators.linear import apply_models, fit_pca, load_projection, st
 from dosewise.session import BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS, fresh, limit, pinned
 
 SIDES = ("x", "y")
+# Rows of a block that meet the other block at once.
+ROWS_AT_ONCE = 256
+# Squared distances below this share of the squared norms are summed dimension by dimension; up to so many of all pairs.
+NEAR, NEAR_PAIRS = 1e-4, 0.05
+
+
+def distance_sum(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of the distances of all rows of a to all rows of b.
+
+    Squared distances come from one matrix product, and those that it would blur from the differences.
+    """
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    norms_a, norms_b = np.square(a).sum(axis=1), np.square(b).sum(axis=1)
+    product = bool(np.isfinite(norms_a).all() and np.isfinite(norms_b).all())
+    total = 0.0
+    for first in range(0, len(a), ROWS_AT_ONCE):
+        part = a[first : first + ROWS_AT_ONCE]
+        scale = norms_a[first : first + ROWS_AT_ONCE, None] + norms_b[None]
+        near = None
+        if product:
+            squares = scale - 2 * (part @ b.T)
+            near = squares <= NEAR * scale
+        if near is None or np.count_nonzero(near) > NEAR_PAIRS * near.size:
+            squares = np.zeros((len(part), len(b)))
+            for c in range(a.shape[1]):
+                squares += (part[:, c, None] - b[None, :, c]) ** 2
+        else:
+            i, j = np.nonzero(near)
+            squares[i, j] = np.square(part[i] - b[j]).sum(axis=1)
+        total += float(np.sqrt(squares).sum())
+    return total
 
 
 def energy_distance(rows: DataFrame, keys: list[str], side: str, entity: str, vector: str) -> DataFrame:
@@ -57,13 +89,7 @@ def energy_distance(rows: DataFrame, keys: list[str], side: str, entity: str, ve
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ls string, rs string, total double"
 
     def block_sum(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        if len(left) and len(right):
-            a, b = stack(left[vector]), stack(right[vector])
-            squares = np.zeros((len(a), len(b)))
-            for c in range(a.shape[1]):
-                squares += (a[:, c, None] - b[None, :, c]) ** 2
-            total = float(np.sqrt(squares).sum())
+        total = distance_sum(stack(left[vector]), stack(right[vector])) if len(left) and len(right) else 0.0
         ls, lb, rs, rb = key[len(keys):]
         weight = 2.0 if ls == rs and lb != rb else 1.0
         return pd.DataFrame([[*key[: len(keys)], ls, rs, weight * total]], columns=[*keys, "ls", "rs", "total"])

@@ -295,3 +295,13 @@ def test_encoders(spark):
     )
     assert {r.g: r.encoded for r in coded.collect()} == {"skin": [0, 1], "unknown": [0, 0]}
     assert [r.covariate for r in encoders.binary_scales(train, ["model_fold"], ["a", "b"]).collect()] == ["a"]
+
+
+def test_distance_sums_of_two_blocks():
+    rng = np.random.default_rng(4)
+    for size, offset in ((1, 0.0), (3, 1e6), (64, 0.0), (64, 1e6)):
+        a, b = rng.normal(size=(600, size)) + offset, rng.normal(size=(500, size)) + offset
+        b[:50] = a[:50]
+        want = np.sqrt(np.square(a[:, None] - b[None]).sum(axis=2)).sum()
+        assert distances.distance_sum(a, b) == pytest.approx(want, rel=1e-12)
+        assert distances.distance_sum(a[:1].repeat(300, 0), a[:1].repeat(7, 0)) == 0
