@@ -84,6 +84,19 @@ def test_sampling_and_halves(spark):
         resample.sample_cells(cells, ["g"], ["cell"], 12, 1, 1)
 
 
+def test_repeats_of_cells_are_not_shuffled(spark, conf):
+    cells = spark.createDataFrame([(g, i) for g in "ab" for i in range(11)], "g string, cell int")
+    make = lambda: (resample.sample_cells(cells, ["g"], ["cell"], 5, 7, 3), resample.split_halves(cells, ["g"], ["cell"], 7, 3))
+    together = make()
+    for df in together:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(g" in plan and "hashpartitioning(repeat" not in plan
+    conf("spark.dosewise.windowRows", 20)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    for one, other in zip(together, make(), strict=True):
+        assert rows(one) == rows(other)
+
+
 def test_error_types_follow_precedence(spark):
     rows = [(i, float(i), float(i), float(100 - i), i) for i in range(20)]
     df = spark.createDataFrame(rows, "entity int, e double, m double, n double, s int")
