@@ -15,6 +15,8 @@ GROUP_THRESHOLDS = (10, 20, 30)
 MATCHED_GROUPS = 10
 QC_MIN_TOTAL = 100
 QC_MIN_ENTITIES = 10
+# Dense rows (keys times dictionary) of one part.
+DENSE_ROWS_A_PART = 500_000
 
 
 def normal_cells(cells: DataFrame, quality: str = "quality", keep: str = "normal") -> DataFrame:
@@ -51,15 +53,22 @@ def with_library(profile: DataFrame, keys: list[str]) -> DataFrame:
     return profile.withColumn("library_size", F.sum("total").over(Window.partitionBy(*keys)))
 
 
-def normalised(profile: DataFrame, keys: list[str], together: list[str] | None = None) -> DataFrame:
+def dense_parts(df: DataFrame, groups: int, size: int) -> int:
+    """Parts for rows that become `groups` dictionaries of `size` rows: more groups, more parts."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups * size // DENSE_ROWS_A_PART))
+
+
+def normalised(profile: DataFrame, keys: list[str], together: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """log1p CPM per profile.
 
     `together` names a subset of the keys to partition by: the library window
     and every later aggregation that keeps those keys then share one shuffle.
     Rows are sums by now, so a partition key holds a few dictionaries at most.
+    Give `parts` where dictionaries are made dense: parts that look small by
+    their sums would be merged before they grow.
     """
     if together:
-        profile = profile.repartition(*together)
+        profile = profile.repartition(parts, *together) if parts else profile.repartition(*together)
     sized = with_library(profile, keys)
     return sized.withColumn("log1p_cpm", S.log1p_cpm("total", "library_size"))
 
@@ -117,12 +126,19 @@ def paired_keys(profiles: DataFrame, keys: list[str], condition: str = "conditio
 
 def require_pairs(profiles: DataFrame, keys: list[str], condition: str = "condition", treated: str = "treated", control: str = "control") -> DataFrame:
     """The profiles, once every key is known to have both conditions; a one-sided key is an error."""
+    count_pairs(profiles, keys, condition, treated, control)
+    return profiles
+
+
+def count_pairs(profiles: DataFrame, keys: list[str], condition: str = "condition", treated: str = "treated", control: str = "control") -> int:
+    """Number of keys that have one of the conditions; a key with only one of them is an error."""
     sided = profiles.where(F.col(condition).isin(treated, control))
-    lone = sided.groupBy(*keys).agg(F.count_distinct(condition).alias("sides")).where("sides < 2")
-    found = lone.select(*keys).take(3)
-    if found:
+    sides = sided.groupBy(*keys).agg(F.count_distinct(condition).alias("sides"))
+    total, lone = sides.agg(F.count(F.lit(1)), F.count_if(F.col("sides") < 2)).first()
+    if lone:
+        found = sides.where("sides < 2").select(*keys).take(3)
         raise ValueError(f"keys without both {treated} and {control}: {[tuple(r) for r in found]}")
-    return profiles
+    return total
 
 
 def condition_counts(cells: DataFrame, key: str, label: str, names: list[str]) -> DataFrame:

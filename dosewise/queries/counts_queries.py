@@ -314,7 +314,8 @@ def split_half_noise(spark, sf):
     halves = resample.split_halves(cells, ["entity", "condition"], ["cell"], B.SEED, 5)
     keys = ["repeat", "entity", "condition", "half"]
     sums = K.pseudobulk(obs.join(halves, ["entity", "cell", "condition"]), keys, "gene_idx")
-    signed = K.normalised(sums, keys, together=["repeat", "entity"]).withColumn(
+    parts = K.dense_parts(cells, 5 * cells.select("entity").distinct().count(), n)
+    signed = K.normalised(sums, keys, ["repeat", "entity"], parts).withColumn(
         "signed", F.when(F.col("condition") == "treated", F.col("log1p_cpm")).otherwise(-F.col("log1p_cpm"))
     )
     # treated - control of both halves in one aggregation

@@ -59,3 +59,17 @@ def test_cells_are_dealt_into_parts_of_bounded_rows(spark, monkeypatch):
     many = base.entity_cells(spark, sf)
     assert many.rdd.getNumPartitions() >= base.count_lines(spark, sf).count() / 300 > few.rdd.getNumPartitions()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_dense_responses_are_dealt_into_parts_of_bounded_rows(spark, monkeypatch):
+    from dosewise.operators import counts
+    from dosewise.queries import base
+
+    sf = "/root/testdata/sf0.001"
+    few = base.response(spark, sf, ("entity", "hour"))
+    rows = few.count()
+    monkeypatch.setattr(counts, "DENSE_ROWS_A_PART", 100, raising=False)
+    many = base.response(spark, sf, ("entity", "hour"))
+    assert many.rdd.getNumPartitions() >= rows / 100 > few.rdd.getNumPartitions()
+    rounded = lambda df: sorted((r.entity, r.hour, r.gene_idx, round(r.delta, 9) + 0.0) for r in df.collect())
+    assert rounded(few) == rounded(many)
