@@ -83,6 +83,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
             columns = [batch.column("doc_id"), batch.column("at"), pa.array(prints, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "fp", "keys"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task without them
 
     rows = docs.select(F.col(id_col).alias("doc_id"), locator().alias("at"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, at struct<file:string,row:long>, fp long, keys array<long>")
@@ -109,6 +110,7 @@ def shingled(texts: DataFrame) -> DataFrame:
                 ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
                 sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets, pa.array([octets(minima(s)) for s in own], pa.binary())], ["node", "set", "octets"])
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, "node long, set array<long>, octets binary")
 

@@ -2,6 +2,8 @@
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline as P
 from dosewise.llm import nbest, quality
 from dosewise.llm.common import table
@@ -36,3 +38,21 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def test_batches_of_long_texts_are_small(spark, docs, tmp_path):
+    """Rows of all stages with Python come in batches of bounded bytes, not of up to 10,000 rows of 64 MB."""
+    docs([(i, f"{i} " * 2_000) for i in range(1_500)]).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs").select("text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    for stage in (P.quality_filter, P.near_dedup, P.encode):
+        for key in P.BATCHES:
+            spark.conf.unset(key)
+        stage(spark, table(spark, SF, "documents"), SF)
+        found = rows.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 1_500
+        assert max(r.n for r in found) <= 1_000 and max(r.bytes for r in found) < 5 << 20
