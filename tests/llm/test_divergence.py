@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
+
 from dosewise.llm import divergence
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -71,3 +74,27 @@ def test_no_rows_and_no_terms(spark):
     assert divergence.audit(made(spark, [])).count() == 0
     got = divergence.audit(made(spark, [("en", "a", "one"), ("en", "b", None), (None, None, None)]), support=2).orderBy("lang", "source").collect()
     assert [tuple(r) for r in got] == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
+
+
+def test_row_groups_hold_few_chunks(spark, monkeypatch):
+    """Readers hold a whole row group, so its bytes are bounded, not its rows."""
+    monkeypatch.setattr(divergence, "HELD", 2_000)
+    monkeypatch.setattr(divergence, "GROUP_BYTES", 50_000, raising=False)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(500)) for _ in range(160)]
+    chunks = divergence.encode(spark.createDataFrame([("en", "s", t) for t in texts], "lang string, source string, text string").coalesce(1))
+    (file,) = chunks.inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file:")).metadata
+    assert found.num_rows == 40
+    assert max(found.row_group(k).num_rows for k in range(found.num_row_groups)) <= 6
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [5, 3, 2**31 - 1, 0, 7], list(range(0, 900, 3))):
+        assert divergence._unpacked(divergence._packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_batches_are_set_back(spark):
+    before = [spark.conf.get(k) for k in divergence.BATCHES]
+    divergence.audit(made(spark, [("en", "a", "one one two")]), support=1)
+    assert [spark.conf.get(k) for k in divergence.BATCHES] == before
