@@ -230,6 +230,48 @@ def test_nearest_neighbour_by_blocks(spark, table, conf, block):
         assert r.neighbor == 15 + gaps.argmin() and r.distance == pytest.approx(np.sqrt(gaps.min()))
 
 
+def by_key(spark, vectors, first=0):
+    rows = [(k, first + i, [float(c) for c in v]) for k, part in vectors.items() for i, v in enumerate(part)]
+    return spark.createDataFrame(rows, "model_fold string, entity long, z array<double>")
+
+
+def test_nearest_of_few_dimensions_by_strips(spark, conf):
+    """Equal points, equal leading coordinates, far queries, crowded queries, a key without training rows, short vectors."""
+    conf(BLOCK_ROWS_KEY, 8)
+    rng = np.random.default_rng(4)
+    train = {"a": rng.normal(size=(150, 3)), "b": rng.integers(0, 4, size=(150, 3)), "c": np.hstack([np.ones((90, 1)), rng.normal(size=(90, 2))]), "e": np.zeros((40, 3))}
+    queries = {
+        "a": np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(5, 3)) * 1e3, train["a"][:30], np.zeros((40, 3))]), "b": rng.integers(0, 4, size=(60, 3)),
+        "c": rng.normal(size=(40, 3)), "d": rng.normal(size=(3, 3)), "e": rng.normal(size=(3, 3))}
+    got = neighbors.nearest(by_key(spark, queries, 1000), by_key(spark, train), ["model_fold"], "z", [1, 2, 3, 4]).collect()
+    found = {(r.model_fold, r.entity, r.dimension): (r.neighbor, r.distance) for r in got}
+    assert len(found) == len(got) == 3 * sum(len(queries[k]) for k in train)
+    for k, t in train.items():
+        for i, v in enumerate(queries[k]):
+            for d in (1, 2, 3):
+                gaps = sum((v[c] - t[:, c]) ** 2 for c in range(d))
+                assert found[k, 1000 + i, d] == (gaps.argmin(), np.sqrt(gaps.min()))
+
+
+def test_nearest_of_few_dimensions_copies_few_rows(spark, conf, monkeypatch):
+    """Training rows go to the strips of near queries, not to every block of queries."""
+    conf(BLOCK_ROWS_KEY, 64)
+    copies, plain = [], neighbors.fresh
+    monkeypatch.setattr(neighbors, "fresh", lambda df: (copies.append(df.count()), plain(df))[1])
+    rng = np.random.default_rng(5)
+    t, q = by_key(spark, {"f": rng.normal(size=(1600, 2))}), by_key(spark, {"f": rng.normal(size=(1600, 2))}, 5000)
+    assert neighbors.nearest(q, t, ["model_fold"], "z", [1, 2]).count() == 3200
+    assert sum(copies) < 6 * 3200
+
+
+def test_nearest_with_values_that_are_not_finite(spark):
+    t = by_key(spark, {"f": [[1.0, 2.0], [3.0, 1.0]]})
+    q = by_key(spark, {"f": [[float("nan"), 0.0], [float("inf"), 0.0], [1e200, 0.0], [3.0, 0.0]]}, 10)
+    got = neighbors.nearest(q, t, ["model_fold"], "z", [1, 2]).collect()
+    assert sorted((r.entity, r.dimension) for r in got) == [(e, d) for e in (10, 11, 12, 13) for d in (1, 2)]
+    assert {r.neighbor for r in got if r.entity == 13} == {1}
+
+
 @pytest.mark.parametrize("shift", [0.0, 1e6])
 @pytest.mark.parametrize("width", [1, 3, 32])
 def test_closest_is_the_plain_minimum(width, shift):
