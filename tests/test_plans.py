@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewise.operators import counts as K
-from dosewise.operators import composition, encoders, enrichment, linear, metrics, vectors
+from dosewise.operators import composition, encoders, enrichment, linear, metrics, neighbors, vectors
 from dosewise.plans import benchmark
+from dosewise.session import BLOCK_ROWS_KEY
 
 N, D, G = 30, 6, 4
 
@@ -64,6 +65,28 @@ def test_novelty_is_the_nearest_training_distance(nested):
             assert r.novelty == pytest.approx(min(np.linalg.norm(z[r.entity] - z[t]) for t in train))
 
 
+def test_baselines_copy_few_rows(spark, conf, monkeypatch):
+    """The nearest row of the five predictors is found without copies of all training rows to all blocks of held-out ones."""
+    conf(BLOCK_ROWS_KEY, 8)
+    copies, plain = [], neighbors.fresh
+    monkeypatch.setattr(neighbors, "fresh", lambda df: (copies.append(df.count()), plain(df))[1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, D))
+    df = spark.createDataFrame([(i, f"g{i % 3}", x[i].tolist(), x[i, :G].tolist()) for i in range(400)], "entity int, lineage string, x array<double>, y array<double>")
+    rows, names, _, _ = benchmark.nested_rows(df, "entity", "lineage", 3, 2, 4)
+    fitted = benchmark.fit(rows, names, 2)
+    losses = benchmark.grid_losses(fitted, benchmark.Grid(dimensions=(1, 2), alphas=(1.0,)).direct())
+    got = benchmark.baseline_losses(fitted, "lineage", losses, (1, 2)).toPandas()
+    assert (got.groupby("model").entity.nunique() == 400).all() and len(got) == 2000
+    z = linear.scores(rows, fitted.control, "x", names, whiten=True).where("model_fold = '0'").toPandas().set_index("entity")
+    train = z[z.role == "train"].sort_index()
+    for r in got[(got.model == "nearest") & (got.model_fold == "0")].itertuples():
+        gaps = np.square(np.stack(train.z)[:, : int(r.dimension)] - z.z[r.entity][: int(r.dimension)]).sum(axis=1)
+        assert r.neighbor == train.index[gaps.argmin()]
+    # training rows: 267 of each outer fold and 178 of each inner one, for each of two dimensions
+    assert sum(copies) < 4 * 2 * (3 * 267 + 6 * 178)
+
+
 def test_scores_of_training_rows_are_whitened(nested):
     rows, names, *_ = nested
     fitted = benchmark.fit(rows, names, 3)
